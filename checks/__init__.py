@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("questions",)
+MODULES = ("questions", "profiles", "cleaning", "drawing")
 
 
 def load() -> None:

@@ -236,11 +236,11 @@ query("filter_greater_than", "SELECT c_custkey, c_acctbal FROM customer WHERE c_
 query("filter_less_than", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")(
     _filtered("customer", "c_custkey", "c_acctbal", "less_than", 0)
 )
-query("filter_contains_regex", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)^s.*(tin|brass)')")(
-    _filtered("part", "p_partkey", "p_type", "contains", "^s.*(tin|brass)")
+query("filter_contains_regex", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(?i)^s.*(all|dard)$')")(
+    _filtered("part", "p_partkey", "p_type", "contains", "^s.*(all|dard)$")
 )
-query("filter_contains_literal", "SELECT doc_id, source FROM documents WHERE contains(lower(source), '.')")(
-    _filtered("documents", "doc_id", "source", "contains", ".", literal=True)
+query("filter_contains_literal", "SELECT doc_id, source FROM documents WHERE contains(lower(source), 'c1')")(
+    _filtered("documents", "doc_id", "source", "contains", "C1", literal=True)
 )
 
 
