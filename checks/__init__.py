@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("questions", "profiles", "cleaning", "drawing")
+MODULES = ("questions", "profiles", "cleaning", "drawing", "timelines", "judging", "records", "learning")
 
 
 def load() -> None:

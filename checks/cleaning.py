@@ -143,7 +143,7 @@ def actions_log(spark, d):
 
 @query(
     "clean_compare",
-    f"""SELECT * FROM (
+    f"""SELECT metric, CAST(original AS BIGINT) AS original, CAST(cleaned AS BIGINT) AS cleaned, CAST(change AS BIGINT) AS change FROM (
     SELECT 'row_count' AS metric, (SELECT count(*) FROM {SOURCE}) AS original, (SELECT count(*) FROM {SOURCE} WHERE value IS NOT NULL) AS cleaned
     UNION ALL SELECT 'column_count', 3, 3
     UNION ALL SELECT 'missing_values_count', (SELECT 2 * count(*) - count(value) - count(event_type) FROM {SOURCE}),

@@ -65,11 +65,6 @@ def task_text(spark, d):
     return R.task_type(t(spark, d, "part"), "p_name")
 
 
-@query("dtype_rows", "SELECT * FROM (VALUES ('r_regionkey', 'int'), ('r_name', 'string')) v(\"column\", spark_type)")
-def dtype_rows(spark, d):
-    return R.dtype_rows(t(spark, d, "region"))
-
-
 def numeric_sql(column, source, expr=None):
     v = expr or column
     return f"""SELECT '{column}' AS "column", count({v}) AS count, round(avg({v}), 4) AS mean,

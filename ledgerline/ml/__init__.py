@@ -1 +1 @@
-
+"""Training, ranking, explaining and applying models with Spark ML."""
