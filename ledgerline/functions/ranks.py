@@ -15,17 +15,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ledgerline.runtime import is_small
+from ledgerline.runtime import attach, is_small, settle
 
 GRID = 65536
 SKETCH_ACCURACY = 10000
 SHARE_MARGIN = 0.001
 LADDER = 100
-BLOCK = 32
-
-_ONE = "__one_group"
+BUCKETS = 1024
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ def pick_values(
     keys = list(keys)
     if is_small(df, copies):
         return _pick_small(df, value, picks, keys, extras)
-    return _pick_large(df, value, picks, keys, extras, few_keys or not keys)
+    return _pick_large(df, value, picks, keys, extras, few_keys)
 
 
 def _pick_small(df, value, picks, keys, extras):
@@ -135,9 +134,8 @@ def _cell(pick: Column, v: Column) -> Column:
 
 def _pick_large(df, value, picks, keys, extras, few_keys):
     ladder = _ladder(picks)
-    by = keys or [_ONE]
-    base = df if keys else df.withColumn(_ONE, F.lit(0))
-    sketch = base.groupBy(*by).agg(
+    by = keys
+    sketch = df.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.percentile_approx(F.col(value).cast("double"), ladder, SKETCH_ACCURACY).alias("__steps"),
         *extras,
@@ -150,13 +148,10 @@ def _pick_large(df, value, picks, keys, extras, few_keys):
         )
     brackets = sketch.where(F.col("n") > 0).select(*by, F.array(*specs).alias("__picks"))
 
-    def side(small):
-        # Column-name keys are bounded by the schema; other keys are left to the adaptive planner.
-        return F.broadcast(small) if few_keys else small
-
-    values = base.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    # Column-name keys are bounded by the schema; other keys are left to the adaptive planner.
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
     cells = (
-        values.join(side(brackets), by)
+        attach(values, brackets, by, few_keys)
         .select(*by, "__v", F.explode("__picks").alias("__p"))
         .groupBy(*by, "__p", _cell(F.col("__p"), F.col("__v")).alias("__cell"))
         .agg(F.count(F.lit(1)).alias("__c"))
@@ -173,7 +168,7 @@ def _pick_large(df, value, picks, keys, extras, few_keys):
         .agg(F.collect_list(F.struct("__p", "__cell", "__before")).alias("__wanted"))
     )
     found = (
-        values.join(side(wanted), by)
+        attach(values, wanted, by, few_keys)
         .select(*by, "__v", F.explode("__wanted").alias("__w"))
         .where(_cell(F.col("__w.__p"), F.col("__v")) == F.col("__w.__cell"))
         .groupBy(*by, "__w", "__v")
@@ -195,11 +190,11 @@ def _pick_large(df, value, picks, keys, extras, few_keys):
         ends.append(F.max(F.when(mine & holds(F.floor(spot)), F.col("__v"))).alias(f"__lo{i}"))
         ends.append(F.max(F.when(mine & holds(F.ceil(spot)), F.col("__v"))).alias(f"__hi{i}"))
     chosen = found.groupBy(*by).agg(*ends)
-    out = sketch.drop("__steps").join(side(chosen), by, "left")
+    out = attach(sketch.drop("__steps"), chosen, by, few_keys, "left")
     for i, p in enumerate(picks):
         lo, hi, pos = F.col(f"__lo{i}"), F.col(f"__hi{i}"), p.position(F.col("n"))
         out = out.withColumn(p.name, lo if p.whole else lo + (pos - F.floor(pos)) * (hi - lo))
-    return out.drop(_ONE, *[f"__lo{i}" for i in range(len(picks))], *[f"__hi{i}" for i in range(len(picks))])
+    return out.drop(*[f"__lo{i}" for i in range(len(picks))], *[f"__hi{i}" for i in range(len(picks))])
 
 
 def running_totals(df: DataFrame, value: str, weights: Sequence[str]) -> DataFrame:
@@ -214,24 +209,12 @@ def running_totals(df: DataFrame, value: str, weights: Sequence[str]) -> DataFra
         return distinct.select(
             value, *weights, *[(F.sum(w).over(order) - F.col(w)).alias(f"before_{w}") for w in weights]
         )
-    marks = [(i + 1) / (BLOCK * BLOCK) for i in range(BLOCK * BLOCK)]
-    coarse_marks = marks[BLOCK - 1 :: BLOCK]
-    x = F.col(value).cast("double")
-    splits = distinct.agg(
-        F.percentile_approx(x, marks, SKETCH_ACCURACY).alias("__fine"),
-        F.percentile_approx(x, coarse_marks, SKETCH_ACCURACY).alias("__coarse"),
-    ).withColumn(_ONE, F.lit(0))
-    below = lambda steps: F.size(F.filter(steps, lambda s: s < x))
-    block = below(F.col("__coarse"))
-    placed = (
-        distinct.withColumn(_ONE, F.lit(0))
-        .join(F.broadcast(splits), _ONE)
-        .withColumn("__block", block)
-        .withColumn(
-            "__bucket", F.col("__block") * BLOCK + below(F.slice("__fine", F.col("__block") * BLOCK + 1, F.lit(BLOCK)))
-        )
-        .select(value, *weights, "__bucket")
+    # Three steps read the distinct values: the split points, the bucket totals and the buckets themselves.
+    distinct = settle(distinct.withColumn("__x", F.col(value).cast("double")), "distinct-values")
+    cutter = QuantileDiscretizer(
+        numBuckets=BUCKETS, relativeError=1 / SKETCH_ACCURACY, inputCol="__x", outputCol="__bucket"
     )
+    placed = cutter.fit(distinct).transform(distinct).select(value, *weights, "__bucket")
     every = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = (
         placed.groupBy("__bucket")

@@ -12,6 +12,7 @@ from ledgerline.errors import TrainingError
 from ledgerline.functions import ranks, values as V
 from ledgerline.operators.aggregates import top_values
 from ledgerline.operators.describe import column_quantiles
+from ledgerline.runtime import attach
 
 TEST_SHARE = 0.2
 SEED = 42
@@ -27,13 +28,14 @@ def row_key(row_id: str, salt: str = str(SEED)) -> Column:
 def hold_out(df: DataFrame, row_id: str, label: str | None = None) -> DataFrame:
     """Adds ``is_test`` for a fifth of the rows, of each class if ``label`` names one.
 
-    The cut is the key of the wanted rank within the class, found without gathering the class.
+    The cut is the key of the wanted rank within the class, found without gathering the class. There is
+    one cut per class, and training checks the number of classes first.
     """
     keys = [label] if label else []
     keyed = df.withColumn("__key", row_key(row_id))
     pick = ranks.kth("__cut", lambda n: F.floor(n * F.lit(TEST_SHARE) + 0.5))
     cuts = ranks.pick_values(keyed.select(*keys, "__key"), "__key", [pick], keys, few_keys=True).drop("n")
-    return _join_cuts(keyed, cuts, keys).withColumn(
+    return attach(keyed, cuts, keys, small=True).withColumn(
         "is_test", F.coalesce(F.col("__key") <= F.col("__cut"), F.lit(False))
     ).drop("__key", "__cut")
 
@@ -46,7 +48,7 @@ def with_folds(df: DataFrame, row_id: str, folds: int, label: str | None = None)
         ranks.kth(f"__cut{i}", lambda n, i=i: F.floor(n * F.lit(i / folds) + 0.5)) for i in range(1, folds)
     ]
     cuts = ranks.pick_values(keyed.select(*keys, "__key"), "__key", picks, keys, few_keys=True).drop("n")
-    joined = _join_cuts(keyed, cuts, keys)
+    joined = attach(keyed, cuts, keys, small=True)
     above = [F.when(F.coalesce(F.col("__key") > F.col(p.name), F.lit(True)), 1).otherwise(0) for p in picks]
     fold = above[0]
     for part in above[1:]:
@@ -54,13 +56,6 @@ def with_folds(df: DataFrame, row_id: str, folds: int, label: str | None = None)
     return joined.withColumn("fold", fold).drop("__key", *[p.name for p in picks])
 
 
-def _join_cuts(df: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    # One row per class; the class count is checked before training starts.
-    if keys:
-        return df.join(F.broadcast(cuts), keys)
-    return df.withColumn("__k", F.lit(0)).join(F.broadcast(cuts.withColumn("__k", F.lit(0))), "__k").drop("__k")
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -91,22 +91,30 @@ def path_score(nodes: pd.DataFrame):
     """A vectorised scoring column for a collected node table (its size is fixed by the forest)."""
     trees = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
-        trees.append(tuple(t[c].to_numpy() for c in ("feature", "cut", "left", "right", "depth")))
+        leaf = t["feature"].to_numpy() < 0
+        own = t["node"].to_numpy()
+        # A leaf leads back to itself, so every row can take the same number of steps.
+        trees.append(
+            (
+                np.where(leaf, 0, t["feature"]),
+                t["cut"].to_numpy(),
+                np.where(leaf, own, t["left"]),
+                np.where(leaf, own, t["right"]),
+                t["depth"].to_numpy(),
+            )
+        )
+    steps = int(np.ceil(np.log2(max(nodes["sample"].max(), 2))))
     norm = max(mean_path(float(nodes["sample"].max())), 1e-12)
 
     @F.pandas_udf("double")
     def score(cells: pd.DataFrame) -> pd.Series:
-        x = cells.to_numpy(float)
-        total, every = np.zeros(len(x)), np.arange(len(x))
+        n = len(cells)
+        x, every = np.ascontiguousarray(cells.to_numpy(float).T).ravel(), np.arange(n)
+        total = np.zeros(n)
         for feature, cut, left, right, depth in trees:
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                f = feature[at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                goes_left = x[every, np.maximum(f, 0)] <= cut[at]
-                at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+            at = np.zeros(n, dtype=np.int64)
+            for _ in range(steps):
+                at = np.where(x[feature[at] * n + every] <= cut[at], left[at], right[at])
             total += depth[at]
         return pd.Series(np.power(2.0, -(total / len(trees)) / norm))
 

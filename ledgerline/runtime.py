@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Below this estimated plan size an operator may use the short form that keeps one group's
 # values in one task (exact percentile map, single window). Above it the distributed form runs.
@@ -64,3 +64,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def attach(df: DataFrame, other: DataFrame, keys: list[str], small: bool = False, how: str = "inner") -> DataFrame:
+    """Columns of ``other`` beside the rows of ``df``: by key, or from its only row if there are no keys.
+
+    ``small`` states that ``other`` is bounded by the schema, the class list or the calendar, so that it
+    may be broadcast. The only row of a keyless table travels as a scalar subquery.
+    """
+    if keys:
+        return df.join(F.broadcast(other) if small else other, keys, how)
+    row = other.select(F.struct(*other.columns).alias("__row")).scalar()
+    return df.withColumn("__row", row).select(*df.columns, "__row.*")
