@@ -239,4 +239,5 @@ def dataset_context(df: DataFrame) -> DataFrame:
         )
         .select("column", "unique_count", F.array_join("t.value", ", ").alias("top_values"))
     )
-    return base.join(F.broadcast(tops), "column", "left")
+    joined = base.join(F.broadcast(tops), "column", "left")
+    return joined.select(*base.columns, "unique_count", "top_values")

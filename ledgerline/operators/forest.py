@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerline.functions import ranks, values as V
 from ledgerline.operators.predicates import complete_rows
@@ -66,18 +66,27 @@ def fit_forest(df: DataFrame, columns: Sequence[str], row_id: str, trees: int =
         V.ref(row_id).alias("id"), *[V.number(df, c).alias(n) for c, n in zip(columns, names)]
     )
     pool = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(POOL)
-    # About twice a sample's rows per tree; each tree then keeps the SAMPLE smallest keys.
-    share = F.lit(float(2 * SAMPLE)) / pool.agg(F.count(F.lit(1)).alias("n")).scalar()
-    key = F.pmod(F.xxhash64("id", "tree", F.lit(SEED)), F.lit(1 << 31)).cast("double") / F.lit(float(1 << 31))
+    # The pool is dealt out in shuffled order, as often as needed: each deal gives whole samples of
+    # distinct rows, and all deals together hold about trees x SAMPLE rows.
+    size = pool.agg(F.count(F.lit(1)).alias("n")).select(F.greatest("n", F.lit(1)).alias("n")).scalar()
+    dealt = (
+        pool.withColumn("n", size)
+        .withColumn("sample", F.least(F.col("n"), F.lit(SAMPLE)))
+        .withColumn("per_deal", F.floor(F.col("n") / F.col("sample")))
+        .select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(trees) / F.col("per_deal")).cast("int") - 1)).alias("deal"))
+    )
+    order = W.partitionBy("deal").orderBy(F.xxhash64("id", "deal", F.lit(SEED)), "id")
     drawn = (
-        pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("key", key)
-        .where((F.col("key") < share) | (share > 0.5))
+        dealt.withColumn("group", F.floor((F.row_number().over(order) - 1) / F.col("sample")))
+        .where(F.col("group") < F.col("per_deal"))
+        .withColumn("tree", F.col("deal") * F.col("per_deal") + F.col("group"))
+        .where(F.col("tree") < trees)
+        .select("tree", "id", *names)
     )
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.nsmallest(SAMPLE, ["key", "id"])
+        pdf = pdf.sort_values("id")
         nodes = _grow(pdf[names].to_numpy(float), np.random.default_rng([SEED, tree]))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "right", "depth"])
         out.insert(0, "tree", tree)

@@ -10,6 +10,7 @@ from ledgerline.operators.quality import missing_cells
 from ledgerline.operators.roles import inline_agg
 
 PREVIEW_ROWS = 15
+UPLOAD_BYTES = 50 * 1024 * 1024
 CHUNKED_BYTES = 150 * 1024 * 1024
 STALE_HOURS = 24
 
@@ -154,14 +155,20 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     return list_files(spark, path).agg(F.sum("length").alias("bytes"))
 
 
-def admit(spark: SparkSession, path: str) -> DataFrame:
-    """(path, extension, accepted, reason) for every file of a landing folder, by name and first bytes."""
-    head = F.hex(F.substring("content", 1, 8))
-    files = list_files(spark, path, content=True).select(
+def admit(spark: SparkSession, path: str, max_bytes: int = UPLOAD_BYTES) -> DataFrame:
+    """(path, extension, accepted, reason) for every file of a landing folder, by name, size and content.
+
+    The size test reaches the file listing, so the content of oversized files is never read.
+    """
+    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension")
+    oversized = list_files(spark, path).where(F.col("length") > max_bytes).select(
+        "path", extension, F.lit(False).alias("accepted"), F.lit("File exceeds the maximum upload size.").alias("reason")
+    )
+    files = list_files(spark, path, content=True).where(F.col("length") <= max_bytes).select(
         "path",
-        F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension"),
-        head.alias("head"),
-        (F.octet_length(F.trim(F.decode(F.substring("content", 1, 4096), "ISO-8859-1"))) == 0).alias("blank"),
+        extension,
+        F.hex(F.substring("content", 1, 8)).alias("head"),
+        (~F.decode("content", "ISO-8859-1").rlike(r"\S")).alias("blank"),
     )
     extension = F.col("extension")
     reason = (
@@ -171,7 +178,7 @@ def admit(spark: SparkSession, path: str) -> DataFrame:
         .when((extension == "csv") & F.col("head").rlike("^(..)*00"), "This file doesn't look like a valid CSV (binary content detected).")
         .when((extension == "csv") & F.col("blank"), "The uploaded file is empty.")
     )
-    return files.select("path", "extension", reason.isNull().alias("accepted"), reason.alias("reason"))
+    return files.select("path", "extension", reason.isNull().alias("accepted"), reason.alias("reason")).union(oversized)
 
 
 def stale_files(spark: SparkSession, path: str, hours: float = STALE_HOURS) -> DataFrame:
