@@ -5,8 +5,8 @@ while the input is small, and :func:`pick_values` uses it behind a size check. B
 answer comes from three partially aggregated passes, none of which gathers a group:
 
 1. a bounded quantile sketch per key gives a narrow bracket around each wanted rank;
-2. the bracket is cut into a fixed grid and its cells are counted, with two open cells outside the
-   bracket, so that the cell holding the wanted rank is known exactly even if the sketch were off;
+2. the bracket is cut into a fixed grid and rows are counted by cell, with an open cell on either side of
+   the bracket, so that the cell holding the wanted rank is known exactly even if the sketch were off;
 3. only the distinct values of that cell are ordered.
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -118,9 +120,8 @@ def _ladder(picks: Sequence[Pick]) -> list[float]:
     return list(dict.fromkeys(marks))
 
 
-def _cell(pick: Column, v: Column) -> Column:
-    """Grid cell of a value inside a pick's bracket; grows with the value, open at both ends."""
-    x, a, b = v.cast("double"), pick["a"], pick["b"]
+def _cell(x: Column, a: Column, b: Column) -> Column:
+    """Grid cell of a value inside a bracket; grows with the value, open at both ends."""
     width = b - a
     inside = F.least(F.floor((x - a) / width * GRID), F.lit(GRID - 1))
     return (
@@ -134,67 +135,82 @@ def _cell(pick: Column, v: Column) -> Column:
 
 def _pick_large(df, value, picks, keys, extras, few_keys):
     ladder = _ladder(picks)
-    by = keys
+    by, numbers = list(keys), range(len(picks))
     sketch = df.groupBy(*by).agg(
         F.count(value).alias("n"),
         F.percentile_approx(F.col(value).cast("double"), ladder, SKETCH_ACCURACY).alias("__steps"),
         *extras,
     )
-    specs = []
+    extra_names = [c for c in sketch.columns if c not in (*by, "n", "__steps")]
+    flat = []
     for i, p in enumerate(picks):
         low, high = _bracket(p, ladder)
-        specs.append(
-            F.struct(F.lit(i).alias("i"), p.position(F.col("n")).alias("at"), low.alias("a"), high.alias("b"))
-        )
-    brackets = sketch.where(F.col("n") > 0).select(*by, F.array(*specs).alias("__picks"))
+        flat += [p.position(F.col("n")).alias(f"__at{i}"), low.alias(f"__a{i}"), high.alias(f"__b{i}")]
+    # The two small tables between the passes are written, so that each pass reads the input once.
+    sketch = settle(sketch.select(*by, "n", *extra_names, *flat), "rank-brackets")
+    marks = [f"__{m}{i}" for i in numbers for m in ("at", "a", "b")]
+    brackets = sketch.where(F.col("n") > 0).select(*by, *marks)
 
     # Column-name keys are bounded by the schema; other keys are left to the adaptive planner.
     values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    x = F.col("__v").cast("double")
+    cell = [_cell(x, F.col(f"__a{i}"), F.col(f"__b{i}")) for i in numbers]
+    beside = attach(values, brackets, by, few_keys)
+
+    # One count per combination of cells. Rows outside every bracket share a handful of combinations, so
+    # tasks send on little more than the occupied cells.
+    grid = beside.groupBy(*by, *[c.alias(f"__c{i}") for i, c in enumerate(cell)]).agg(F.count(F.lit(1)).alias("c"))
+    spread = [F.struct(F.lit(i).alias("i"), F.col(f"__c{i}").alias("cell")) for i in numbers]
     cells = (
-        attach(values, brackets, by, few_keys)
-        .select(*by, "__v", F.explode("__picks").alias("__p"))
-        .groupBy(*by, "__p", _cell(F.col("__p"), F.col("__v")).alias("__cell"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    upto = F.sum("__c").over(
-        W.partitionBy(*by, "__p").orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+        grid.select(*by, "c", F.inline(F.array(*spread))).groupBy(*by, "i", "cell").agg(F.sum("c").alias("c"))
     )
-    at = F.col("__p.at")
-    wanted = (
-        cells.withColumn("__upto", upto)
-        .withColumn("__before", F.col("__upto") - F.col("__c"))
-        .where((F.col("__before") <= F.ceil(at)) & (F.col("__upto") > F.floor(at)))
-        .groupBy(*by)
-        .agg(F.collect_list(F.struct("__p", "__cell", "__before")).alias("__wanted"))
+    upto = F.sum("c").over(W.partitionBy(*by, "i").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = cells.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+    ends = []
+    for i in numbers:
+        at = F.col(f"__at{i}")
+        holds = lambda rank: (F.col("before") <= rank) & (F.col("upto") > rank)
+        for end, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
+            spot = F.when((F.col("i") == i) & holds(rank), F.struct("cell", "before"))
+            ends.append(F.max(spot).alias(f"__{end}{i}"))
+    ends = attach(placed, brackets, by, few_keys).groupBy(*by).agg(*ends)
+    wanted = settle(attach(brackets, ends, by, few_keys), "rank-cells")
+
+    # Only the values of the cells that hold a wanted rank are ordered, each once.
+    match = [
+        F.coalesce((cell[i] == F.col(f"__l{i}.cell")) | (cell[i] == F.col(f"__h{i}.cell")), F.lit(False)) for i in numbers
+    ]
+    near = (
+        attach(values, wanted, by, few_keys)
+        .where(reduce(or_, match))
+        .groupBy(*by, "__v")
+        .agg(F.count(F.lit(1)).alias("c"))
     )
+    spots = []
+    for i in numbers:
+        from_low = cell[i] == F.col(f"__l{i}.cell")
+        before = F.when(from_low, F.col(f"__l{i}.before")).otherwise(F.col(f"__h{i}.before"))
+        place = (F.lit(i).alias("i"), cell[i].alias("cell"), before.alias("before"), F.col(f"__at{i}").alias("at"))
+        spots.append(F.when(match[i], F.struct(*place)))
     found = (
-        attach(values, wanted, by, few_keys)
-        .select(*by, "__v", F.explode("__wanted").alias("__w"))
-        .where(_cell(F.col("__w.__p"), F.col("__v")) == F.col("__w.__cell"))
-        .groupBy(*by, "__w", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn(
-            "__end",
-            F.col("__w.__before")
-            + F.sum("__c").over(
-                W.partitionBy(*by, "__w").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-            ),
-        )
-        .withColumn("__start", F.col("__end") - F.col("__c"))
+        attach(near, wanted, by, few_keys)
+        .select(*by, "__v", "c", F.explode(F.array_compact(F.array(*spots))).alias("w"))
+        .select(*by, "__v", "c", "w.*")
     )
-    spot = F.col("__w.__p.at")
-    holds = lambda rank: (F.col("__start") <= rank) & (F.col("__end") > rank)
-    ends = []
-    for i, p in enumerate(picks):
-        mine = F.col("__w.__p.i") == i
-        ends.append(F.max(F.when(mine & holds(F.floor(spot)), F.col("__v"))).alias(f"__lo{i}"))
-        ends.append(F.max(F.when(mine & holds(F.ceil(spot)), F.col("__v"))).alias(f"__hi{i}"))
-    chosen = found.groupBy(*by).agg(*ends)
-    out = attach(sketch.drop("__steps"), chosen, by, few_keys, "left")
+    running = F.sum("c").over(
+        W.partitionBy(*by, "i", "cell").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    found = found.withColumn("end", F.col("before") + running).withColumn("start", F.col("end") - F.col("c"))
+    chosen = []
+    for i in numbers:
+        for end, rank in (("lo", F.floor("at")), ("hi", F.ceil("at"))):
+            here = (F.col("i") == i) & (F.col("start") <= rank) & (F.col("end") > rank)
+            chosen.append(F.max(F.when(here, F.col("__v"))).alias(f"__{end}{i}"))
+    out = attach(sketch.drop(*marks), found.groupBy(*by).agg(*chosen), by, few_keys, "left")
     for i, p in enumerate(picks):
         lo, hi, pos = F.col(f"__lo{i}"), F.col(f"__hi{i}"), p.position(F.col("n"))
         out = out.withColumn(p.name, lo if p.whole else lo + (pos - F.floor(pos)) * (hi - lo))
-    return out.drop(*[f"__lo{i}" for i in range(len(picks))], *[f"__hi{i}" for i in range(len(picks))])
+    return out.drop(*[f"__{end}{i}" for end in ("lo", "hi") for i in numbers])
 
 
 def running_totals(df: DataFrame, value: str, weights: Sequence[str]) -> DataFrame:

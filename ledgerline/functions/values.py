@@ -10,31 +10,21 @@ MISSING_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Date spellings accepted everywhere a text column is read as a date.
-DATE_FORMATS = [
-    "yyyy-M-d",
-    "yyyy-M-d HH:mm:ss",
-    "yyyy-M-d HH:mm:ss.SSSSSS",
-    "yyyy-M-d HH:mm",
-    "yyyy-M-d'T'HH:mm:ss",
-    "yyyy-M-d'T'HH:mm:ss.SSSSSS",
-    "yyyy/M/d",
-    "yyyy/M/d HH:mm:ss",
-    "M/d/yyyy",
-    "M/d/yyyy HH:mm:ss",
-    "M/d/yyyy HH:mm",
-    "d-MMM-yyyy",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-]
+# Date spellings accepted everywhere a text column is read as a date, each with the shape
+# a text must have before the costly parser is tried on it.
+DATE_FORMATS = {
+    "yyyy-M-d[['T'][ ]HH:mm[:ss[.SSSSSS]]]": r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$",
+    "yyyy/M/d[ HH:mm[:ss]]": r"^\d{4}/\d{1,2}/\d{1,2}( \d{2}:\d{2}(:\d{2})?)?$",
+    "M/d/yyyy[ HH:mm[:ss]]": r"^\d{1,2}/\d{1,2}/\d{4}( \d{2}:\d{2}(:\d{2})?)?$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$",
+    "d MMM yyyy": r"^\d{1,2} [A-Z][a-z]{2} \d{4}$",
+    "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
+    "MMMM d, yyyy": r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$",
+}
 
 # Fixed value: plain decimal or scientific notation; keeps out Spark's own suffixes such as 1d.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Every accepted date spelling starts like this and is at most this long.
-DATE_SHAPE = r"^\s*(\d{1,4}[-/ ][0-9A-Za-z]|[A-Za-z]{3,9} \d).{3,28}$"
-
 _FLOATING = (T.FloatType, T.DoubleType)
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -90,12 +80,13 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """Text to a zone-less timestamp, first matching spelling of DATE_FORMATS.
-
-    The shape test keeps free text away from the parsers, whose failures are costly.
-    """
-    attempts = [F.try_to_timestamp(F.trim(text), F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.when(text.rlike(DATE_SHAPE), F.coalesce(*attempts)).cast("timestamp_ntz")
+    """Text to a zone-less timestamp by the first spelling whose shape it has."""
+    trimmed = F.trim(text)
+    out = None
+    for spelling, shape in DATE_FORMATS.items():
+        stamp = F.try_to_timestamp(trimmed, F.lit(spelling))
+        out = F.when(trimmed.rlike(shape), stamp) if out is None else out.when(trimmed.rlike(shape), stamp)
+    return out.cast("timestamp_ntz")
 
 
 def timestamp(df: DataFrame, name: str) -> Column:

@@ -99,27 +99,26 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     """(column, rank, value, count, total, unique_count) for the ``k`` most frequent values of each column."""
-    counts = _counts(df, columns)
-    totals = counts.groupBy("column").agg(
-        F.sum("count").alias("total"), F.count(F.lit(1)).alias("unique_count")
+    pairs = [F.struct(F.lit(i).alias("code"), V.text(df, c).alias("value")) for i, c in enumerate(columns)]
+    counts = (
+        df.select(F.inline(F.array(*pairs)))
+        .where(F.col("value").isNotNull())
+        .groupBy("code", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
     )
-    order = W.partitionBy("column").orderBy(F.desc("count"), "value")
+    totals = counts.groupBy("code").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("unique_count"))
+    order = W.partitionBy("code").orderBy(F.desc("count"), "value")
     # A rank filter this small is applied inside each task before the shuffle.
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.join(F.broadcast(totals), "column").select(
-        "column", F.col("rank").cast("long").alias("rank"), "value", "count", "total", "unique_count"
-    )
-
-
-def _counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    wide = df.select(*[V.text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"c{i}", c)])
-    return (
-        wide.unpivot([], [f"c{i}" for i in range(len(columns))], "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("column", names[F.col("column")])
+    names = F.array(*[F.lit(c) for c in columns])
+    # One row of totals per column of the schema.
+    return best.join(F.broadcast(totals), "code").select(
+        F.get(names, F.col("code")).alias("column"),
+        F.col("rank").cast("long").alias("rank"),
+        "value",
+        "count",
+        "total",
+        "unique_count",
     )
 
 

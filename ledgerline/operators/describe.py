@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions import ranks, values as V
 from ledgerline.functions.stats import pair_corr
@@ -17,18 +17,22 @@ NUMERIC_METRICS = ("count", "mean", "median", "mode", "std", "min", "max", "q1",
 
 
 def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) for the present numbers of the chosen columns."""
-    wide = df.select(*[V.number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    names = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (f"c{i}", c)])
-    long = wide.unpivot([], [f"c{i}" for i in range(len(columns))], "column", "value")
-    return long.where(F.col("value").isNotNull()).withColumn("column", names[F.col("column")])
+    """(code, value) for the present numbers of the chosen columns; the code is the place in ``columns``."""
+    pairs = [F.struct(F.lit(i).alias("code"), V.number(df, c).alias("value")) for i, c in enumerate(columns)]
+    return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], picks: Sequence[ranks.Pick]) -> DataFrame:
-    """(column, n, one column per pick); the keys are column names, so their number is the schema's."""
-    return ranks.pick_values(
-        numeric_long(df, columns), "value", picks, ["column"], few_keys=True, copies=len(columns)
+def column_name(columns: Sequence[str]) -> Column:
+    """The name behind a code."""
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("code")).alias("column")
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], picks: Sequence[ranks.Pick], coded: bool = False) -> DataFrame:
+    """(column, n, one column per pick); there are as many keys as chosen columns."""
+    out = ranks.pick_values(
+        numeric_long(df, columns), "value", picks, ["code"], few_keys=True, copies=len(columns)
     )
+    return out if coded else out.select(column_name(columns), *[c for c in out.columns if c != "code"])
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,7 +54,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
     picks = [ranks.quantile("q1", 0.25), ranks.quantile("median", 0.5), ranks.quantile("q3", 0.75)]
     quantiles = column_quantiles(df, columns, picks).drop("n")
-    mode = ranks.modes(numeric_long(df, columns), "value", ["column"]).drop("mode_count")
+    mode = ranks.modes(numeric_long(df, columns), "value", ["code"]).select(column_name(columns), "mode")
     # Both joined sides hold one row per column.
     out = moments.join(F.broadcast(quantiles), "column", "left").join(F.broadcast(mode), "column", "left")
     return out.select("column", "count", *[F.round(m, 4).alias(m) for m in NUMERIC_METRICS[1:]])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerline.errors import IngestError
 from ledgerline.functions import ranks, values as V
-from ledgerline.operators.describe import column_quantiles, numeric_long
+from ledgerline.operators.describe import column_name, column_quantiles, numeric_long
 from ledgerline.operators.roles import inline_agg, role_lists
 from ledgerline.runtime import is_small
 
@@ -139,12 +139,12 @@ def high_cardinality(df: DataFrame) -> DataFrame:
     )
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, q1, q3, iqr, lower, upper) per numeric column."""
+def iqr_bounds(df: DataFrame, columns: Sequence[str], coded: bool = False) -> DataFrame:
+    """(column or code, n, q1, q3, iqr, lower, upper) per numeric column."""
     picks = [ranks.quantile("q1", 0.25), ranks.quantile("q3", 0.75)]
     iqr = F.col("q3") - F.col("q1")
-    return column_quantiles(df, columns, picks).select(
-        "column",
+    return column_quantiles(df, columns, picks, coded).select(
+        "code" if coded else "column",
         "n",
         "q1",
         "q3",
@@ -157,16 +157,16 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, count, lower_bound, upper_bound) of numeric columns with values beyond the fences."""
     columns = list(columns or role_lists(df)["numeric"])
-    bounds = iqr_bounds(df, columns).where((F.col("n") >= MIN_OUTLIER_ROWS) & (F.col("iqr") != 0))
+    bounds = iqr_bounds(df, columns, coded=True).where((F.col("n") >= MIN_OUTLIER_ROWS) & (F.col("iqr") != 0))
     beyond = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
     # One row of bounds per column of the schema.
     return (
         numeric_long(df, columns)
-        .join(F.broadcast(bounds), "column")
+        .join(F.broadcast(bounds), "code")
         .where(beyond)
-        .groupBy("column", "lower", "upper")
+        .groupBy("code", "lower", "upper")
         .agg(F.count(F.lit(1)).alias("count"))
-        .select("column", "count", F.round("lower", 4).alias("lower_bound"), F.round("upper", 4).alias("upper_bound"))
+        .select(column_name(columns), "count", F.round("lower", 4).alias("lower_bound"), F.round("upper", 4).alias("upper_bound"))
     )
 
 

@@ -51,4 +51,6 @@ def duck():
 
 
 def plan_text(df):
-    return df._jdf.queryExecution().toString()
+    """The physical plan with untruncated scan details."""
+    java = df.sparkSession._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
+    return java.explainString(df._jdf.queryExecution(), "formatted")
