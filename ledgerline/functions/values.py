@@ -111,3 +111,14 @@ def iso(stamp: Column) -> Column:
     plain = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(stamp, "SSSSSS")
     return F.when(micros == "000000", plain).otherwise(F.concat(plain, F.lit("."), micros))
+
+
+def two_places(number: Column) -> Column:
+    """A double as text with two decimals, rounded by its exact binary value, ties to even.
+
+    Taking off the whole part first is exact and uncovers the digits that the short text form hides.
+    """
+    whole = F.floor(number)
+    rest = F.bround((number - whole).cast("decimal(38,18)"), 2)
+    exact = (whole.cast("decimal(36,2)") + rest).cast("decimal(38,2)").cast("string")
+    return F.when(F.abs(number) < 1e15, exact).otherwise(F.format_string("%.2f", number))
