@@ -57,4 +57,5 @@ def test_no_query_pairs_all_rows(spark, large, name):
 @pytest.mark.parametrize("name", ["plan_aggregate_median", "plan_grouped_median", "eda_numeric", "quality_outliers", "clean_clip_outliers"])
 def test_large_inputs_never_gather_a_group(spark, large, name):
     plan = _plan(entry.queries()[name](spark, FOLDER))
-    assert " percentile(" not in plan and "collect_list(__v" not in plan and "percentile_approx" in plan
+    # The bracketing marks come from a written table; no aggregate holds a group's values.
+    assert " percentile(" not in plan and "collect_list" not in plan and "__at0" in plan
