@@ -97,13 +97,18 @@ def card(permute: Permutation, found: str) -> str | None:
 
 
 def phone(permute: Permutation, found: str) -> str | None:
-    """North American numbers: area and exchange begin with 2 to 9 before and after."""
+    """North American numbers: area and exchange begin with 2 to 9 before and after; other numbers need the country code."""
     digits = re.sub(r"\D", "", found)
     head, number = digits[:-10], digits[-10:]
-    if number[0] in "01" or number[3] in "01":
+    if number[0] not in "01" and number[3] not in "01":
+        number = _mixed(permute, "phone", [("23456789" if i in (0, 3) else DIGITS, c) for i, c in enumerate(number)])
+    elif head:
+        number = _mixed(permute, "other phone", [(DIGITS, c) for c in number])
+        while number[0] not in "01" and number[3] not in "01":
+            number = _mixed(permute, "other phone", [(DIGITS, c) for c in number])
+    else:
         return None
-    places = [("23456789" if i in (0, 3) else DIGITS, c) for i, c in enumerate(number)]
-    return _put(found, head + _mixed(permute, "phone", places))
+    return _put(found, head + number)
 
 
 def social(permute: Permutation, found: str) -> str | None:
@@ -118,14 +123,14 @@ def social(permute: Permutation, found: str) -> str | None:
 
 
 def address(permute: Permutation, found: str) -> str | None:
-    """IPv4 addresses with a first part of 1 to 223, loopback left out."""
+    """IPv4 addresses whose first part is neither 0 nor 127 (this host)."""
     parts = [int(x) for x in found.split(".")]
-    if any(str(n) != x for n, x in zip(parts, found.split("."))) or max(parts) > 255 or not 1 <= parts[0] <= 223 or parts[0] == 127:
+    if any(str(n) != x for n, x in zip(parts, found.split("."))) or max(parts) > 255 or parts[0] in (0, 127):
         return None
     value = parts[0] - 1 - (parts[0] > 127)
     for x in parts[1:]:
         value = value * 256 + x
-    value = permute("address", value, 222 << 24)
+    value = permute("address", value, 254 << 24)
     first = (value >> 24) + 1
     return ".".join(map(str, (first + (first >= 127), value >> 16 & 255, value >> 8 & 255, value & 255)))
 
