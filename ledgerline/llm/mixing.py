@@ -159,7 +159,7 @@ def slots(targets: DataFrame, mix: Mix = Mix()) -> DataFrame:
         # A row for each thousand slots first, so that no task has to write out a whole shard of one source.
         .withColumn("from", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + F.col("n"), "goal") - 1, F.lit(1000))))
         .withColumn("to", F.least(F.col("from") + 1000, F.col("first") + F.col("n"), "goal"))
-        .repartition("rank", "from")
+        .repartition(max(1, -(-total // (1 << 17))), "rank", "from")
         .withColumn("nth", F.explode(F.sequence("from", F.col("to") - 1)))
     )
     epoch = (F.col("nth") / F.col("blocks")).cast("long")

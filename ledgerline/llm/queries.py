@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import decontamination, language_id, mixing, pii, simhash
+from ledgerline.llm import decontamination, language_id, mixing, pii, quality_rules, simhash, token_counts, url_filters, warc
+from ledgerline.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -14,6 +15,19 @@ SQL: dict[str, str] = {}
 # A deployment passes its own; pseudonyms stay linked as long as it stays the same.
 PII_KEY = b"ledgerline example key"
 
+# Fixed value: the pattern that belongs to the vocabulary; another place is a parameter of ``token_counts.Tokenizer``.
+RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+# The rules of the URL contract (host, path, verdict).
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
 
 def query(name: str, sql: str | None = None):
     def keep(fn):
@@ -39,12 +53,98 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.words_taken(table(spark, folder, "documents"))
 
 
+@query(
+    "op3_url_filters",
+    r"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+split AS (
+    SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS rest,
+        CASE WHEN instr(url, '://') > 0 THEN translate(url[:instr(url, '://') + 2], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS scheme
+    FROM pages),
+page AS (
+    SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+        scheme || translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS address
+    FROM split),
+ruled AS (
+    SELECT page_id, html, host, path, address,
+        (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1) AS rule,
+        (SELECT v FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1) AS v
+    FROM page),
+-- Absolute canonical links between the pages themselves.
+edge AS (
+    SELECT address AS a, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"#]*)', 1) AS b FROM ruled WHERE html LIKE '%rel="canonical"%'),
+both_ways AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
+reach(a, b) AS (
+    SELECT DISTINCT address, address FROM ruled WHERE v = 'block' AND address IS NOT NULL
+    UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN address IN (SELECT b FROM reach) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_pages(table(spark, folder, "pages"), rules)
+
+
+@query(
+    "op5_warc",
+    """
+WITH page AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+digested AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM page),
+first AS (SELECT payload_digest, min(page_id) AS f FROM digested WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN f <> page_id THEN f END AS refers_to
+FROM digested LEFT JOIN first USING (payload_digest)
+""",
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query("op6_simhash")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, folder, "documents"), shingle=3, distance=2)
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+@query(
+    "op7_quality_rules",
+    r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM doc, unnest(range(1, len(w) - 3)) AS r(i) WHERE len(w) >= 5),
+again AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT j) AS n FROM win JOIN again USING (doc_id, k), unnest(range(i, i + 5)) AS r(j) GROUP BY doc_id),
+measured AS (
+    SELECT d.doc_id, text, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+    FROM doc d LEFT JOIN covered c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR word_chars < 3 * n_words
+        OR word_chars > 10 * n_words OR 10 * n_dup_lines > 4 * n_lines
+        OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > len(regexp_extract_all(text, '\p{L}'))
+        OR 10 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 3 * n_words) AS kept
+FROM measured
+""",
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = token_counts.Tokenizer(RANKS, PATTERN)
+    return token_counts.document_counts(table(spark, folder, "documents"), scratch_path(spark, "tokens"), tokenizer)
+
+
 @query(
     "op9_decontamination",
     r"""
