@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import decontamination, language_id, mixing, pii, quality_rules, simhash, token_counts, url_filters, warc
+from ledgerline.llm import decontamination, language_id, mixing, pii, quality_rules, simhash, suffix_index, token_counts, url_filters, warc
 from ledgerline.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge_pages(table(spark, folder, "pages"), rules)
 
 
+@query("op4_suffix_index")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_index.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 @query(
     "op5_warc",
     """
