@@ -162,7 +162,8 @@ def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
     ``kept`` does not depend on the order, ``rejected_by`` may. Null and empty texts fail the base; repeated rows are judged alike;
     an empty table gives an empty one.
     """
-    order = ordered(estimates(sampled(measured(docs, text).where(~base_failed()), sample_rows), rules(text)))
+    sample = settle(measured(sampled(docs, sample_rows), text).where(~base_failed()), "rule-measures")
+    order = ordered(estimates(sample, rules(text)))
     judged = measured(docs, text).withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
     return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("__words")

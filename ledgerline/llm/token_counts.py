@@ -10,7 +10,8 @@ import base64
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 SEPARATOR = 0
 # Tokens searched at once.
@@ -52,15 +53,16 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: Tokenizer, text: str = "text", width: int = 2) -> None:
     """One flat file for each partition, its documents in the partition's order; a null or empty text is a separator alone."""
+    at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     kind = f"<u{width}"
 
     def pack(batches):
         for batch in batches:
-            flat = [(shared.value.ids(t) + 1).astype(kind).tobytes() if t else b"" for t in batch.column(0).to_pylist()]
+            flat = [(shared.value.ids(t) + 1).astype(kind).tobytes() if t else b"" for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["tokens"])
 
-    packed = docs.select(F.col(text).cast("string")).mapInArrow(pack, "tokens binary")
+    packed = docs.mapInArrow(pack, "tokens binary")
     # The sink writes the bytes of a string as they are, and the separator behind each row.
     packed.select(F.col("tokens").cast("string")).write.option("lineSep", "\0" * width).text(folder)
 
@@ -120,7 +122,7 @@ def count_tokens(spark: SparkSession, folder: str, width: int = 2, separator: in
     return whole.union(cut.where("n_tokens > 0"))
 
 
-def part_number() -> "F.Column":
+def part_number() -> Column:
     """The number of the partition that wrote a file, from its name."""
     return F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
 
@@ -128,11 +130,20 @@ def part_number() -> "F.Column":
 def document_counts(docs: DataFrame, folder: str, tokenizer: Tokenizer, id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """(id, n_tokens) of every row: the corpus is written to flat files below ``folder`` and counted there.
 
-    The files hold no ids; the nth document of a file is the nth row of the partition that wrote it, which reading the ids alone
-    repeats. Null and empty texts have 0 tokens, ids may be null or repeated, and an empty table gives an empty one.
+    The files hold no ids; the nth document of a file is the nth row of the partition that wrote it. A second pass over the same
+    two columns numbers the rows; a table read from files, or any other plan that gives the same rows in the same order twice, is
+    needed for that. Null and empty texts have 0 tokens, ids may be null or repeated, and an empty table gives an empty one.
     """
-    write_flat(docs, folder, tokenizer, text, width)
+    chosen = docs.select(id, F.col(text).cast("string").alias("__text"))
+
+    def number(batches):
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            places = [pa.array(np.full(len(batch), part, np.int64)), pa.array(np.arange(nth, nth + len(batch)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *places], names=[id, "part", "nth"])
+            nth += len(batch)
+
+    write_flat(chosen, folder, tokenizer, "__text", width)
     counts = count_tokens(docs.sparkSession, folder, width)
-    place = F.monotonically_increasing_id()
-    rows = docs.select(id, F.spark_partition_id().cast("long").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
+    rows = chosen.mapInArrow(number, T.StructType([docs.schema[id], T.StructField("part", T.LongType()), T.StructField("nth", T.LongType())]))
     return rows.join(counts.withColumn("part", part_number()), ["part", "nth"]).select(id, "n_tokens")
