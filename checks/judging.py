@@ -235,7 +235,7 @@ def _outlier_counts():
       g AS "group", round(v, 4) AS value, CAST(NULL AS DOUBLE) AS first_half_total, CAST(NULL AS DOUBLE) AS second_half_total, CAST(NULL AS DOUBLE) AS percent_change
       FROM (SELECT * FROM g ORDER BY v DESC, g LIMIT 1)
     UNION ALL SELECT 2, 'bottom_performer', 'Lowest total value by event_type', NULL, NULL, g, round(v, 4), NULL, NULL, NULL FROM (SELECT * FROM g ORDER BY v, g DESC LIMIT 1)
-    UNION ALL SELECT 3, 'trend', 'value change from first half to second half of the date range', NULL, NULL, NULL, NULL, round(a, 4), round(b, 4), round((b - a) / abs(a) * 100, 2) FROM h
+    UNION ALL SELECT 3, 'trend', 'value: later half of the dates against the earlier', NULL, NULL, NULL, NULL, round(a, 4), round(b, 4), round((b - a) / abs(a) * 100, 2) FROM h
     UNION ALL SELECT 4, 'correlation', NULL, a, b, NULL, r, NULL, NULL, NULL FROM (SELECT * FROM c WHERE abs(r) >= 0.3 ORDER BY abs(r) DESC, o LIMIT 1)
     UNION ALL SELECT 5, 'anomaly', 'Outliers detected in ' || c, c, NULL, NULL, n, NULL, NULL, NULL FROM (SELECT * FROM x ORDER BY n DESC, o LIMIT 1)""",
 )
@@ -260,11 +260,11 @@ MESSY = "(SELECT event_type, CASE WHEN event_id % 8 = 0 THEN NULL ELSE round(val
 @query(
     "recommendations",
     f"""WITH q AS (SELECT quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM {MESSY})
-    SELECT 1::BIGINT AS ord, 'Remove ' || sum(c - 1) || ' duplicate row(s) before further analysis — they can inflate totals and skew averages.' AS text
+    SELECT 1::BIGINT AS ord, sum(c - 1) || ' rows repeat others: take them out, or sums count them twice.' AS text
       FROM (SELECT count(*) AS c FROM {MESSY} GROUP BY event_type, amount, one)
-    UNION ALL SELECT 2, '''amount'' has ' || round((count(*) - count(amount)) / count(*) * 100, 2) || '% missing values — consider imputing or investigating why this data is incomplete.' FROM {MESSY}
-    UNION ALL SELECT 3, 'Column(s) with only one distinct value (one) add no predictive value and can be dropped.'
-    UNION ALL SELECT 4, '''amount'' has ' || count(*) || ' statistical outlier(s) — review these rows before using this column in models or KPIs.'
+    UNION ALL SELECT 2, 'amount: ' || round((count(*) - count(amount)) / count(*) * 100, 2) || '% of the values are absent; fill them or find out why.' FROM {MESSY}
+    UNION ALL SELECT 3, 'Always the same value, so nothing to learn from: one.'
+    UNION ALL SELECT 4, 'amount: ' || count(*) || ' values lie far outside; look at their rows before relying on it.'
       FROM {MESSY}, q WHERE amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1) HAVING count(*) > 0""",
 )
 def recommendations(spark, d):

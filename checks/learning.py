@@ -43,9 +43,9 @@ def folds(spark, d):
     return Fe.with_folds(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 5, "o_orderstatus")
 
 
-def labelled(spark, d):
-    """Documents with their quality label and a few plain measurements of the whole text."""
-    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+def described(spark, d):
+    """Every document with a few plain measurements of the whole text, and its quality label where it has one."""
+    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
     words = F.size(F.split("text", r"\s+"))
     return docs.select(
         "doc_id", "lang", "n_chars", words.alias("n_words"),
@@ -64,6 +64,10 @@ def _results(run):
     return run.results.drop("training_time_seconds", "error")
 
 
+def labelled(spark, d):
+    return described(spark, d).where("quality is not null")
+
+
 @query("ml_train_classification")
 def train_classification(spark, d):
     return _results(T.train_all(labelled(spark, d), "quality", "doc_id", sizes=SMALL, cross_validate=False))
@@ -109,8 +113,8 @@ def explanation(spark, d):
 
 @query("ml_predict")
 def predict(spark, d):
-    docs = labelled(spark, d)
-    run = T.train_all(docs, "quality", "doc_id", only=["LogisticRegression"], cross_validate=False, explain_models=False)
+    docs = described(spark, d)
+    run = T.train_all(docs.where("quality is not null"), "quality", "doc_id", only=["LogisticRegression"], cross_validate=False, explain_models=False)
     path = scratch_path(spark, "model")
     T.save_model(run.models["LogisticRegression"], path)
     return T.predict(T.load_model(path), docs.drop("quality"), ["lang", "n_chars", "n_words", "digit_share", "n_lines"])

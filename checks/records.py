@@ -156,19 +156,49 @@ def preview(spark, d):
 )
 def quick_profile(spark, d):
     path = _landed(spark, t(spark, d, "events").selectExpr("event_id", "CASE WHEN event_id % 9 = 0 THEN 'NA' ELSE event_type END AS kind"))
-    return R.profile_file(spark, path, max_bytes=0)
+    return R.profile_file(spark, path, exact_duplicates=False)
 
 
-@query("file_admission")
+@query(
+    "file_profile",
+    """SELECT count(*) AS row_count, 2::BIGINT AS column_count, count(*) - count(CASE WHEN event_id % 9 <> 0 THEN 1 END) AS missing_values_count,
+    count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, CASE WHEN event_id % 9 <> 0 THEN event_type END FROM events)) AS duplicate_rows_count,
+    false AS duplicate_detection_skipped FROM events""",
+)
+def file_profile(spark, d):
+    path = _landed(spark, t(spark, d, "events").selectExpr("user_id", "CASE WHEN event_id % 9 = 0 THEN 'NA' ELSE event_type END AS kind"))
+    return R.profile_file(spark, path)
+
+
+@query(
+    "file_admission",
+    """SELECT v AS extension, a AS accepted, r AS reason, n FROM (VALUES ('csv', true, NULL, 4::BIGINT), ('parquet', false, 'no reader for .parquet', 2),
+    ('xlsx', false, 'named xlsx, but does not begin like one', 1)) AS x(v, a, r, n) WHERE (SELECT count(*) FROM supplier) > 0""",
+)
 def admission(spark, d):
-    path = _landed(spark, t(spark, d, "supplier").repartition(4))
-    return R.admit(spark, path)
+    """A landing folder with files of three names, two of which are refused."""
+    rows, path = t(spark, d, "supplier"), scratch_path(spark, "landing")
+    rows.repartition(4).write.option("header", True).csv(f"{path}/csv")
+    rows.coalesce(2).repartition(2).write.option("compression", "none").parquet(f"{path}/parquet")
+    book = rows.select("s_name").coalesce(1).write.text
+    book(f"{path}/book")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/book")):
+        if f.getPath().getName().startswith("part-"):
+            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/book/part.xlsx"))
+    return R.admit(spark, path).groupBy("extension", "accepted", "reason").agg(F.count("*").alias("n"))
 
 
-@query("file_stale")
+@query(
+    "file_stale",
+    """SELECT h AS hours, CASE WHEN h < 0 THEN 4 ELSE 0 END::BIGINT AS stale FROM (VALUES (-1), (24)) AS x(h) WHERE (SELECT count(*) FROM supplier) > 0""",
+)
 def stale(spark, d):
+    """The same fresh files against a limit that all of them exceed and one that none does."""
     path = _landed(spark, t(spark, d, "supplier").repartition(4))
-    return R.stale_files(spark, path, hours=-1)
+    found = [R.stale_files(spark, path, hours=h).agg(F.lit(h).alias("hours"), F.count("*").alias("stale")) for h in (-1, 24)]
+    return found[0].union(found[1])
 
 
 @query("file_stored_bytes")

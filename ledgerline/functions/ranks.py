@@ -1,32 +1,26 @@
-"""Exact ranks at any scale: quantiles, k-th values and running totals.
+"""Exact ranks at any scale: quantiles, k-th values and running totals, by one program for every size.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. That is the fastest form
-while the input is small, and :func:`pick_values` uses it behind a size check. Beyond it, the exact
-answer comes from three partially aggregated passes, none of which gathers a group:
-
-1. a bounded quantile sketch per key gives a narrow bracket around each wanted rank;
-2. the bracket is cut into a fixed grid and rows are counted by cell, with an open cell on either side of
-   the bracket, so that the cell holding the wanted rank is known exactly even if the sketch were off;
-3. only the distinct values of that cell are ordered.
+Values are counted by (key, value) first, which spreads a key over the cluster however many rows it has and makes one row of a value
+however often it occurs. A bounded quantile sketch then cuts each key's distinct values into CELLS cells of similar numbers, whatever
+their spread; exact counts by cell tell which cell holds each wanted rank; only those cells go on, and are cut again while any of
+them has more than CELL_VALUES distinct values. The values of the last cells are ordered. No step gathers a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ledgerline.runtime import attach, is_small, settle
+from ledgerline.runtime import attach, settle
 
-GRID = 65536
+CELLS = 64
+CELL_VALUES = 1 << 20
 SKETCH_ACCURACY = 10000
-SHARE_MARGIN = 0.001
-LADDER = 100
-BUCKETS = 1024
+# Distinct values that a running total orders in one task, about.
+BUCKET_VALUES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -53,6 +47,18 @@ def kth(name: str, rank: Callable[[Column], Column]) -> Pick:
     return Pick(name, lambda n: (rank(n) - F.lit(1)).cast("double"), None, True)
 
 
+def _cell(x: Column, points: Column) -> Column:
+    """How many of the CELLS - 1 points lie below a value, by binary search."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.get(points, middle) < x, search(middle + 1, high)).otherwise(search(low, middle))
+
+    return search(0, CELLS - 1)
+
+
 def pick_values(
     df: DataFrame,
     value: str,
@@ -60,185 +66,92 @@ def pick_values(
     keys: Sequence[str] = (),
     extras: Sequence[Column] = (),
     few_keys: bool = False,
-    copies: int = 1,
 ) -> DataFrame:
     """One row per key: ``n`` non-null values, the extra aggregates, and one column per pick.
 
-    ``extras`` are aggregates a pick's position may refer to by name. ``few_keys`` states that the
-    keys are bounded by the schema (column names), which allows a broadcast. ``copies`` tells the
-    size check how often the input was multiplied (an unpivot).
+    ``extras`` are aggregates a pick's position may refer to by name. ``few_keys`` states that the keys are bounded by the schema
+    (column names), which allows a broadcast. The small tables between the passes, and the counted values, are written.
     """
-    keys = list(keys)
-    if is_small(df, copies):
-        return _pick_small(df, value, picks, keys, extras)
-    return _pick_large(df, value, picks, keys, extras, few_keys)
-
-
-def _pick_small(df, value, picks, keys, extras):
-    fixed = [p for p in picks if p.share is not None]
-    moving = [p for p in picks if p.share is None]
-    aggs = [F.count(value).alias("n"), *extras]
-    if fixed:
-        aggs.append(F.percentile(F.col(value).cast("double"), [p.share for p in fixed]).alias("__fixed"))
-    if moving:
-        aggs.append(F.sort_array(F.collect_list(value)).alias("__sorted"))
-    out = (df.groupBy(*keys) if keys else df.groupBy()).agg(*aggs)
-    for i, p in enumerate(fixed):
-        out = out.withColumn(p.name, F.col("__fixed")[i])
-    for p in moving:
-        at = p.position(F.col("n"))
-        lo = F.get("__sorted", F.floor(at).cast("int"))
-        if p.whole:
-            out = out.withColumn(p.name, lo)
-        else:
-            hi = F.get("__sorted", F.ceil(at).cast("int"))
-            out = out.withColumn(p.name, lo + (at - F.floor(at)) * (hi - lo))
-    return out.drop("__fixed", "__sorted")
-
-
-def _bracket(pick: Pick, ladder: list[float]) -> tuple[Column, Column]:
-    steps = F.col("__steps")
-    if pick.share is not None:
-        low, high = max(pick.share - SHARE_MARGIN, 0.0), min(pick.share + SHARE_MARGIN, 1.0)
-        return steps[ladder.index(low)], steps[ladder.index(high)]
-    first = ladder.index(0.0)
-    share = F.coalesce(F.try_divide(pick.position(F.col("n")), F.col("n") - 1), F.lit(0.0)) * LADDER
-    low = F.greatest(F.floor(share) - 1, F.lit(0)).cast("int")
-    high = F.least(F.ceil(share) + 1, F.lit(LADDER)).cast("int")
-    rungs = F.slice(steps, first + 1, LADDER + 1)
-    return F.get(rungs, low), F.get(rungs, high)
-
-
-def _ladder(picks: Sequence[Pick]) -> list[float]:
-    marks = []
-    if any(p.share is None for p in picks):
-        marks = [i / LADDER for i in range(LADDER + 1)]
-    for p in picks:
-        if p.share is not None:
-            marks += [max(p.share - SHARE_MARGIN, 0.0), min(p.share + SHARE_MARGIN, 1.0)]
-    # Keep the rungs first and in order; brackets of fixed shares follow.
-    return list(dict.fromkeys(marks))
-
-
-def _cell(x: Column, a: Column, b: Column) -> Column:
-    """Grid cell of a value inside a bracket; grows with the value, open at both ends."""
-    width = b - a
-    inside = F.least(F.floor((x - a) / width * GRID), F.lit(GRID - 1))
-    return (
-        F.when(x < a, F.lit(-1))
-        .when(x > b, F.lit(GRID))
-        .when((width > 0) & (width < F.lit(float("inf"))), inside)
-        .otherwise(F.lit(0))
-        .cast("long")
-    )
-
-
-def _pick_large(df, value, picks, keys, extras, few_keys):
-    ladder = _ladder(picks)
-    by, numbers = list(keys), range(len(picks))
-    sketch = df.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(F.col(value).cast("double"), ladder, SKETCH_ACCURACY).alias("__steps"),
-        *extras,
-    )
-    extra_names = [c for c in sketch.columns if c not in (*by, "n", "__steps")]
-    flat = []
+    by = list(keys)
+    near = [*by, "__cell"]
+    marks = ["__at", "__t"]
+    ranks_of = []
     for i, p in enumerate(picks):
-        low, high = _bracket(p, ladder)
-        flat += [p.position(F.col("n")).alias(f"__at{i}"), low.alias(f"__a{i}"), high.alias(f"__b{i}")]
-    # The two small tables between the passes are written, so that each pass reads the input once.
-    sketch = settle(sketch.select(*by, "n", *extra_names, *flat), "rank-brackets")
-    marks = [f"__{m}{i}" for i in numbers for m in ("at", "a", "b")]
-    brackets = sketch.where(F.col("n") > 0).select(*by, *marks)
-
-    # Column-name keys are bounded by the schema; other keys are left to the adaptive planner.
-    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    x = F.col("__v").cast("double")
-    cell = [_cell(x, F.col(f"__a{i}"), F.col(f"__b{i}")) for i in numbers]
-    beside = attach(values, brackets, by, few_keys)
-
-    # One count per combination of cells. Rows outside every bracket share a handful of combinations, so
-    # tasks send on little more than the occupied cells.
-    grid = beside.groupBy(*by, *[c.alias(f"__c{i}") for i, c in enumerate(cell)]).agg(F.count(F.lit(1)).alias("c"))
-    spread = [F.struct(F.lit(i).alias("i"), F.col(f"__c{i}").alias("cell")) for i in numbers]
-    cells = (
-        grid.select(*by, "c", F.inline(F.array(*spread))).groupBy(*by, "i", "cell").agg(F.sum("c").alias("c"))
-    )
-    upto = F.sum("c").over(W.partitionBy(*by, "i").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = cells.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
-    ends = []
-    for i in numbers:
-        at = F.col(f"__at{i}")
-        holds = lambda rank: (F.col("before") <= rank) & (F.col("upto") > rank)
-        for end, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
-            spot = F.when((F.col("i") == i) & holds(rank), F.struct("cell", "before"))
-            ends.append(F.max(spot).alias(f"__{end}{i}"))
-    ends = attach(placed, brackets, by, few_keys).groupBy(*by).agg(*ends)
-    wanted = settle(attach(brackets, ends, by, few_keys), "rank-cells")
-
-    # Only the values of the cells that hold a wanted rank are ordered, each once.
-    match = [
-        F.coalesce((cell[i] == F.col(f"__l{i}.cell")) | (cell[i] == F.col(f"__h{i}.cell")), F.lit(False)) for i in numbers
-    ]
-    near = (
-        attach(values, wanted, by, few_keys)
-        .where(reduce(or_, match))
-        .groupBy(*by, "__v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    spots = []
-    for i in numbers:
-        from_low = cell[i] == F.col(f"__l{i}.cell")
-        before = F.when(from_low, F.col(f"__l{i}.before")).otherwise(F.col(f"__h{i}.before"))
-        place = (F.lit(i).alias("i"), cell[i].alias("cell"), before.alias("before"), F.col(f"__at{i}").alias("at"))
-        spots.append(F.when(match[i], F.struct(*place)))
-    found = (
-        attach(near, wanted, by, few_keys)
-        .select(*by, "__v", "c", F.explode(F.array_compact(F.array(*spots))).alias("w"))
-        .select(*by, "__v", "c", "w.*")
-    )
-    running = F.sum("c").over(
-        W.partitionBy(*by, "i", "cell").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    found = found.withColumn("end", F.col("before") + running).withColumn("start", F.col("end") - F.col("c"))
-    chosen = []
-    for i in numbers:
-        for end, rank in (("lo", F.floor("at")), ("hi", F.ceil("at"))):
-            here = (F.col("i") == i) & (F.col("start") <= rank) & (F.col("end") > rank)
-            chosen.append(F.max(F.when(here, F.col("__v"))).alias(f"__{end}{i}"))
-    out = attach(sketch.drop(*marks), found.groupBy(*by).agg(*chosen), by, few_keys, "left")
+        at = p.position(F.col("n"))
+        ranks_of += [F.struct(F.lit(2 * i).alias("__t"), F.floor(at).alias("__at")), F.struct(F.lit(2 * i + 1).alias("__t"), F.ceil(at).alias("__at"))]
+    whole = settle(df.groupBy(*by).agg(F.count(value).alias("n"), *extras), "rank-keys")
+    targets = whole.where(F.col("n") > 0).select(*by, F.inline(F.array(*ranks_of)), F.lit(0).cast("long").alias("__before"), F.lit(0).cast("long").alias("__cell"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    rows = settle(counted.withColumn("__cell", F.lit(0).cast("long")), "rank-values")
+    largest = None
+    while True:
+        x = F.col("__v").cast("double")
+        shares = [i / CELLS for i in range(1, CELLS)]
+        points = settle(rows.groupBy(*near).agg(F.percentile_approx(x, shares, SKETCH_ACCURACY).alias("__points")), "rank-points")
+        lone = not by and largest is None
+        beside = attach(rows, points.drop("__cell") if lone else points, [] if lone else near, few_keys or not by)
+        cell = (F.col("__cell") * CELLS + _cell(x, F.col("__points"))).alias("__cell2")
+        placed = beside.select(*near, "__v", "__c", cell)
+        if by and not few_keys:
+            # Written before it is counted: an oversized partition of this join can be split as nothing else needs its layout.
+            placed = settle(placed, "rank-cells")
+        sums = placed.groupBy(*near, "__cell2").agg(F.sum("__c").alias("__c"), F.count(F.lit(1)).alias("__m"))
+        upto = F.sum("__c").over(W.partitionBy(*near).orderBy("__cell2").rowsBetween(W.unboundedPreceding, W.currentRow))
+        counts = sums.withColumn("__upto", upto).withColumn("__below", upto - F.col("__c"))
+        holds = (F.col("__before") + F.col("__below") <= F.col("__at")) & (F.col("__at") < F.col("__before") + F.col("__upto"))
+        targets = settle(
+            targets.join(counts, near)
+            .where(holds)
+            .select(*by, *marks, (F.col("__before") + F.col("__below")).alias("__before"), F.col("__cell2").alias("__cell"), "__m"),
+            "rank-targets",
+        )
+        wanted = targets.select(*near, "__before").distinct()
+        most = targets.agg(F.max("__m")).first()[0] or 0
+        rows = placed.select(*by, F.col("__cell2").alias("__cell"), "__v", "__c")
+        rows = rows.join(F.broadcast(wanted) if few_keys or not by else wanted, near)
+        # Values that no sketch of doubles can part (whole numbers beyond 2**53) are ordered as they are.
+        if most <= CELL_VALUES or most == largest:
+            break
+        largest = most
+        rows = settle(rows.drop("__before"), "rank-rows")
+        targets = targets.drop("__m")
+    running = F.sum("__c").over(W.partitionBy(*near).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ends = rows.withColumn("__end", F.col("__before") + running).drop("__before")
+    found = targets.select(*near, *marks).join(ends, near).where((F.col("__end") - F.col("__c") <= F.col("__at")) & (F.col("__at") < F.col("__end")))
+    chosen = [F.max(F.when(F.col("__t") == t, F.col("__v"))).alias(f"__p{t}") for t in range(2 * len(picks))]
+    out = attach(whole, found.groupBy(*by).agg(*chosen), by, few_keys, "left")
     for i, p in enumerate(picks):
-        lo, hi, pos = F.col(f"__lo{i}"), F.col(f"__hi{i}"), p.position(F.col("n"))
-        out = out.withColumn(p.name, lo if p.whole else lo + (pos - F.floor(pos)) * (hi - lo))
-    return out.drop(*[f"__{end}{i}" for end in ("lo", "hi") for i in numbers])
+        lo, hi, at = F.col(f"__p{2 * i}"), F.col(f"__p{2 * i + 1}"), p.position(F.col("n"))
+        out = out.withColumn(p.name, lo if p.whole else lo + (at - F.floor(at)) * (hi - lo))
+    return out.drop(*[f"__p{t}" for t in range(2 * len(picks))])
 
 
-def running_totals(df: DataFrame, value: str, weights: Sequence[str]) -> DataFrame:
-    """Distinct values with, per weight column, its sum and ``before_<weight>``: the sum below the value.
+def running_totals(df: DataFrame, value: str, weights: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct values (by key) with, per weight column, its sum and ``before_<weight>``: the sum below the value.
 
-    Distinct values are cut into about 1,024 buckets of similar size by a sketch; the window over
-    bucket totals is bounded, and each bucket is ordered on its own.
+    Distinct values are cut by a sketch into buckets of about BUCKET_VALUES; windows run over the totals of the buckets and
+    inside each of them.
     """
-    distinct = df.where(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(w).alias(w) for w in weights])
-    if is_small(df):
-        order = W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return distinct.select(
-            value, *weights, *[(F.sum(w).over(order) - F.col(w)).alias(f"before_{w}") for w in weights]
-        )
+    by = list(keys)
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[F.sum(w).alias(w) for w in weights])
     # Three steps read the distinct values: the split points, the bucket totals and the buckets themselves.
     distinct = settle(distinct.withColumn("__x", F.col(value).cast("double")), "distinct-values")
-    cutter = QuantileDiscretizer(
-        numBuckets=BUCKETS, relativeError=1 / SKETCH_ACCURACY, inputCol="__x", outputCol="__bucket"
-    )
-    placed = cutter.fit(distinct).transform(distinct).select(value, *weights, "__bucket")
-    every = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = max(1, min(distinct.count() // BUCKET_VALUES + 1, SKETCH_ACCURACY))
+    cuts = sorted(set(distinct.approxQuantile("__x", [i / parts for i in range(1, parts)], 1 / SKETCH_ACCURACY))) if parts > 1 else []
+    if cuts:
+        cutter = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="__x", outputCol="__bucket")
+        placed = cutter.transform(distinct).select(*by, value, *weights, "__bucket")
+    else:
+        placed = distinct.select(*by, value, *weights, F.lit(0.0).alias("__bucket"))
+    every = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = (
-        placed.groupBy("__bucket")
+        placed.groupBy(*by, "__bucket")
         .agg(*[F.sum(w).alias(w) for w in weights])
-        .select("__bucket", *[(F.sum(w).over(every) - F.col(w)).alias(f"__off_{w}") for w in weights])
+        .select(*by, "__bucket", *[(F.sum(w).over(every) - F.col(w)).alias(f"__off_{w}") for w in weights])
     )
-    inside = W.partitionBy("__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return placed.join(F.broadcast(offsets), "__bucket").select(
+    inside = W.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return placed.join(offsets, [*by, "__bucket"]).select(
+        *by,
         value,
         *weights,
         *[(F.sum(w).over(inside) - F.col(w) + F.col(f"__off_{w}")).alias(f"before_{w}") for w in weights],

@@ -28,14 +28,13 @@ def row_key(row_id: str, salt: str = str(SEED)) -> Column:
 def hold_out(df: DataFrame, row_id: str, label: str | None = None) -> DataFrame:
     """Adds ``is_test`` for a fifth of the rows, of each class if ``label`` names one.
 
-    The cut is the key of the wanted rank within the class, found without gathering the class. There is
-    one cut per class, and training checks the number of classes first.
+    The cut is the key of the wanted rank within the class, found without gathering the class.
     """
     keys = [label] if label else []
     keyed = df.withColumn("__key", row_key(row_id))
     pick = ranks.kth("__cut", lambda n: F.floor(n * F.lit(TEST_SHARE) + 0.5))
-    cuts = ranks.pick_values(keyed.select(*keys, "__key"), "__key", [pick], keys, few_keys=True).drop("n")
-    return attach(keyed, cuts, keys, small=True).withColumn(
+    cuts = ranks.pick_values(keyed.select(*keys, "__key"), "__key", [pick], keys).drop("n")
+    return attach(keyed, cuts, keys).withColumn(
         "is_test", F.coalesce(F.col("__key") <= F.col("__cut"), F.lit(False))
     ).drop("__key", "__cut")
 
@@ -47,8 +46,8 @@ def with_folds(df: DataFrame, row_id: str, folds: int, label: str | None = None)
     picks = [
         ranks.kth(f"__cut{i}", lambda n, i=i: F.floor(n * F.lit(i / folds) + 0.5)) for i in range(1, folds)
     ]
-    cuts = ranks.pick_values(keyed.select(*keys, "__key"), "__key", picks, keys, few_keys=True).drop("n")
-    joined = attach(keyed, cuts, keys, small=True)
+    cuts = ranks.pick_values(keyed.select(*keys, "__key"), "__key", picks, keys).drop("n")
+    joined = attach(keyed, cuts, keys)
     above = [F.when(F.coalesce(F.col("__key") > F.col(p.name), F.lit(True)), 1).otherwise(0) for p in picks]
     fold = above[0]
     for part in above[1:]:
@@ -71,7 +70,7 @@ def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence
     frequent training value, then one slot per training value; unseen values have no slot.
     """
     if not numeric and not categorical:
-        raise TrainingError("No usable feature columns were found.")
+        raise TrainingError("no column can be used as a feature")
     medians: dict[str, float] = {}
     if numeric:
         rows = column_quantiles(train, numeric, [ranks.quantile("median", 0.5)]).collect()

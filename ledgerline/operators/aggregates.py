@@ -98,7 +98,10 @@ def describe_numeric(df: DataFrame, column: str) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
-    """(column, rank, value, count, total, unique_count) for the ``k`` most frequent values of each column."""
+    """(column, rank, value, count, total, unique_count) for the ``k`` most frequent values of each column.
+
+    A column without values has one row without a rank, its totals 0.
+    """
     pairs = [F.struct(F.lit(i).alias("code"), V.text(df, c).alias("value")) for i, c in enumerate(columns)]
     counts = (
         df.select(F.inline(F.array(*pairs)))
@@ -111,14 +114,15 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
     # A rank filter this small is applied inside each task before the shuffle.
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     names = F.array(*[F.lit(c) for c in columns])
-    # One row of totals per column of the schema.
-    return best.join(F.broadcast(totals), "code").select(
+    # One row per column of the schema, whether it has values or not, and one row of totals at most.
+    every = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("code"))
+    return best.join(every, "code", "right").join(F.broadcast(totals), "code", "left").select(
         F.get(names, F.col("code")).alias("column"),
         F.col("rank").cast("long").alias("rank"),
         "value",
         "count",
-        "total",
-        "unique_count",
+        F.coalesce("total", F.lit(0)).alias("total"),
+        F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
     )
 
 

@@ -30,7 +30,7 @@ def column_name(columns: Sequence[str]) -> Column:
 def column_quantiles(df: DataFrame, columns: Sequence[str], picks: Sequence[ranks.Pick], coded: bool = False) -> DataFrame:
     """(column, n, one column per pick); there are as many keys as chosen columns."""
     out = ranks.pick_values(
-        numeric_long(df, columns), "value", picks, ["code"], few_keys=True, copies=len(columns)
+        numeric_long(df, columns), "value", picks, ["code"], few_keys=True
     )
     return out if coded else out.select(column_name(columns), *[c for c in out.columns if c != "code"])
 

@@ -20,7 +20,6 @@ from ledgerline.runtime import settle
 
 TREES = 100
 SAMPLE = 256
-POOL = 25_600
 SEED = 42
 CONTAMINATION = 0.05
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double, sample int"
@@ -59,19 +58,23 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def fit_forest(df: DataFrame, columns: Sequence[str], row_id: str, trees: int = TREES) -> DataFrame:
-    """The node table of a forest grown on the complete rows."""
+def fit_forest(df: DataFrame, columns: Sequence[str], row_id: str, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """The node table of a forest grown on the complete rows: ``trees`` trees on ``sample`` rows each.
+
+    All samples are distinct rows of one pool of ``trees * sample`` rows, drawn from the whole table by a hash of the id.
+    """
     names = [f"f{i}" for i in range(len(columns))]
     rows = complete_rows(df, columns).select(
         V.ref(row_id).alias("id"), *[V.number(df, c).alias(n) for c, n in zip(columns, names)]
     )
-    pool = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(POOL)
+    pool = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(trees * sample)
+    pool = settle(pool, "forest-pool")
     # The pool is dealt out in shuffled order, as often as needed: each deal gives whole samples of
-    # distinct rows, and all deals together hold about trees x SAMPLE rows.
+    # distinct rows, and all deals together hold about trees x sample rows.
     size = pool.agg(F.count(F.lit(1)).alias("n")).select(F.greatest("n", F.lit(1)).alias("n")).scalar()
     dealt = (
         pool.withColumn("n", size)
-        .withColumn("sample", F.least(F.col("n"), F.lit(SAMPLE)))
+        .withColumn("sample", F.least(F.col("n"), F.lit(sample)))
         .withColumn("per_deal", F.floor(F.col("n") / F.col("sample")))
         .select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.lit(trees) / F.col("per_deal")).cast("int") - 1)).alias("deal"))
     )

@@ -11,7 +11,6 @@ from ledgerline.errors import IngestError
 from ledgerline.functions import ranks, values as V
 from ledgerline.operators.describe import column_name, column_quantiles, numeric_long
 from ledgerline.operators.roles import inline_agg, role_lists
-from ledgerline.runtime import is_small
 
 HIGH_CARDINALITY_RATIO = 0.9
 HIGH_CARDINALITY_ROWS = 20
@@ -58,18 +57,21 @@ def _row_values(df: DataFrame, skip: Sequence[str] = ()) -> list[Column]:
     return out
 
 
+def _suspects(rows: DataFrame) -> DataFrame:
+    """The rows whose hash occurs more than once."""
+    hashed = rows.withColumn("__h", F.xxhash64("row"))
+    repeated = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__h")
+    return hashed.join(repeated, "__h", "left_semi").drop("__h")
+
+
 def repeated_rows(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """One row per set of identical rows: (row, copies[, first]), with missing values equal to each other.
 
-    Large tables count 8-byte row hashes first; only rows whose hash repeats travel in full.
+    Row hashes of 8 bytes are counted first; only rows whose hash repeats are then compared in full.
     """
     skip = [row_id] if row_id else []
     keep = [V.ref(row_id).alias("__id")] if row_id else []
-    rows = df.select(F.struct(*_row_values(df, skip)).alias("row"), *keep)
-    if not is_small(df):
-        rows = rows.withColumn("__h", F.xxhash64("row"))
-        suspects = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__h")
-        rows = rows.join(suspects, "__h", "left_semi").drop("__h")
+    rows = _suspects(df.select(F.struct(*_row_values(df, skip)).alias("row"), *keep))
     aggs = [F.count(F.lit(1)).alias("copies")] + ([F.min("__id").alias("first")] if row_id else [])
     return rows.groupBy("row").agg(*aggs).where("copies > 1")
 
@@ -82,7 +84,7 @@ def duplicates(df: DataFrame) -> DataFrame:
 def duplicate_positions(df: DataFrame, row_id: str, k: int = SAMPLE_POSITIONS) -> DataFrame:
     """The first ``k`` row ids that repeat an earlier row; the id itself is not compared."""
     sets = repeated_rows(df, row_id).select("row", "first")
-    rows = df.select(F.struct(*_row_values(df, [row_id])).alias("row"), V.ref(row_id).alias("row_id"))
+    rows = _suspects(df.select(F.struct(*_row_values(df, [row_id])).alias("row"), V.ref(row_id).alias("row_id")))
     return (
         rows.join(sets, rows["row"].eqNullSafe(sets["row"]))
         .where(F.col("row_id") > F.col("first"))
@@ -111,19 +113,6 @@ def high_cardinality(df: DataFrame) -> DataFrame:
     names = [
         f.name for f in df.schema.fields if V.is_scalar(f.dataType) and not V.is_numeric(f.dataType)
     ]
-    if names and not is_small(df):
-        # A sketch rules out columns far below the ratio; only the others pay for an exact count.
-        about = inline_agg(
-            df,
-            [
-                F.struct(
-                    F.lit(c).alias("column"),
-                    (F.approx_count_distinct(V.present(df, c), 0.01) / F.count(F.lit(1))).alias("ratio"),
-                )
-                for c in names
-            ],
-        ).collect()
-        names = [r["column"] for r in about if r["ratio"] is not None and r["ratio"] >= HIGH_CARDINALITY_RATIO - 0.1]
     rows = [
         F.struct(F.lit(c).alias("column"), F.countDistinct(V.present(df, c)).alias("u"), F.count(F.lit(1)).alias("n"))
         for c in names

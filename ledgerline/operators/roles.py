@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerline.errors import TrainingError
 from ledgerline.functions import values as V
-from ledgerline.runtime import is_small
 
 DATE_SHARE = 0.85
 MAX_FEATURE_CATEGORIES = 30
@@ -86,26 +85,14 @@ def dtype_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column string, spark_type string")
 
 
-def _surely_many(df: DataFrame, columns: Sequence[str], limit: int) -> set[str]:
-    """Columns whose sketched distinct count is far above ``limit``; spares them the exact count's shuffle."""
-    if not columns or is_small(df):
-        return set()
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.approx_count_distinct(V.present(df, c), 0.01).alias("about"))
-        for c in columns
-    ]
-    return {r["column"] for r in inline_agg(df, rows).collect() if r["about"] > 2 * limit}
-
-
 def feature_roles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(ordinal, column, role): numeric, categorical (few distinct values) or dropped."""
     other = [c for c in columns if not V.is_numeric(V.type_of(df, c)) and V.is_scalar(V.type_of(df, c))]
-    many = _surely_many(df, other, MAX_FEATURE_CATEGORIES)
     rows = []
     for i, c in enumerate(columns):
         if V.is_numeric(V.type_of(df, c)):
             role = F.lit("numeric")
-        elif c in many or c not in other:
+        elif c not in other:
             role = F.lit("dropped")
         else:
             few = F.countDistinct(V.present(df, c)) <= MAX_FEATURE_CATEGORIES
@@ -125,8 +112,6 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
     known = F.count(V.present(df, target)).alias("known")
     if not V.is_numeric(V.type_of(df, target)):
         out = df.agg(known).withColumn("task", F.lit("classification"))
-    elif _surely_many(df, [target], MAX_CLASSES):
-        out = df.agg(known).withColumn("task", F.lit("regression"))
     else:
         few = F.countDistinct(V.present(df, target)) <= MAX_CLASSES
         out = df.agg(known, F.when(few, "classification").otherwise("regression").alias("task"))
@@ -136,7 +121,7 @@ def task_type(df: DataFrame, target: str) -> DataFrame:
 def detect_task(df: DataFrame, target: str) -> str:
     task = task_type(df, target).first()["task_type"]
     if task is None:
-        raise TrainingError("Target column has no non-missing values.")
+        raise TrainingError(f"{target!r} has no values")
     return task
 
 

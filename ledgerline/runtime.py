@@ -1,16 +1,14 @@
-"""Session settings, shared scratch space and the size check behind every broadcast or in-memory shortcut."""
+"""Session settings and the shared folder for tables between steps."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Below this estimated plan size an operator may use the short form that keeps one group's
-# values in one task (exact percentile map, single window). Above it the distributed form runs.
-SMALL_PLAN_KEY = "spark.ledgerline.smallPlanBytes"
-SMALL_PLAN_BYTES = 32 * 1024 * 1024
+from ledgerline.errors import AnalyticsError
 
 
 def build_session(app: str = "ledgerline", master: str | None = None, conf: dict | None = None) -> SparkSession:
@@ -30,30 +28,52 @@ def build_session(app: str = "ledgerline", master: str | None = None, conf: dict
     return builder.getOrCreate()
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of the optimized plan; it reads file sizes and starts no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def is_small(df: DataFrame, copies: int = 1) -> bool:
-    """True when ``copies`` times the estimated size stays under the limit set on the session."""
-    limit = int(df.sparkSession.conf.get(SMALL_PLAN_KEY, str(SMALL_PLAN_BYTES)))
-    return limit > 0 and plan_bytes(df) * copies <= limit
-
-
 def _shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
-        # Only a session without a shared folder (a local test run) gets one of its own.
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise AnalyticsError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # Driver and executors of a local session are one process, so a folder of its own is shared by all of them.
         configured = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.sparkContext.setCheckpointDir(configured)
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
+# Folders that this process has written below, by application.
+_OWNED: dict[str, tuple[SparkSession, str]] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; what is written there goes when the process ends."""
+    app = spark.sparkContext.applicationId
+    root = f"{_shared_dir(spark).rstrip('/')}/ledgerline/{app}"
+    if _OWNED.setdefault(app, (spark, root))[1] != root:
+        _OWNED[f"{app} {root}"] = (spark, root)
+    return root
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Removes every table that ``settle`` and ``scratch_path`` have placed for the session (default: all sessions).
+
+    Results that still read from them must have been written or collected before.
+    """
+    for name, (owner, root) in list(_OWNED.items()):
+        if spark is not None and owner.sparkContext.applicationId != spark.sparkContext.applicationId:
+            continue
+        _OWNED.pop(name)
+        try:
+            place = owner._jvm.org.apache.hadoop.fs.Path(root)
+            place.getFileSystem(owner._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception as gone:  # the session may have ended before: nothing can be reached through it
+            print(f"ledgerline: {root} was not removed ({type(gone).__name__})")
+
+
+atexit.register(release)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the cluster's shared checkpoint folder."""
-    return f"{_shared_dir(spark).rstrip('/')}/ledgerline/{label}-{uuid.uuid4().hex}"
+    return f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -10,8 +10,6 @@ from ledgerline.operators.quality import missing_cells
 from ledgerline.operators.roles import inline_agg
 
 PREVIEW_ROWS = 15
-UPLOAD_BYTES = 50 * 1024 * 1024
-CHUNKED_BYTES = 150 * 1024 * 1024
 STALE_HOURS = 24
 
 # Accepted extensions and the first bytes of the binary kinds.
@@ -126,7 +124,7 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
 def quick_profile(df: DataFrame) -> DataFrame:
     """One row (row_count, column_count, missing_values_count, duplicate_rows_count, duplicate_detection_skipped).
 
-    The form for very large files: one partially aggregated pass, no duplicate search.
+    One partially aggregated pass, without a search for duplicates.
     """
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -135,13 +133,18 @@ def quick_profile(df: DataFrame) -> DataFrame:
     ).select("*", F.lit(None).cast("long").alias("duplicate_rows_count"), F.lit(True).alias("duplicate_detection_skipped"))
 
 
-def profile_file(spark: SparkSession, path: str, max_bytes: int = CHUNKED_BYTES) -> DataFrame:
-    """The full profile, or the quick one for files above the limit."""
-    from ledgerline.operators.quality import profile
+def profile_file(spark: SparkSession, path: str, exact_duplicates: bool = True) -> DataFrame:
+    """One row (row_count, column_count, missing_values_count, duplicate_rows_count, duplicate_detection_skipped) of a file.
+
+    The search for duplicates, which shuffles the rows' hashes, is the caller's choice and not one of size.
+    """
+    from ledgerline.operators.quality import duplicates
 
     df = read_csv(spark, path)
-    size = stored_bytes(spark, path).first()["bytes"] or 0
-    return quick_profile(df) if size > max_bytes else profile(df)
+    quick = quick_profile(df)
+    if not exact_duplicates:
+        return quick
+    return quick.withColumn("duplicate_rows_count", duplicates(df).scalar()).withColumn("duplicate_detection_skipped", F.lit(False))
 
 
 def list_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
@@ -155,14 +158,16 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     return list_files(spark, path).agg(F.sum("length").alias("bytes"))
 
 
-def admit(spark: SparkSession, path: str, max_bytes: int = UPLOAD_BYTES) -> DataFrame:
+def admit(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """(path, extension, accepted, reason) for every file of a landing folder, by name, size and content.
 
-    The size test reaches the file listing, so the content of oversized files is never read.
+    Any size is admitted unless ``max_bytes`` says otherwise; the size test reaches the file listing, so the content of oversized
+    files is never read.
     """
+    max_bytes = (1 << 63) - 1 if max_bytes is None else max_bytes
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension")
     oversized = list_files(spark, path).where(F.col("length") > max_bytes).select(
-        "path", extension, F.lit(False).alias("accepted"), F.lit("File exceeds the maximum upload size.").alias("reason")
+        "path", extension, F.lit(False).alias("accepted"), F.lit("larger than the limit").alias("reason")
     )
     files = list_files(spark, path, content=True).where(F.col("length") <= max_bytes).select(
         "path",
@@ -172,11 +177,11 @@ def admit(spark: SparkSession, path: str, max_bytes: int = UPLOAD_BYTES) -> Data
     )
     extension = F.col("extension")
     reason = (
-        F.when(~extension.isin(*EXTENSIONS), F.concat(F.lit("Unsupported file type '."), extension, F.lit("'. Allowed types: CSV, XLSX, XLS.")))
-        .when((extension == "xlsx") & ~F.startswith("head", F.lit(SIGNATURES["xlsx"])), "This file doesn't look like a valid .xlsx file (failed content check).")
-        .when((extension == "xls") & ~F.startswith("head", F.lit(SIGNATURES["xls"])), "This file doesn't look like a valid legacy .xls file (failed content check).")
-        .when((extension == "csv") & F.col("head").rlike("^(..)*00"), "This file doesn't look like a valid CSV (binary content detected).")
-        .when((extension == "csv") & F.col("blank"), "The uploaded file is empty.")
+        F.when(~extension.isin(*EXTENSIONS), F.concat(F.lit("no reader for ."), extension))
+        .when((extension == "xlsx") & ~F.startswith("head", F.lit(SIGNATURES["xlsx"])), "named xlsx, but does not begin like one")
+        .when((extension == "xls") & ~F.startswith("head", F.lit(SIGNATURES["xls"])), "named xls, but does not begin like one")
+        .when((extension == "csv") & F.col("head").rlike("^(..)*00"), "named csv, but holds zero bytes")
+        .when((extension == "csv") & F.col("blank"), "nothing in it")
     )
     return files.select("path", "extension", reason.isNull().alias("accepted"), reason.alias("reason")).union(oversized)
 

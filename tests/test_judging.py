@@ -120,14 +120,14 @@ def test_best_model_ties_and_failures(spark):
 def test_recommendation_fallback(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "x long, s string")
     lines = [r["text"] for r in I.recommendations(df).collect()]
-    assert lines == ["No significant data quality issues or risks were detected in this analysis."]
+    assert lines == ["Nothing in this table asks for attention."]
 
 
 @pytest.mark.parametrize(
     "task,accuracy,r2,wanted",
     [
-        ("classification", 0.55, None, "reached only 55.0% accuracy"),
-        ("regression", None, 0.3, "explains only 30.0% of the variance"),
+        ("classification", 0.55, None, "right in only 55.0% of cases"),
+        ("regression", None, 0.3, "accounts for only 30.0% of the differences"),
         ("classification", 0.9, None, "(accuracy: 0.9)"),
         ("regression", None, 0.8, "(R²: 0.8)"),
     ],
@@ -139,7 +139,7 @@ def test_model_recommendations(spark, task, accuracy, r2, wanted):
     assert len(lines) == 1 and wanted in lines[0]
 
 
-@pytest.mark.parametrize("change,wanted", [(12.5, "is growing (12.5%) — capitalize"), (-3.0, "is declining (-3.0%) — investigate")])
+@pytest.mark.parametrize("change,wanted", [(12.5, "sales: up by 12.5%, worth building on."), (-3.0, "sales: down by -3.0%, worth an explanation.")])
 def test_trend_recommendations(spark, change, wanted):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x long, s string")
     facts = spark.createDataFrame([("trend", "sales", change)], "type string, detail string, percent_change double")

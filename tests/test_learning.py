@@ -39,7 +39,7 @@ def test_classification_run(scores):
         assert r["cv_folds"] == 5 and len(r["cv_scores"]) == 5 and 0 <= r["cv_mean"] <= 1 and r["cv_std"] >= 0
     for name in results:
         assert run.importances[name].first()["feature"] == "score"
-        assert run.explain(name).first()["text"].startswith("The strongest factors predicting target were score")
+        assert run.explain(name).first()["text"].startswith("For predicting target, most weight lies on score")
     assert run.best().count() == 1
 
 
@@ -110,7 +110,7 @@ def test_all_missing_target(spark):
         T.train_all(df, "y", "id")
 
 
-def test_split_is_exact_per_class_with_a_dominant_class(spark, large):
+def test_split_is_exact_per_class_with_a_dominant_class(spark):
     df = spark.createDataFrame([(i, "common" if i >= 50 else "rare") for i in range(1000)], "id long, y string")
     got = {(r["y"], r["is_test"]): r["count"] for r in hold_out(df, "id", "y").groupBy("y", "is_test").count().collect()}
     assert got == {("common", True): 190, ("common", False): 760, ("rare", True): 10, ("rare", False): 40}

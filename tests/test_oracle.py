@@ -1,4 +1,4 @@
-"""Every registered query with a relational form agrees with its SQL, in the small and in the distributed form."""
+"""Every registered query with a relational form agrees with its SQL."""
 
 import math
 
@@ -8,15 +8,6 @@ import __spark_entry__ as entry
 from tests.conftest import FOLDER
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# Queries whose operators have a second, distributed form for large inputs.
-TWO_FORMS = [
-    n for n in SQL
-    if any(k in n for k in (
-        "median", "describe", "eda_numeric", "quality_d", "quality_o", "quality_high", "clip", "remove_out", "clean_actions", "iqr", "auc", "half",
-        "split", "folds", "roles_f", "task_type", "prepared", "insight", "recomm", "anomaly_plot_points",
-    ))
-]
-
 
 def _cell(v):
     if isinstance(v, float):
@@ -41,11 +32,6 @@ def test_matches_sql(spark, duck, name):
     _check(spark, duck, name)
 
 
-@pytest.mark.parametrize("name", sorted(TWO_FORMS))
-def test_distributed_form_matches_sql(spark, duck, large, name):
-    _check(spark, duck, name)
-
-
 def test_entry(spark):
     assert entry.entry(spark).columns == ["group", "value"]
     assert entry.entry(spark).count() == 3

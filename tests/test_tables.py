@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from ledgerline.errors import ChartError, CleaningError
 from ledgerline.operators import charts as G, clean as C, describe as D, quality as Q, roles as R
-from ledgerline.runtime import SMALL_PLAN_KEY
 
 
 @pytest.fixture
 def small(spark):
+    # Loaves sold: kind, number, shop, day.
     rows = [
-        (c, a, r, dt.datetime(2024, 1, i + 1))
-        for i, (c, a, r) in enumerate([("a", 10, "north"), ("b", 20, "south"), ("a", 15, "north"), ("c", 12, "south"), ("a", 25, "north"), ("b", 100, "south")])
-    ]
+        ("rye", 34, "quay", dt.datetime(2021, 6, 2)), ("oat", 3, "hill", dt.datetime(2021, 6, 4)), ("rye", 8, "quay", dt.datetime(2021, 6, 4)),
+        ("rye", 51, "hill", dt.datetime(2021, 6, 9)), ("oat", 17, "quay", dt.datetime(2021, 6, 13)), ("spelt", 6, "quay", dt.datetime(2021, 6, 13)),
+        ("rye", 29, "mill", dt.datetime(2021, 6, 11)),
+    ]
     return spark.createDataFrame(rows, "category string, amount long, region string, signup_date timestamp_ntz")
 
 
@@ -31,14 +32,14 @@ def messy(spark):
 
 def test_numeric_summary(small):
     row = D.numeric_summary(small).first()
-    assert (row["column"], row["count"], row["min"], row["max"], row["mean"]) == ("amount", 6, 10.0, 100.0, 30.3333)
+    assert (row["column"], row["count"], row["min"], row["max"], row["mean"]) == ("amount", 7, 3.0, 51.0, 21.1429)
 
 
 def test_categorical_and_datetime_summaries(small):
     top = {(r["column"], r["rank"]): r for r in D.categorical_summary(small).collect()}
-    assert top["category", 1]["value"] == "a" and top["category", 1]["count"] == 3 and top["category", 1]["unique_count"] == 3
+    assert top["category", 1]["value"] == "rye" and top["category", 1]["count"] == 4 and top["category", 1]["unique_count"] == 3
     dates = D.datetime_summary(small).first()
-    assert dates["range_days"] == 5 and dates["min"] == "2024-01-01T00:00:00"
+    assert dates["range_days"] == 11 and dates["min"] == "2021-06-02T00:00:00"
 
 
 def test_all_missing_column(spark):
@@ -83,26 +84,20 @@ def test_date_threshold(spark):
     assert R.role_lists(fewer)["categorical"] == ["d"]
 
 
-@pytest.mark.parametrize("limit", ["0", str(1 << 40)])
-def test_quality_scan(spark, messy, limit):
-    spark.conf.set(SMALL_PLAN_KEY, limit)
+def test_quality_scan(spark, messy):
     got = {(r["check"], r["column"], r["metric"]): r["value"] for r in Q.scan(messy).collect()}
     assert got["duplicates", None, "count"] == 1
     assert got["missing", "notes", "count"] == 4
     assert got["constant", "constant", "constant"] == 1
     assert got["outliers", "score", "count"] >= 1
     assert ("missing", "id", "count") not in got
-    spark.conf.unset(SMALL_PLAN_KEY)
 
 
-@pytest.mark.parametrize("limit", ["0", str(1 << 40)])
-def test_duplicate_positions_with_a_dominant_row(spark, limit):
+def test_duplicate_positions_with_a_dominant_row(spark):
     rows = [(i, "same", None) for i in range(60)] + [(i, f"v{i}", float(i)) for i in range(60, 100)]
     df = spark.createDataFrame(rows, "id long, s string, x double")
-    spark.conf.set(SMALL_PLAN_KEY, limit)
     assert Q.duplicates(df.drop("id")).first()["count"] == 59
     assert sorted(r["row_id"] for r in Q.duplicate_positions(df, "id").collect()) == list(range(1, 21))
-    spark.conf.unset(SMALL_PLAN_KEY)
 
 
 def test_mostly_numeric_text(spark):
@@ -134,25 +129,22 @@ def test_convert(spark):
     df = spark.createDataFrame([("1",), ("x",), ("3.0",), (None,)], "v string")
     assert [r["v"] for r in C.convert_type(df, "v", "int").collect()] == [1, None, 3, None]
     bad = spark.createDataFrame([("1.5",)], "v string")
-    with pytest.raises(PySparkException, match="fractional"):
+    with pytest.raises(PySparkException, match="fractions"):
         C.convert_type(bad, "v", "int").collect()
     assert C.convert_type(bad, "v", "float").first()["v"] == 1.5
 
 
-@pytest.mark.parametrize("limit", ["0", str(1 << 40)])
-def test_action_list(spark, messy, limit):
-    spark.conf.set(SMALL_PLAN_KEY, limit)
+def test_action_list(spark, messy):
     actions = C.plan_actions(True, ["constant"], {"notes": "mode"}, {"id": "string"}, {"score": "clip"})
     assert [a["type"] for a in actions] == ["remove_duplicates", "drop_column", "fill_missing", "convert_type", "handle_outliers"]
     out, log = C.apply_actions(messy, actions)
     lines = [r["description"] for r in log.orderBy("step").collect()]
-    assert lines[0] == "Removed 1 duplicate row(s)."
-    assert lines[1] == "Dropped column 'constant'."
-    assert lines[2] == "Filled 3 missing value(s) in 'notes' using strategy 'mode'."
-    assert lines[4].startswith("Clipped outliers in 'score' to [")
+    assert lines[0] == "duplicates: 1 repeated rows taken out"
+    assert lines[1] == "column constant: left out"
+    assert lines[2] == "column notes: 3 gaps closed by mode"
+    assert lines[4].startswith("column score: held within ")
     assert out.count() == 6 and "constant" not in out.columns and out.where("notes is null").count() == 0
     assert messy.count() == 7 and "constant" in messy.columns
-    spark.conf.unset(SMALL_PLAN_KEY)
 
 
 def test_statistics_follow_the_current_table(spark):
@@ -160,7 +152,7 @@ def test_statistics_follow_the_current_table(spark):
     actions = [{"type": "drop_missing", "column": "s"}, {"type": "fill_missing", "column": "x", "strategy": "mean"}]
     out, log = C.apply_actions(df, actions)
     assert sorted(r["x"] for r in out.collect()) == [1.0, 2.0, 3.0]
-    assert log.orderBy("step").first()["description"] == "Dropped 1 row(s) with missing values in column 's'."
+    assert log.orderBy("step").first()["description"] == "gaps in column 's': 1 rows taken out"
 
 
 @pytest.mark.parametrize(
@@ -179,7 +171,7 @@ def test_bad_actions(messy, action):
 def test_saved_copy_never_overwrites(spark, small, tmp_path):
     path = str(tmp_path / "copy")
     C.save_copy(small, path)
-    assert spark.read.parquet(path).count() == 6
+    assert spark.read.parquet(path).count() == 7
     with pytest.raises(PySparkException):
         C.save_copy(small, path)
 
@@ -193,12 +185,12 @@ def test_histogram_counts_every_row(spark):
 
 def test_chart_kinds(small):
     bar = G.build(small, {"chart_type": "bar", "x": "category", "y": "amount"}).collect()
-    assert [(r["x"], r["value"]) for r in bar] == [("b", 120.0), ("a", 50.0), ("c", 12.0)]
-    north = [{"column": "region", "operator": "equals", "value": "north"}]
-    assert G.build(small, {"chart_type": "pie", "x": "category", "filters": north}).collect()[0]["value"] == 3.0
+    assert [(r["x"], r["value"]) for r in bar] == [("rye", 122.0), ("oat", 20.0), ("spelt", 6.0)]
+    quay = [{"column": "region", "operator": "equals", "value": "quay"}]
+    assert G.build(small, {"chart_type": "pie", "x": "category", "filters": quay}).collect()[0]["value"] == 2.0
     pairs = {(r["x"], r["series"]): r["value"] for r in G.build(small, {"chart_type": "bar", "x": "category", "y": "amount", "group_by": "region"}).collect()}
-    assert pairs["a", "south"] == 0.0 and pairs["a", "north"] == 50.0
-    assert G.build(small, {"chart_type": "scatter", "x": "amount", "y": "amount"}).count() == 6
+    assert pairs["spelt", "hill"] == 0.0 and pairs["rye", "quay"] == 42.0
+    assert G.build(small, {"chart_type": "scatter", "x": "amount", "y": "amount"}).count() == 7
 
 
 @pytest.mark.parametrize(
@@ -230,3 +222,26 @@ def test_suggestions_stop_at_eight(spark):
 def test_compare_profiles(messy):
     got = {r["metric"]: r for r in Q.compare_profiles(messy, C.remove_duplicates(messy)).collect()}
     assert got["row_count"]["change"] == -1 and got["duplicate_rows_count"]["change"] == -1 and got["column_count"]["change"] == 0
+
+
+def test_a_bad_later_action_starts_no_job(spark, messy):
+    tracker = spark.sparkContext.statusTracker()
+    bad = [
+        [{"type": "remove_duplicates"}, {"type": "fill_missing", "column": "nope", "strategy": "zero"}],
+        [{"type": "drop_column", "column": "notes"}, {"type": "drop_missing", "column": "notes"}],
+        [{"type": "convert_type", "column": "score", "target_type": "string"}, {"type": "handle_outliers", "column": "score"}],
+        [{"type": "remove_duplicates"}, {"type": "fill_missing", "column": "score", "strategy": "constant", "value": "many"}],
+    ]
+    for i, actions in enumerate(bad):
+        spark.sparkContext.setJobGroup(f"bad{i}", "checks")
+        with pytest.raises(CleaningError):
+            C.apply_actions(messy, actions)
+        assert not tracker.getJobIdsForGroup(f"bad{i}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_text_columns_without_values_are_reported(spark):
+    df = spark.createDataFrame([("a", None), ("b", None)], "s string, t string")
+    got = {r["column"]: (r["total"], r["unique_count"]) for r in D.categorical_summary(df).collect()}
+    assert got["t"] == (0, 0) and got["s"] == (2, 2)
+    assert (D.describe_all(df).where("column = 't' and metric = 'count'").first() or {"number": 0})["number"] == 0
