@@ -203,7 +203,8 @@ def words_taken(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     ranked, targets = _sized(docs, id, text, source, mix, False)
     placed = settle(positions(ranked.drop("source"), mix), "mix-places")
     uses = slots(targets, mix).groupBy("rank", "idx").agg(F.count("*").alias("times"))
-    used = _pieces(placed, mix).join(uses, ["rank", "idx"]).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # The planner takes both sides for as small as the tables that they are written out from, and must not broadcast them.
+    used = _pieces(placed, mix).join(uses.hint("merge"), ["rank", "idx"]).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     used = used.select(F.col("rank").alias("__rank"), F.col("start").alias("__start"), "taken")
     rows = placed.join(used, F.expr("rank = __rank and start = __start and size > 0"), "left").select(
         "id", "size", "rank", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
@@ -226,10 +227,11 @@ def mixed_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", source
     # Rows that agree in id and text have the same words, so one text serves all their places.
     texts = ranked.where("size > 0").select("rank", "order", "id", "text").repartition("rank", "order").dropDuplicates(["rank", "order", "id"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    joined = texts.join(placed, ["rank", "order"]).where(F.col("id").eqNullSafe(F.col("__id"))).withColumn("list", words)
+    joined = texts.join(placed.hint("merge"), ["rank", "order"]).where(F.col("id").eqNullSafe(F.col("__id"))).withColumn("list", words)
     part = F.array_join(F.slice("list", (F.col("skip") + 1).cast("int"), F.col("words").cast("int")), " ")
     parts = _pieces(joined, mix).select("rank", "idx", "start", "id", "skip", "words", part.alias("text"))
     named = targets.select("rank", F.col("source").alias("__source"))
-    return slots(targets, mix).join(parts, ["rank", "idx"]).join(named, "rank").select(
+    # The planner takes the slots for as small as the plan that they are written out from, and must not broadcast them.
+    return slots(targets, mix).hint("merge").join(parts, ["rank", "idx"]).join(named, "rank").select(
         "shard", "nth", F.col("__source").alias(source), "idx", "start", F.col("id").alias(id), "skip", "words", "text"
     )
