@@ -137,3 +137,27 @@ def saved_specs(spark, d):
     )
     saved = kinds.select(F.col("event_type").alias("title"), spec.alias("config"))
     return G.parse_specs(saved, "config").withColumn("filters", F.to_json("filters"))
+
+
+@query(
+    "chart_saved_rerun",
+    """SELECT 0::BIGINT AS ord, 'bar' AS chart_type, o_orderstatus AS label, CAST(NULL AS VARCHAR) AS series, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 3
+    UNION ALL SELECT 1, 'pie', o_orderpriority, NULL, CAST(count(*) AS DOUBLE) FROM orders WHERE o_totalprice > 1000 GROUP BY 3
+    UNION ALL SELECT 2, 'bar', 'x: the table has no column ' || chr(39) || 'gone' || chr(39), NULL, NULL""",
+)
+def saved_rerun(spark, d):
+    """Three saved charts of the orders, one of which names a column that is gone."""
+    spec = F.expr(
+        """CASE r_regionkey WHEN 0 THEN '{"chart_type":"bar","x":"o_orderstatus","y":"o_totalprice"}'
+        WHEN 1 THEN '{"chart_type":"pie","x":"o_orderpriority","filters":[{"column":"o_totalprice","operator":"greater_than","value":"1000"}]}'
+        WHEN 2 THEN '{"chart_type":"bar","x":"gone"}' END"""
+    )
+    saved = t(spark, d, "region").select("r_regionkey", spec.alias("config")).where("config is not null")
+    return G.run_saved(t(spark, d, "orders"), saved, "config", "r_regionkey").withColumn("value", F.round("value", 2))
+
+
+@query("chart_suggestions_run")
+def suggestions_run(spark, d):
+    rows = t(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
+    found = [r.asDict() for r in G.suggest(rows).orderBy("rank").collect()]
+    return G.build_all(rows, [{"chart_type": r["chart_type"], "x": r["x"], "y": r["y"]} for r in found])

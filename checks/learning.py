@@ -135,6 +135,6 @@ def prepared(spark, d):
     return prep.transform(rows).select("p_partkey", F.round(F.get(vector_to_array("features"), F.lit(0)), 4).alias("scaled"))
 
 
-@query("ml_sample_rows")
+@query("ml_sample_rows", f"SELECT * FROM orders ORDER BY {_KEY.format(id='o_orderkey', salt='sample')}, o_orderkey LIMIT 100")
 def sample_rows(spark, d):
     return X.sample_rows(t(spark, d, "orders"), "o_orderkey", X.EXPLAINED_ROWS)

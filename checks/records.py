@@ -54,6 +54,36 @@ def best_per_group(spark, d):
     return K.best_per_group(done, "o_custkey", [F.col("o_totalprice"), F.col("o_orderkey")])
 
 
+@query(
+    "workspace_listing_total",
+    """SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F'
+    ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""",
+)
+def listing_total(spark, d):
+    own = t(spark, d, "orders").where("o_orderstatus = 'F'")
+    return K.listing(own, [F.desc("o_orderdate"), F.col("o_orderkey")], 3, 20).select("o_orderkey", "total")
+
+
+@query(
+    "workspace_latest_messages",
+    """SELECT conv_id % 7 AS dataset, conv_id, turn, role, md5(text) AS digest FROM conversations
+    WHERE conv_id IN (SELECT max(conv_id) FROM conversations GROUP BY conv_id % 7)""",
+)
+def latest_messages(spark, d):
+    messages = t(spark, d, "conversations")
+    headers = messages.selectExpr("conv_id", "conv_id % 7 AS dataset", "conv_id * 10 AS started").distinct()
+    found = K.latest_messages(headers, messages, "dataset", "started", "conv_id")
+    return found.select("dataset", "conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query(
+    "workspace_sums",
+    "SELECT count(*) AS entries, CAST(sum(n_chars) AS BIGINT) AS characters, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents",
+)
+def sums(spark, d):
+    return K.sums(t(spark, d, "documents"), characters=F.col("n_chars"), bytes=F.octet_length("text"))
+
+
 @query(
     "workspace_totals",
     """SELECT 'customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders

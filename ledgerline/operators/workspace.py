@@ -53,6 +53,23 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def listing(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
+    """One page of a listing with the number of all its rows in ``total``."""
+    count = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return page(df, order, number, size).withColumn("total", count)
+
+
+def latest_messages(headers: DataFrame, messages: DataFrame, dataset: str, stamp: str, conversation: str) -> DataFrame:
+    """(dataset, message columns) of the newest conversation of every dataset; ties go to the larger conversation id."""
+    newest = best_per_group(headers, dataset, [V.ref(stamp), V.ref(conversation)]).select(V.ref(dataset), V.ref(conversation))
+    return newest.join(messages, conversation)
+
+
+def sums(df: DataFrame, **measures: Column) -> DataFrame:
+    """One row: the number of entries and the sum of each measure, 0 without entries."""
+    return df.agg(F.count(F.lit(1)).alias("entries"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in measures.items()])
+
+
 def recent(df: DataFrame, order: Sequence[Column], size: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(size)
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def report_to_csv(report: DataFrame, path: str) -> None:
-    """(Section, Metric, Value) rows with a header; a report is a few hundred rows, so one file."""
+    """(Section, Metric, Value) rows with a header, in order over as many files as the sort needs: one for a small report."""
     rows = report.orderBy("ord", "section").select(
         F.col("section").alias("Section"), F.col("metric").alias("Metric"), F.col("value").alias("Value")
     )
-    rows.coalesce(1).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    rows.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def report_to_json(report: DataFrame, path: str) -> None:
-    """One JSON object per section with its metrics in a list."""
+    """One JSON object per section with its metrics in a list; a section has one entry per metric or per category of a chart."""
     sections = report.groupBy("ord", "section").agg(F.collect_list(F.struct("metric", "value")).alias("metrics"))
-    sections.orderBy("ord", "section").select("section", "metrics").coalesce(1).write.mode("errorifexists").json(path)
+    sections.orderBy("ord", "section").select("section", "metrics").write.mode("errorifexists").json(path)
