@@ -28,14 +28,18 @@ def build_session(app: str = "ledgerline", master: str | None = None, conf: dict
     return builder.getOrCreate()
 
 
+# Folders made for sessions in one process, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def _shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise AnalyticsError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # Driver and executors of a local session are one process, so a folder of its own is shared by all of them.
-        configured = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        app = spark.sparkContext.applicationId
+        configured = _LOCAL[app] = _LOCAL.get(app) or tempfile.mkdtemp(prefix="ledgerline-")
     return configured
 
 
