@@ -2,14 +2,10 @@
 
 from checks.registry import query, table as t
 from ledgerline.ml import explain as X, features as Fe, training as T
-from ledgerline.ml.registry import Sizes
 from ledgerline.operators.roles import split_features
 from ledgerline.runtime import scratch_path
 from pyspark.sql import functions as F
 
-# Smaller models than the defaults, so that the comparison of all algorithms stays short.
-SMALL = Sizes(trees=10, rounds=4, iterations=50, tree_depth=8)
-
 _KEY = "CAST('0x' || substr(md5(CAST({id} AS VARCHAR) || ':{salt}'), 1, 15) AS BIGINT)"
 
 
@@ -70,12 +66,12 @@ def labelled(spark, d):
 
 @query("ml_train_classification")
 def train_classification(spark, d):
-    return _results(T.train_all(labelled(spark, d), "quality", "doc_id", sizes=SMALL, cross_validate=False))
+    return _results(T.train_all(labelled(spark, d), "quality", "doc_id"))
 
 
 @query("ml_train_regression")
 def train_regression(spark, d):
-    return _results(T.train_all(parts(spark, d), "cost", "p_partkey", sizes=SMALL, cross_validate=False))
+    return _results(T.train_all(parts(spark, d), "cost", "p_partkey"))
 
 
 @query("ml_train_multiclass")
@@ -83,38 +79,38 @@ def train_multiclass(spark, d):
     return _results(
         T.train_all(
             t(spark, d, "customer").withColumn("band", F.expr("CASE WHEN c_acctbal < 1000 THEN 'low' WHEN c_acctbal < 5000 THEN 'middle' ELSE 'high' END")),
-            "band", "c_custkey", ["c_acctbal", "c_mktsegment", "c_nationkey"], sizes=SMALL, cross_validate=False, explain_models=False,
+            "band", "c_custkey", ["c_acctbal", "c_mktsegment", "c_nationkey"], explain_models=False,
         )
     )
 
 
 @query("ml_cross_validation")
 def cross_validation(spark, d):
-    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression", "GradientBoostingRegressor"], sizes=SMALL, explain_models=False)
+    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression", "GradientBoostingRegressor"], explain_models=False)
     return _results(run).select("algorithm", "status", "r2", "cv_folds", "cv_scores", "cv_mean", "cv_std")
 
 
 @query("ml_importance_linear")
 def importance_linear(spark, d):
-    return T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression"], cross_validate=False).importances["LinearRegression"]
+    return T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression"]).importances["LinearRegression"]
 
 
 @query("ml_importance_trees")
 def importance_trees(spark, d):
-    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["RandomForestRegressor"], sizes=SMALL, cross_validate=False)
+    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["RandomForestRegressor"])
     return run.importances["RandomForestRegressor"]
 
 
 @query("ml_explanation")
 def explanation(spark, d):
-    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression"], cross_validate=False)
+    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression"])
     return run.explain("LinearRegression")
 
 
 @query("ml_predict")
 def predict(spark, d):
     docs = described(spark, d)
-    run = T.train_all(docs.where("quality is not null"), "quality", "doc_id", only=["LogisticRegression"], cross_validate=False, explain_models=False)
+    run = T.train_all(docs.where("quality is not null"), "quality", "doc_id", only=["LogisticRegression"], explain_models=False)
     path = scratch_path(spark, "model")
     T.save_model(run.models["LogisticRegression"], path)
     return T.predict(T.load_model(path), docs.drop("quality"), ["lang", "n_chars", "n_words", "digit_share", "n_lines"])

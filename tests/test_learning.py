@@ -1,11 +1,15 @@
+import inspect
+
 import numpy as np
 import pytest
 
+from checks import learning
 from ledgerline.errors import TrainingError
 from ledgerline.ml import training as T
 from ledgerline.ml.explain import builtin_importance
 from ledgerline.ml.features import hold_out, with_folds
 from ledgerline.ml.registry import Sizes, algorithms
+from tests.conftest import FOLDER
 
 SMALL = Sizes(trees=5, rounds=3, iterations=30, tree_depth=5)
 
@@ -98,6 +102,33 @@ def test_builtin_importance(spark, scores):
     assert got["score"] > got["age"]
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["train_classification", "train_regression", "train_multiclass", "cross_validation", "importance_linear", "importance_trees", "explanation", "predict"],
+)
+def test_queries_train_at_full_size(spark, monkeypatch, name):
+    asked, real = [], inspect.signature(T.train_all)
+
+    def spy(*args, **more):
+        call = real.bind(*args, **more)
+        call.apply_defaults()
+        asked.append((call.arguments["sizes"], call.arguments["cross_validate"]))
+        raise InterruptedError
+
+    monkeypatch.setattr(T, "train_all", spy)
+    with pytest.raises(InterruptedError):
+        getattr(learning, name)(spark, FOLDER)
+    assert asked == [(Sizes(trees=200, rounds=100, iterations=1000, tree_depth=30), True)]
+
+
+def test_forest_of_full_size(salaries):
+    run = T.train_all(salaries, "salary", "id", only=["RandomForestRegressor"], cross_validate=False, explain_models=False)
+    forest = run.models["RandomForestRegressor"].stages[-1]
+    assert forest.getNumTrees == 200 and forest.getOrDefault("maxDepth") == 30
+    row = run.results.first()
+    assert row["status"] == "completed" and row["r2"] > 0.8
+
+
 @pytest.mark.parametrize("features", [["nope"], ["target"]])
 def test_bad_features(scores, features):
     with pytest.raises(TrainingError):
