@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
-# Length of the national part of an IBAN by country (letters and digits after the check digits).
+# Length of the national part of an IBAN by country of the registry (letters and digits after the check digits).
 IBAN_LENGTHS = {
-    "AT": 16, "BE": 12, "CH": 17, "DE": 18, "DK": 14, "ES": 20, "FI": 14, "FR": 23, "GB": 18, "IE": 18, "IT": 23, "LU": 16,
-    "NL": 14, "NO": 11, "PL": 24, "PT": 21, "SE": 20,
+    "AD": 20, "AE": 19, "AL": 24, "AT": 16, "AZ": 24, "BA": 16, "BE": 12, "BG": 18, "BH": 18, "BI": 23, "BR": 25, "BY": 24, "CH": 17,
+    "CR": 18, "CY": 24, "CZ": 20, "DE": 18, "DJ": 23, "DK": 14, "DO": 24, "EE": 16, "EG": 25, "ES": 20, "FI": 14, "FK": 14, "FO": 14,
+    "FR": 23, "GB": 18, "GE": 18, "GI": 19, "GL": 14, "GR": 23, "GT": 24, "HN": 24, "HR": 17, "HU": 24, "IE": 18, "IL": 19, "IQ": 19,
+    "IS": 22, "IT": 23, "JO": 26, "KW": 26, "KZ": 16, "LB": 24, "LC": 28, "LI": 17, "LT": 16, "LU": 16, "LV": 17, "LY": 21, "MC": 23,
+    "MD": 20, "ME": 18, "MK": 15, "MN": 16, "MR": 23, "MT": 27, "MU": 26, "NI": 24, "NL": 14, "NO": 11, "OM": 19, "PK": 20, "PL": 24,
+    "PS": 25, "PT": 21, "QA": 25, "RO": 20, "RS": 18, "RU": 29, "SA": 20, "SC": 27, "SD": 14, "SE": 20, "SI": 15, "SK": 20, "SM": 23,
+    "SO": 19, "ST": 21, "SV": 24, "TL": 19, "TN": 20, "TR": 22, "UA": 25, "VA": 18, "VG": 20, "XK": 16, "YE": 26,
 }
 
 
@@ -87,13 +92,27 @@ def luhn(payload: str) -> str:
     return str(-sum(x // 10 + x % 10 for x in doubled) % 10)
 
 
+def card_length(found: str) -> int:
+    """Length of the shortest part up to a separator or the end that is a card number: 13 digits or more, not all equal, with a right
+    check digit; 0 if there is none. What stands behind it (an expiry date, a security code) has no say in it."""
+    for end in [i for i, c in enumerate(found) if c in " -"] + [len(found)]:
+        digits = re.sub(r"\D", "", found[:end])
+        if len(digits) >= 13 and len(set(digits)) > 1 and luhn(digits[:-1]) == digits[-1]:
+            return end
+    return 0
+
+
 def card(permute: Permutation, found: str) -> str | None:
     """13 to 19 digits with a right check digit: all but the first (the network) change, the check digit is made anew."""
-    digits = re.sub(r"\D", "", found)
-    if luhn(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+    if card_length(found) != len(found):
         return None
-    payload = digits[0] + _mixed(permute, f"card|{digits[0]}", [(DIGITS, c) for c in digits[1:-1]])
-    return _put(found, payload + luhn(payload)) if len(set(payload + luhn(payload))) > 1 else None
+    digits = re.sub(r"\D", "", found)
+    head, middle, new = digits[0], digits[1:-1], ""
+    # Walked until it is read back with the same length.
+    while card_length(new) != len(found):
+        middle = _mixed(permute, f"card|{head}", [(DIGITS, c) for c in middle])
+        new = _put(found, head + middle + luhn(head + middle))
+    return new
 
 
 def phone(permute: Permutation, found: str) -> str | None:
@@ -182,6 +201,14 @@ def _iban_number(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text))
 
 
+def iban_length(found: str) -> int:
+    """Length of the part that has as many letters and digits as the country's IBANs, if it ends with a group; else 0."""
+    places = [i for i, c in enumerate(found) if c != " "]
+    n = 4 + IBAN_LENGTHS.get(found[:2], len(found))
+    end = places[n - 1] + 1 if n <= len(places) else 0
+    return end if found[end : end + 1] in ("", " ") else 0
+
+
 def iban(permute: Permutation, found: str) -> str | None:
     """IBANs of known length with right check digits: the national part changes within its kinds, the check digits follow."""
     flat = found.replace(" ", "")
@@ -217,12 +244,14 @@ KINDS: dict[str, tuple[str, Callable[[Permutation, str], str | None]]] = {
         secret,
     ),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
-    "date": (r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])", date),
+    "date": (r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?!(?!T[0-9]{2})[\w/-]|\.[0-9])", date),
     "social": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", social),
     "phone": (r"(?<![\w+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])", phone),
     "card": (r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
     "address": (r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", address),
 }
+# Patterns that may run into the words behind a value: how much of a match is the value (0: none).
+LENGTHS: dict[str, Callable[[str], int]] = {"iban": iban_length, "card": card_length}
 # Every value has one of these, and reaches no further before its first or behind its last one than the two numbers say.
 HINT = re.compile(r"[0-9@]|AKIA")
 BEFORE, BEHIND = 160, 700
@@ -268,19 +297,23 @@ class Rewriter:
         for start, end in _regions(text):
             at = max(at, start)
             while m := self.pattern.search(text, at, end):
-                new = KINDS[m.lastgroup][1](self.permute, m[0])
                 # Not valid as this kind: a value of another kind may begin here, or one character on.
-                found = (m.lastgroup, m.start(), m.end(), new) if new is not None else self._other(text, m, end)
+                found = self._value(m.lastgroup, m) or self._other(text, m, end)
                 if found:
                     yield found
                 at = found[2] if found else m.start() + 1
 
+    def _value(self, kind: str, m: re.Match) -> tuple[str, int, int, str] | None:
+        length = LENGTHS.get(kind, len)(m[0])
+        new = KINDS[kind][1](self.permute, m[0][:length]) if length else None
+        return None if new is None else (kind, m.start(), m.start() + length, new)
+
     def _other(self, text: str, m: re.Match, end: int) -> tuple[str, int, int, str] | None:
         for k in self.kinds[self.kinds.index(m.lastgroup) + 1 :]:
             found = _finder((k,)).match(text, m.start(), end)
-            new = found and KINDS[k][1](self.permute, found[0])
-            if new:
-                return k, found.start(), found.end(), new
+            value = found and self._value(k, found)
+            if value:
+                return value
         return None
 
     def __call__(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
