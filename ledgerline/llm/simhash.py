@@ -31,16 +31,17 @@ def fingerprint(data: bytes | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fingerprint) of every row, the fingerprint as a signed long. Lower-cases A-Z only. A null text has no words."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fingerprint, more columns) of every row, the fingerprint as a signed long. Lower-cases A-Z only. A null text has no words."""
 
     def run(batches):
         for batch in batches:
             prints = [fingerprint(x, shingle) for x in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=[id, "fingerprint"])
+            kept = [batch.column(i + 2) for i in range(len(more))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *kept], names=[id, "fingerprint", *more])
 
-    chosen = docs.select(id, F.col(text).cast("string").alias("__text"))
-    return chosen.mapInArrow(run, T.StructType([docs.schema[id], T.StructField("fingerprint", T.LongType())]))
+    chosen = docs.select(id, F.col(text).cast("string").alias("__text"), *more)
+    return chosen.mapInArrow(run, T.StructType([docs.schema[id], T.StructField("fingerprint", T.LongType()), *(docs.schema[c] for c in more)]))
 
 
 def _signed(bits: int) -> int:
@@ -110,26 +111,39 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     Equal fingerprints are merged before anything is compared, so a group of copies costs one row from there on.
     """
     prints = settle(fingerprints(docs, id, text, shingle), "prints")
-    groups = settle(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id).alias("first")), "groups")
-    roots = components(links(groups.select("fp"), distance), "x", "y", "simhash")
-    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(prints, id, distance)
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(
         F.col("fp").alias("fingerprint"), "component_id"
     )
     return prints.join(named, "fingerprint").select(id, "fingerprint", "component_id")
 
 
+def _rooted(prints: DataFrame, id: str, distance: int) -> DataFrame:
+    """(fp, first, root) of every distinct fingerprint: its smallest id and the fingerprint that names its component."""
+    groups = settle(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id).alias("first")), "groups")
+    roots = components(links(groups.select("fp"), distance), "x", "y", "simhash")
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def hex_fingerprint(column: str = "fingerprint") -> Column:
     """16 lower-case hexadecimal digits of a signed long."""
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` with one row of each group left: that with the smallest id, once.
+    """The rows of ``docs`` with one row of each component_id left: that with the smallest id, then fingerprint, then hash of the row.
 
-    Rows without an id stay: nothing names them as a copy.
+    Groups that have their smallest id in common have one component_id, so one of them is left. Rows without an id stay: nothing
+    names them as a copy.
     """
-    first = simhash_groups(docs, id, text, shingle, distance).where(F.col(id) == F.col("component_id")).select(id).distinct()
-    return docs.join(first, id, "left_semi").dropDuplicates([id]).union(docs.where(F.col(id).isNull()))
+    plain = [c for c, kind in docs.dtypes if c not in (id, text) and "map<" not in kind and kind != "variant"]
+    keys = [id, "__text_hash", "__row_hash"]
+    hashed = docs.withColumns({"__text_hash": F.xxhash64(F.col(text)), "__row_hash": F.xxhash64(*plain, F.col(text))})
+    prints = settle(fingerprints(hashed, id, text, shingle, tuple(keys[1:])), "prints")
+    # The smallest id stands at one of its group's fingerprints; of the rows with both, the one with the smallest hashes stays.
+    named = _rooted(prints, id, distance).where("first is not null")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("first").alias(id), F.col("fp").alias("fingerprint"))).alias("best")).select("best.*")
+    firsts = best.groupBy(id).agg(F.min("fingerprint").alias("fingerprint"))
+    chosen = prints.join(firsts, [id, "fingerprint"], "left_semi").groupBy(id, "fingerprint").agg(F.min(F.struct(*keys[1:])).alias("h"))
+    kept = hashed.join(chosen.select(id, "h.*"), keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*docs.columns).union(docs.where(F.col(id).isNull()))

@@ -153,6 +153,16 @@ def test_keep_first_leaves_one_of_each_group(docs, none):
     assert sum(r.doc_id is None for r in kept) == 2 and simhash.keep_first(none).columns == none.columns
 
 
+def test_keep_first_keeps_the_row_that_stands_for_its_group(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(5, a, "s1"), (3, b, "s1"), (5, b, "s1"), (6, c, "s1"), (6, c, "s0"), (None, a, "s1")]
+    kept = {frozenset(map(tuple, simhash.keep_first(spark.createDataFrame(x, "doc_id long, text string, source string")).collect())) for x in (rows, rows[::-1])}
+    assert len(kept) == 1
+    (kept,) = kept
+    assert {(i, t) for i, t, _ in kept} == {(5, a), (3, b), (6, c), (None, a)} and len(kept) == 4
+
+
 def plain_judgement(text, items, window=13):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
     hit, found = set(), set()
