@@ -162,22 +162,24 @@ def document_frequencies(train: DataFrame, text: str, settings: Settings) -> Dat
 def sample_rows(train: DataFrame, id: str, text: str, lang: str, settings: Settings) -> DataFrame:
     """(lang, text, calibrate): the bounded labelled sample, the same rows at every run.
 
-    The choice is made on hashes alone; the limit of each language is applied inside the tasks before anything is shuffled.
+    The choice is made on hashes alone. Equal rows (same id, text and language) count as one: they are merged inside the tasks before
+    their hashes are shuffled, and again before the chosen texts are. The limit of each language is applied inside the tasks, too.
     """
     chance = F.xxhash64(F.lit(settings.seed), F.col(id), F.xxhash64(F.col(text)))
     ranked = train.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), chance.alias("chance"))
     by_language = Window.partitionBy("lang").orderBy("chance")
     chosen = (
-        ranked.select("lang", "chance")
+        ranked.groupBy("lang", "chance").agg(F.count("*").alias("n"))
+        .select("lang", "chance")
         .withColumn("place", F.row_number().over(by_language))
         .where(F.col("place") <= settings.rows_per_language)
         .orderBy("place", "lang")
         .limit(settings.fit_rows)
         .select("lang", "chance")
-        .distinct()
     )
     # At most ``fit_rows`` short rows: a proven bound.
-    return ranked.join(F.broadcast(chosen), ["lang", "chance"], "left_semi").withColumn(
+    rows = ranked.join(F.broadcast(chosen), ["lang", "chance"], "left_semi").dropDuplicates(["lang", "chance"])
+    return rows.withColumn(
         "calibrate", F.pmod(F.xxhash64(F.lit(settings.seed + 1), "chance"), F.lit(1000)) < int(1000 * settings.calibration_share)
     )
 

@@ -558,6 +558,15 @@ def test_language_id(spark, docs, none):
     assert not any(r.text is None or r.text.strip() == "" for r in kept)
 
 
+def test_repeated_rows_take_one_place_in_the_sample(spark):
+    rows = [(None, "the same text", "en")] * 300 + [(i, f"text {i}", "en") for i in range(40)] + [(i, f"texte {i}", "fr") for i in range(40)]
+    settings = language_id.Settings(rows_per_language=30, fit_rows=50)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = language_id.sample_rows(table, "doc_id", "text", "lang", settings).collect()
+    assert len(got) == len({(r.lang, r.text) for r in got}) == 50
+    assert {x: sum(r.lang == x for r in got) for x in ("en", "fr")} == {"en": 25, "fr": 25}
+
+
 def test_ngram_counts_do_not_depend_on_pieces(monkeypatch):
     text = "Anbléwh sttible — athawh thonre 12 was.\n" * 40
     whole = language_id.ngram_counts(text, language_id.Settings())
