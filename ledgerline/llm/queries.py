@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import decontamination, language_id, mixing, pii, quality_rules, simhash, suffix_index, token_counts, url_filters, warc
+from ledgerline.llm import (
+    alignment,
+    decontamination,
+    language_id,
+    licenses,
+    mixing,
+    pii,
+    prefix_trie,
+    quality_rules,
+    simhash,
+    suffix_index,
+    token_counts,
+    url_filters,
+    warc,
+)
 from ledgerline.runtime import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +33,9 @@ PII_KEY = b"ledgerline example key"
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# The two tokenizers of the alignment contract; a deployment passes other places to ``alignment.read_tokenizers``.
+BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
+
 # The rules of the URL contract (host, path, verdict).
 URL_RULES = (
     ("com", "/", "allow"),
@@ -191,3 +208,65 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op11_license_scans")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "__licenses.*").drop("places")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+WITH RECURSIVE bit(i, c) AS (SELECT i, i FROM range(256) AS r(i)),
+-- The table of the checksum: eight steps for each byte.
+step(n, i, c) AS (
+    SELECT 0, i, c FROM bit
+    UNION ALL SELECT n + 1, i, CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END FROM step WHERE n < 8),
+crc(i, c) AS (SELECT i, c FROM step WHERE n = 8),
+own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        left(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 30)) AS d
+    FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT c, CAST(c AS VARCHAR) AS s FROM own GROUP BY c),
+hashed(c, s, n, v) AS (
+    SELECT c, s, 0, CAST(4294967295 AS BIGINT) FROM conv
+    UNION ALL SELECT h.c, h.s, h.n + 1, xor(crc.c, h.v // 256) FROM hashed h JOIN crc ON crc.i = xor(h.v % 256, CAST(ascii(h.s[h.n + 1]) AS BIGINT))
+    WHERE h.n < length(h.s)),
+head AS (SELECT c, c - c % 5 AS b, xor(v, 4294967295) % 9 AS h FROM hashed WHERE n = length(s)),
+turn AS (
+    SELECT h.c, 0 AS mine, o.d, o.role, o.text FROM head h JOIN own o ON o.c = h.b AND o.d <= h.h
+    UNION ALL SELECT h.c, 1, o.d, o.role, o.text FROM head h JOIN own o ON o.c = h.c AND o.d > h.h),
+rebuilt AS (
+    SELECT c, row_number() OVER (PARTITION BY c ORDER BY mine, d) AS d, octet_length(encode(text)) AS bytes, sha256(octet_length(encode(role)) || ':' || role || text) AS t
+    FROM turn),
+prefix AS (
+    SELECT c, d, bytes, sha256(string_agg(t, ',') OVER (PARTITION BY c ORDER BY d)) AS k FROM rebuilt
+    UNION ALL SELECT c, 0, 0, '' FROM conv),
+path AS (SELECT c, d, bytes, k, lag(k) OVER (PARTITION BY c ORDER BY d) AS pk, d = max(d) OVER (PARTITION BY c) AS last FROM prefix),
+node AS (
+    SELECT k, any_value(pk) AS pk, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saved,
+        sha256(coalesce(string_agg(CASE WHEN last THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+    FROM path GROUP BY k),
+kid AS (SELECT pk AS k, count(*) AS n FROM node WHERE pk IS NOT NULL GROUP BY pk),
+below AS (
+    SELECT p.k, sum(n.saved) AS saved, count(*) FILTER (WHERE kid.n IS NULL) AS leaves
+    FROM node n JOIN path p ON p.c = n.conv_id AND p.d <= n.depth LEFT JOIN kid ON kid.k = n.k GROUP BY p.k)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kid.n, 0) AS n_children,
+    b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN below b ON b.k = n.k LEFT JOIN node up ON up.k = n.pk LEFT JOIN kid ON kid.k = n.k
+""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    base = F.col("conv") - F.col("conv") % 5
+    head = F.crc32(F.col("conv").cast("string")) % 9
+    turns = prefix_trie.rebuilt(prefix_trie.numbered(table(spark, folder, "conversations")), base, head)
+    return prefix_trie.trie(turns).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizers = alignment.read_tokenizers(BYTE_LEVEL, PIECES)
+    found = alignment.align(table(spark, folder, "documents").select("doc_id", "text"), tokenizers, digest=True)
+    return found.select("doc_id", "__aligned.*").withColumnRenamed("groups", "groups_sha256")
