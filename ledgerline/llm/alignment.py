@@ -15,15 +15,17 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ledgerline.llm.shared import send
 from ledgerline.runtime import settle
 
 # Fixed value: the pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# A single space between two other characters begins a token in both tokenizers, so texts are encoded in units between such places.
-UNIT = re.compile(r"(?<=\S)(?= \S)")
-# Texts are aligned together until they have so many characters.
-BLOCK_CHARS = 1 << 21
+# A single space between two other characters begins a token in both tokenizers, so long texts can be cut there.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+# Characters that are encoded at once at least, and that texts have until they are aligned together.
+PIECE_CHARS = 1 << 16
+BLOCK_CHARS = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,23 +79,26 @@ class Encoder:
         self.bytes_b = [piece_bytes(self.pieces, i) for i in range(self.pieces.get_piece_size())]
         self.length_a = np.array([len(t) for t in self.bytes_a])
         self.length_b = np.array([len(t) for t in self.bytes_b])
+        self.names = np.array([str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object)
 
-    def units(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of each unit in both, and whether both give its bytes back. A unit begins with a space."""
-        a = [self.byte_level.encode_ordinary(u) for u in units]
-        b = self.pieces.encode([u[1:] for u in units], num_threads=1)
-        joined_a = [b"".join(map(self.bytes_a.__getitem__, ids)) for ids in a]
-        joined_b = [b"".join(map(self.bytes_b.__getitem__, ids)) for ids in b]
-        return a, b, np.array([u.encode() == x == y for u, x, y in zip(units, joined_a, joined_b)], bool)
+    def text(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a space and the text in both; None if one of them does not give the bytes back."""
+        a: list[int] = []
+        b: list[int] = []
+        for piece in pieces(" " + text):
+            a += self.byte_level.encode_ordinary(piece)
+            b += self.pieces.encode(piece[1:])
+        joined_a, joined_b = b"".join(map(self.bytes_a.__getitem__, a)), b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, b) if joined_a == joined_b == (" " + text).encode() else None
 
 
-def _gathered(lists: list[list[int]], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of numbers at the places ``chosen``, one behind the other, and the length of each."""
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter(chain.from_iterable(lists), np.int64, int(size.sum()))
-    start = (np.cumsum(size) - size)[chosen]
-    length = size[chosen]
-    return flat[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())], length
+def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
+    """A text that begins with a space in parts of at least ``size`` characters that do so, too: see CUT."""
+    out, start = [], 0
+    while len(text) - start > size and (found := CUT.search(text, start + size)):
+        out.append(text[start : found.start()])
+        start = found.start()
+    return [*out, text[start:]]
 
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, first_a, first_b) -> tuple[np.ndarray, np.ndarray]:
@@ -143,17 +148,10 @@ class Block:
     """Some texts aligned together: ids of both sides, where each text begins, and the tokens at the shared cuts."""
 
     def __init__(self, encoder: Encoder, texts: list[str | None]) -> None:
-        # Each unit is encoded once in a block, however often it occurs.
-        number: dict[str, int] = {}
-        found = [[number.setdefault(u, len(number)) for u in UNIT.split(" " + t)] if t else [] for t in texts]
-        a, b, sound = encoder.units(list(number))
-        found = [units if all(sound[units]) else [] for units in found]
-        owner = np.repeat(np.arange(len(texts)), [len(units) for units in found])
-        chosen = np.fromiter(chain.from_iterable(found), np.int64)
-        self.a, size_a = _gathered(a, chosen)
-        self.b, size_b = _gathered(b, chosen)
-        self.n_a = np.bincount(owner, size_a, len(texts)).astype(np.int64)
-        self.n_b = np.bincount(owner, size_b, len(texts)).astype(np.int64)
+        empty: tuple[list[int], list[int]] = ([], [])
+        both = [(encoder.text(t) or empty) if t else empty for t in texts]
+        self.n_a, self.n_b = (np.array([len(x[side]) for x in both], np.int64) for side in (0, 1))
+        self.a, self.b = (np.fromiter(chain.from_iterable(x[side] for x in both), np.int32) for side in (0, 1))
         self.first_a, self.first_b = np.concatenate([[0], np.cumsum(self.n_a)]), np.concatenate([[0], np.cumsum(self.n_b)])
         filled = np.flatnonzero(self.n_a)
         if len(filled):
@@ -167,7 +165,7 @@ class Block:
 
     def pairs(self, width: int) -> np.ndarray:
         """Both ids of each link as one number."""
-        return self.a[self.cut_a] * width + self.b[self.cut_b]
+        return self.a[self.cut_a].astype(np.int64) * width + self.b[self.cut_b]
 
     def written(self, names: np.ndarray) -> list[str]:
         """Each text's groups as ``a1,a2|b1;a3|b2,b3``. ``names`` holds the decimal ids."""
@@ -218,38 +216,38 @@ def encoded(docs: DataFrame, tokenizers: dict, text: str = "text", digest: bool
 
     ``pairs`` are the different links of the text, ``a * size of b + b``, and ``times`` how often each occurs in it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizers)
+    made = send(docs.sparkSession, Encoder, **tokenizers)
     kind = T._parse_datatype_string(f"{COUNTS}, groups {'string' if digest else GROUPS}, pairs array<long>, times array<int>")
     schema = T.StructType([*docs.schema.fields, T.StructField("__found", kind)])
     searched = len(docs.columns)
     as_arrow = to_arrow_type(kind)
 
     def run(batches):
-        # A broadcast value is unpacked once in each worker process and keeps what is built from it.
-        state = shared.value
-        if "encoder" not in state:
-            state["encoder"] = Encoder(state["ranks"], state["model"])
-            state["names"] = np.array([str(i) for i in range(max(len(state["encoder"].length_a), len(state["encoder"].length_b)))], object)
-        encoder = state["encoder"]
-
-        def rows(texts):
+        encoder = made()
+
+        def found(texts):
             block = Block(encoder, texts)
-            written = block.written(state["names"])
+            written = block.written(encoder.names)
             if digest:
-                groups = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
+                groups = pa.array([hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written], pa.string())
             else:
-                groups = [_grouped(w) for w in written]
+                groups = pa.array([_grouped(w) for w in written], as_arrow.field("groups").type)
             size = np.diff(block.first)
-            pairs = block.pairs(len(encoder.length_b))
-            for i, counts in enumerate(zip(block.n_a.tolist(), block.n_b.tolist(), size.tolist(), size.tolist())):
-                different, times = np.unique(pairs[block.first[i] : block.first[i + 1]], return_counts=True)
-                yield dict(zip(kind.names, (*counts, groups[i], different, times.astype(np.int32))))
+            # The different links of each text, in the order of text and pair.
+            owner, pair = np.repeat(np.arange(len(texts)), size), block.pairs(len(encoder.length_b))
+            order = np.lexsort((pair, owner))
+            owner, pair = owner[order], pair[order]
+            begin = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])][: len(pair)])
+            times = np.diff(np.r_[begin, len(pair)]).astype(np.int32)
+            offsets = pa.array(np.searchsorted(owner[begin], np.arange(len(texts) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pair[begin], times)]
+            numbers = [pa.array(x, pa.int64()) for x in (block.n_a, block.n_b, size, size)]
+            return pa.StructArray.from_arrays([*numbers, groups, *lists], fields=list(as_arrow))
 
         for batch in batches:
             texts = batch.column(searched).to_pylist()
             for i, j in _blocks(texts):
-                made = pa.array(list(rows(texts[i:j])), as_arrow)
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:searched]), made], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:searched]), found(texts[i:j])], names=schema.names)
 
     # The text again as the last column, so that its place is known whatever the others are called.
     return docs.select("*", F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
@@ -277,8 +275,8 @@ def align(docs: DataFrame, tokenizers: dict, text: str = "text", digest: bool =
 
     Null and empty texts, and texts that one of the tokenizers does not give back byte by byte, have no tokens: zeros and no
     groups. Rows are judged in place, so repeated rows and null ids need nothing special; an empty table gives an empty one. Other
-    columns keep their names, whatever these are (``__found``, ``__text`` and ``__aligned`` are reserved). A text is encoded between
-    its single spaces, which gives the same ids as encoding it whole; a stretch without one goes to the tokenizers whole.
+    columns keep their names, whatever these are (``__found``, ``__text`` and ``__aligned`` are reserved). A long text is
+    encoded in parts between single spaces, which gives the same ids as encoding it whole; a stretch without one is not cut.
 
     The encoded rows are written to the shared folder and read twice: for the counts, and to mark the links with them. The counts
     are sent to every task; see ``link_counts`` for their bound.

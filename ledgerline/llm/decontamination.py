@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ledgerline.llm.shared import send
 from ledgerline.llm.words import raw_texts
 from ledgerline.runtime import settle
 
@@ -30,13 +31,13 @@ def normalised(data: bytes) -> bytes:
 class Matcher:
     """All windows of some items in one automaton, which is built once in each worker process."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW) -> None:
         self.window = window
         self.items = items
         self.automaton = None
 
     def build(self) -> None:
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         owners: dict[str, tuple[int, set[int]]] = {}
         for name, data in self.items:
             words = data.translate(FOLD).split()
@@ -54,7 +55,7 @@ class Matcher:
         if owners:
             self.automaton.make_automaton()
 
-    def scan(self, data: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+    def scan(self, data: bytes) -> tuple[int, list[tuple[int, int]], set[str | None]]:
         """Number of words, word ranges [first, last] that occurrences cover, and the names of the items found.
 
         The automaton runs over the normalised text once. Its offsets are those of the spaces behind each match; the spaces are
@@ -118,9 +119,9 @@ FOUND = T.StructType(
 )
 
 
-def _pass(docs: DataFrame, text: str, matcher: Matcher, offsets: bool) -> DataFrame:
+def _pass(docs: DataFrame, text: str, items: list[tuple[str | None, bytes]], window: int, offsets: bool) -> DataFrame:
     """Adds what one automaton finds to what earlier ones found, row by row, beside the columns of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(matcher)
+    matcher = send(docs.sparkSession, Matcher, items=items, window=window)
     first = "__items" not in docs.columns
     schema = T.StructType([f for f in docs.schema.fields if f.name not in FOUND.names] + FOUND.fields)
     kept = [n for n in docs.columns if n not in FOUND.names]
@@ -131,13 +132,14 @@ def _pass(docs: DataFrame, text: str, matcher: Matcher, offsets: bool) -> DataFr
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             counts, ranges, items, spans = [], [], [], []
             for i, data in enumerate(raw_texts(column[text])):
-                n, new, found = shared.value.scan(data or b"")
+                n, new, found = matcher().scan(data or b"")
                 if not first:
                     new = merged(new + [(r["first"], r["last"]) for r in column["__ranges"][i].as_py()])
                     found |= set(column["__items"][i].as_py())
                 counts.append(n)
                 ranges.append([{"first": a, "last": b} for a, b in new])
-                items.append(sorted(found))
+                # Items without an id stand together as one null.
+                items.append([*sorted(x for x in found if x is not None), *([None] if None in found else [])])
                 spans.append([{"first": a, "last": b} for a, b in word_offsets(data, new)] if offsets and new else [])
             made = [pa.array(x, kinds.field(k).type) for k, x in enumerate((counts, ranges, items, spans))]
             yield pa.RecordBatch.from_arrays([column[n] for n in kept] + made, names=schema.names)
@@ -160,15 +162,15 @@ def judge(
     A window is ``window`` consecutive words of an item, or all words of a shorter item. Words of a document inside an occurrence
     of any window are hit; it is contaminated if a twentieth of its words or more are hit. ``spans`` are the character ranges
     [first, last) of the hits in the original text (empty if ``offsets`` is off). A null or empty text has no words; items
-    without words and null items find nothing; rows are judged in place, so ids may be null or repeated; an empty table gives an
+    without words find nothing; items without an id count as one more item, which the digest of ids leaves out; rows are judged in place, so ids may be null or repeated; an empty table gives an
     empty one, and without a benchmark nothing is hit.
     """
     state = docs.withColumn("__text", F.col(text).cast("string")) if dict(docs.dtypes)[text] != "string" else docs
     searched = "__text" if state is not docs else text
     blocks = item_blocks(benchmark, item, item_text, block_bytes)
     for i, block in enumerate(blocks):
-        rows = [(r.item, r.text.encode()) for r in block.where("item is not null").collect()]
-        state = _pass(state, searched, Matcher(rows, window), offsets)
+        rows = [(r.item, r.text.encode()) for r in block.collect()]
+        state = _pass(state, searched, rows, window, offsets)
         if i + 1 < len(blocks):
             state = settle(state, "passages")
     n_hit = F.aggregate("__ranges", F.lit(0).cast("long"), lambda n, r: n + r.last - r.first + 1)

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerline.llm.shared import send
+
 UNKNOWN = "und"
 PIECE_CHARS = 1 << 20
 
@@ -168,9 +170,13 @@ def sample_rows(train: DataFrame, id: str, text: str, lang: str, settings: Setti
     chance = F.xxhash64(F.lit(settings.seed), F.col(id), F.xxhash64(F.col(text)))
     ranked = train.where(F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), chance.alias("chance"))
     by_language = Window.partitionBy("lang").orderBy("chance")
+    different = ranked.groupBy("lang", "chance").agg(F.count("*").alias("n")).select("lang", "chance")
+    # A language of more rows is first cut by the hash itself: twice as many as wanted are expected below the cut, so that no task
+    # sorts more than a few thousand hashes of a language.
+    many = different.groupBy("lang").agg(F.count("*").alias("rows"))
+    cut = F.lit(-(2.0**63)) + F.lit(2.0**64) * (2 * settings.rows_per_language + 100) / F.col("rows")
     chosen = (
-        ranked.groupBy("lang", "chance").agg(F.count("*").alias("n"))
-        .select("lang", "chance")
+        different.join(many, "lang").where(F.col("chance") <= cut).select("lang", "chance")
         .withColumn("place", F.row_number().over(by_language))
         .where(F.col("place") <= settings.rows_per_language)
         .orderBy("place", "lang")
@@ -281,22 +287,29 @@ def fit(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "l
     return Model(languages, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), heat, settings)
 
 
+def _model(settings: dict, **parts) -> Model:
+    return Model(settings=Settings(**settings), **parts)
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The rows of ``docs`` with the predicted language and its calibrated probability.
 
     The model has a fixed size (buckets x languages of the bounded sample), so it is broadcast. Null texts and texts without a
-    letter give ``und`` and 0; empty tables stay empty.
+    letter give ``und`` and 0; of equal probabilities the language that comes first by name wins; columns that are named like the new
+    ones are replaced; empty tables stay empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    made = send(docs.sparkSession, _model, **vars(model) | {"settings": vars(model.settings)})
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in into}]
 
     @F.pandas_udf("lang string, score double")
     def guess(texts):
         import pandas as pd
 
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+        model = made()
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
 
     return docs.withColumn("__guess", guess(F.col(text).cast("string"))).select(
-        *docs.columns, F.col("__guess.lang").alias(into[0]), F.col("__guess.score").alias(into[1])
+        *kept, F.col("__guess.lang").alias(into[0]), F.col("__guess.score").alias(into[1])
     )
 
 

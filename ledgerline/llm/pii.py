@@ -7,13 +7,17 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import isqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ledgerline.llm.shared import send
+
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
@@ -29,6 +33,15 @@ IBAN_LENGTHS = {
 }
 
 
+# Names of the months, beginnings of access keys, country codes of two digits.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+MONTH = "|".join([*MONTHS, *(m[:3] for m in MONTHS)])
+KEY_MARKS = r"AKIA|sk-|gh[opsu]_|glpat-|xox[abp]-"
+TWO_DIGIT_CODES = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+
+
 class Permutation:
     """Keyed permutations of [0, size): a Feistel network over two unequal halves, walked until it is back in the range."""
 
@@ -162,39 +175,53 @@ def _date(parts: tuple[int, int, int]) -> dt.date | None:
     return day if FIRST_DAY <= day.toordinal() <= LAST_DAY else None
 
 
-class _LateDays:
-    """Days whose number in the month is over 12, in order: dates that can only be read month first."""
+class _Days:
+    """Days whose number in the month is over 12 (late), or the others, in order.
 
-    def __init__(self) -> None:
+    Both are permuted apart: a late day stays one, so a date that can only be read month first stays so, and a day has one
+    pseudonym, however it is written.
+    """
+
+    def __init__(self, late: bool) -> None:
+        self.late = late
         self.days: list[int] = []
 
     def get(self) -> list[int]:
         if not self.days:
-            self.days = [x for x in range(FIRST_DAY, LAST_DAY + 1) if dt.date.fromordinal(x).day > 12]
+            self.days = [x for x in range(FIRST_DAY, LAST_DAY + 1) if (dt.date.fromordinal(x).day > 12) == self.late]
         return self.days
 
 
-LATE_DAYS = _LateDays()
+LATE_DAYS, EARLY_DAYS = _Days(True), _Days(False)
 
 
 def date(permute: Permutation, found: str) -> str | None:
-    """Dates of 1900 to 2099: year first, or day first, or month first where only that can be meant. They stay of their kind."""
-    a, mark, b, c = re.match(r"(\d+)([-/.])(\d+)[-/.](\d+)", found).groups()
-    if len(a) == 4:
-        day = _date((int(a), int(b), int(c)))
-        move = "{0:%Y}{1}{0:%m}{1}{0:%d}"
+    """Dates of 1900 to 2099: year first, or day first, or month first where only that can be meant, or with the month's name.
+
+    A day gets the same pseudonym in every spelling; it is written in the one found. The name of May is the same in full and
+    shortened, so a shortened month comes back in full where its pseudonym falls in May.
+    """
+    named = re.fullmatch(r"(?:(\d+) ([A-Z][a-z]+)|([A-Z][a-z]+) (\d+))(,?) (\d+)", found)
+    if named:
+        number, month = named[1] or named[4], named[2] or named[3]
+        names = MONTHS if month in MONTHS else [m[:3] for m in MONTHS]
+        day = _date((int(named[6]), names.index(month) + 1, int(number)))
     else:
-        day = _date((int(c), int(b), int(a)))
-        move = "{0:%d}{1}{0:%m}{1}{0:%Y}"
-    if day:
-        moved = dt.date.fromordinal(FIRST_DAY + permute(f"date{mark}{len(a)}", day.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-        return move.format(moved, mark)
-    day = len(a) == 2 and _date((int(c), int(a), int(b)))
+        a, mark, b, c = re.match(r"(\d+)([-/.])(\d+)[-/.](\d+)", found).groups()
+        month_first = False
+        day = _date((int(a), int(b), int(c)) if len(a) == 4 else (int(c), int(b), int(a)))
+        if not day and len(a) == 2:
+            month_first = True
+            day = _date((int(c), int(a), int(b)))
     if not day:
         return None
-    late = LATE_DAYS.get()
-    moved = dt.date.fromordinal(late[permute(f"late{mark}", late.index(day.toordinal()), len(late))])
-    return f"{moved:%m}{mark}{moved:%d}{mark}{moved:%Y}"
+    days = (LATE_DAYS if day.day > 12 else EARLY_DAYS).get()
+    moved = dt.date.fromordinal(days[permute("late" if day.day > 12 else "early", bisect_left(days, day.toordinal()), len(days))])
+    if named:
+        month = names[moved.month - 1]
+        return f"{moved.day} {month}{named[5]} {moved:%Y}" if named[1] else f"{month} {moved.day}{named[5]} {moved:%Y}"
+    order = ("%Y", "%m", "%d") if len(a) == 4 else ("%m", "%d", "%Y") if month_first else ("%d", "%m", "%Y")
+    return mark.join(moved.strftime(x) for x in order)
 
 
 def _iban_number(text: str) -> int:
@@ -221,18 +248,63 @@ def iban(permute: Permutation, found: str) -> str | None:
 
 
 def email(permute: Permutation, found: str) -> str | None:
-    """Local part and host change within their kinds, one by one, so hosts stay linked; the last label stays."""
-    local, _, host = found.partition("@")
+    """Local part and host change within their kinds, one by one, so hosts stay linked; the last label stays.
+
+    The address is changed in lower case and gets the capitals of the one found, so its spellings stay linked.
+    """
+    local, _, host = found.lower().partition("@")
     host, _, last = host.rpartition(".")
-    return f"{_like(permute, 'local', local)}@{_like(permute, 'host', host, last)}.{last}"
+    changed = f"{_like(permute, 'local', local)}@{_like(permute, 'host', host, last)}.{last}"
+    return "".join(c.upper() if was.isupper() else c for c, was in zip(changed, found))
 
 
 def secret(permute: Permutation, found: str) -> str | None:
-    """Access keys and quoted or assigned tokens: the part that is secret changes within its kinds (hexadecimal stays so)."""
-    head, body = re.fullmatch(r"(AKIA|[A-Za-z_]+\s*[=:]\s*[\"']?)(.*)", found, re.S).groups()
+    """Access keys and quoted or assigned tokens: the part that is secret changes within its kinds (hexadecimal stays so).
+
+    What it is assigned to has no say, so that a secret stays linked.
+    """
+    head, mark, body = re.fullmatch(rf"([A-Za-z_]+\s*[=:]\s*[\"']?)?({KEY_MARKS})?(.*)", found, re.S).groups()
+    head, mark = head or "", mark or ""
     if all(c in HEX for c in body):
-        return head + _mixed(permute, f"hex|{len(body)}", [(HEX, c) for c in body])
-    return head + _like(permute, "secret", body, head[:4])
+        return head + mark + _mixed(permute, f"hex|{len(body)}", [(HEX, c) for c in body])
+    return head + mark + _like(permute, "secret", body, mark)
+
+
+def international(permute: Permutation, found: str) -> str | None:
+    """Numbers with a country code: 8 to 15 digits; the code stays."""
+    digits = re.sub(r"\D", "", found)
+    code = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+    if not 8 <= len(digits) <= 15:
+        return None
+    return _put(found, digits[:code] + _mixed(permute, f"international|{digits[:code]}", [(DIGITS, c) for c in digits[code:]]))
+
+
+def address6(permute: Permutation, found: str) -> str | None:
+    """IPv6 addresses with three groups or more: groups that are zero stay so, the others keep their number of digits.
+
+    Leading zeros, left out groups and capitals are written as they were found, so the spellings of an address stay linked.
+    """
+    try:
+        ipaddress.IPv6Address(found)
+    except ValueError:
+        return None
+    groups = [g for g in found.split(":") if g]
+    if len(groups) < 3:
+        return None
+    bare = [g.lstrip("0").lower() for g in groups]
+    shape = ":".join(str(len(g)) for g in ipaddress.IPv6Address(found).exploded.split(":") for g in [g.lstrip("0")])
+    places = [("123456789abcdef" if i == 0 else HEX, c) for g in bare for i, c in enumerate(g)]
+    new = "".join(c for _, c in places)
+    capitals = any(c in "ABCDEF" for c in found)
+    lettered = any(c in "abcdef" for c in new)
+    while True:
+        # Walked until it has letters if it had, so that capitals can be told from it.
+        new = _mixed(permute, f"v6|{shape}", [(a, c) for (a, _), c in zip(places, new)])
+        if any(c in "abcdef" for c in new) == lettered:
+            break
+    turn = iter(new.upper() if capitals else new)
+    parts = iter("0" * (len(g) - len(b)) + "".join(next(turn) for _ in b) for g, b in zip(groups, bare))
+    return ":".join(next(parts) if g else "" for g in found.split(":"))
 
 
 # Tried in this order at each place of a text. The digits before and behind a number keep it from being part of a longer one.
@@ -240,15 +312,22 @@ KINDS: dict[str, tuple[str, Callable[[Permutation, str], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])", email),
     "secret": (
         r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+        r"|(?<![A-Za-z0-9_-])(?:sk-|gh[opsu]_|glpat-|xox[abp]-)(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{16,255}(?![A-Za-z0-9_-])"
         r"|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9_-]{8,128}(?![A-Za-z0-9_-])",
         secret,
     ),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban),
+    "named_date": (
+        rf"(?<![\w./-])(?:(?:[12][0-9]|3[01]|[1-9]) (?:{MONTH}),? (?:19|20)[0-9]{{2}}|(?:{MONTH}) (?:[12][0-9]|3[01]|[1-9]),? (?:19|20)[0-9]{{2}})(?![\w-])",
+        date,
+    ),
     "date": (r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?!(?!T[0-9]{2})[\w/-]|\.[0-9])", date),
     "social": (r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", social),
     "phone": (r"(?<![\w+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])", phone),
+    "international": (r"(?<![\w+])\+[2-9](?:[ .-]?\(?[0-9]{1,5}\)?){2,7}(?![\w-])", international),
     "card": (r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
     "address": (r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", address),
+    "address6": (r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.[0-9])", address6),
 }
 # Patterns that may run into the words behind a value: how much of a match is the value (0: none).
 LENGTHS: dict[str, Callable[[str], int]] = {"iban": iban_length, "card": card_length}
@@ -331,14 +410,14 @@ REWRITTEN = T.StructType([T.StructField("text", T.StringType()), T.StructField("
 
 def rewritten(docs: DataFrame, key: bytes, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS), back: bool = False) -> Column:
     """A column (text, spans) made from the texts of ``docs``; ``back`` turns pseudonyms into the values they stand for."""
-    shared = docs.sparkSession.sparkContext.broadcast(Rewriter(key, kinds, back))
+    rewriter = send(docs.sparkSession, Rewriter, key=key, kinds=kinds, back=back)
 
     @F.pandas_udf(REWRITTEN)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in texts:
             rows = []
             for t in series:
-                new, spans = shared.value(t) if t is not None else (None, [])
+                new, spans = rewriter()(t) if t is not None else (None, [])
                 rows.append((new, [{"kind": k, "first": a, "last": b} for k, a, b in spans]))
             yield pd.DataFrame(rows, columns=["text", "spans"])
 

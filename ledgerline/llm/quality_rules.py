@@ -14,8 +14,12 @@ from ledgerline.runtime import settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
-# About how many rows the order of the rules is estimated on. It decides the order alone, never a verdict.
+# About how many rows the order of the rules is estimated on, and how long a rule is repeated on them at least. Both decide the order
+# alone, never a verdict.
 SAMPLE_ROWS = 1000
+LEAST_SECONDS = 0.1
+FEW_REPEATS, MOST_REPEATS = 1, 256
+MADE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept")
 
 
 @dataclass(frozen=True)
@@ -28,7 +32,7 @@ class Rule:
 
 @dataclass(frozen=True)
 class Estimate:
-    """What a rule took on the sample, in seconds, and the share of its rows that it rejects."""
+    """What a rule takes for a row, in seconds, and the share of the sample's rows that it rejects."""
 
     rule: Rule
     seconds: float
@@ -36,20 +40,41 @@ class Estimate:
 
     @property
     def worth(self) -> float:
-        return self.share / max(self.seconds, 1e-6)
+        return self.share / self.seconds
 
 
-def estimates(sample: DataFrame, rules: list[Rule]) -> list[Estimate]:
-    """Each rule's cost and selectivity on the sample's rows; the cost of an empty pass is taken off."""
+def estimates(sample: DataFrame, rules: list[Rule], least_seconds: float = LEAST_SECONDS) -> list[Estimate]:
+    """Each rule's cost and selectivity on the sample's rows.
 
-    def timed(condition: Column) -> tuple[float, float]:
-        start = time.perf_counter()
-        row = sample.agg(F.count_if(condition).alias("hit"), F.count("*").alias("n")).first()
-        return time.perf_counter() - start, row.hit / row.n if row.n else 0.0
+    One job evaluates a rule on every row, again and again: there are more repeats until the job takes ``least_seconds``
+    more than the same job without the rule, so that starting a job weighs little. A rule that hits no row of the sample counts as
+    one that hits half a row.
+    """
 
-    timed(F.lit(False))
-    empty = timed(F.lit(False))[0]
-    return [Estimate(r, max(took - empty, 0.0), share) for r in rules for took, share in (timed(r.rejects),)]
+    def timed(condition: Column, repeats: int) -> tuple[float, int, int]:
+        again = sample.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+        took = []
+        # The first run compiles.
+        for _ in range(2):
+            start = time.perf_counter()
+            row = again.agg(F.count_if(condition).alias("hit"), F.count("*").alias("n")).first()
+            took.append(time.perf_counter() - start)
+        return min(took), row.hit // repeats, row.n // repeats
+
+    out = []
+    empty: dict[int, float] = {}
+    for rule in rules:
+        repeats = FEW_REPEATS
+        while True:
+            if repeats not in empty:
+                empty[repeats] = timed(F.col("__again") < 0, repeats)[0]
+            took, hit, n = timed(rule.rejects, repeats)
+            extra = took - empty[repeats]
+            if extra >= least_seconds or repeats >= MOST_REPEATS or not n:
+                break
+            repeats *= 16
+        out.append(Estimate(rule, max(extra, 1e-3) / max(n * repeats, 1), (hit + 0.5) / (n + 1)))
+    return out
 
 
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
@@ -119,7 +144,11 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     and empty texts have zero of everything. Repeated windows are told by a 64-bit hash within one text; only a text that has any
     is sorted.
     """
-    columns = docs.columns
+    # Columns that are named like a measure give way to it; the text is kept apart, whatever its name.
+    columns = [c for c in docs.columns if c.lower() not in MADE and c != "__text"]
+    docs = docs.select(*columns, F.col(text).cast("string").alias("__text"))
+    text = "__text"
+    columns.append(text)
     # A generator of one row after each step: the optimiser neither copies a step's expression into the next nor moves a filter
     # below it, so each text is split, hashed and measured once.
     split = docs.select(*columns, F.inline(F.array(F.struct(word_list(text).alias("__words"), line_list(text).alias("__lines")))))
@@ -141,7 +170,8 @@ def base_failed() -> Column:
 
 
 def rules(text: str = "text") -> list[Rule]:
-    """The rules beyond the base: symbols, word length, repeated lines, capitals and words that stutter."""
+    """The rules beyond the base: symbols, word length, repeated lines, capitals, words that stutter, links, words without a letter."""
+    # The first three compare measures; the others read the text or its words, and only in their branch of the cascade.
     letters, capitals = F.regexp_count(F.col(text), F.lit(r"\p{L}")), F.regexp_count(F.col(text), F.lit(r"\p{Lu}"))
     words = F.col("__words")
     stutters = F.size(F.filter(words, lambda w, i: F.coalesce(w == F.get(words, i - 1), F.lit(False))))
@@ -151,6 +181,8 @@ def rules(text: str = "text") -> list[Rule]:
         Rule("repeated_lines", F.expr("10 * n_dup_lines > 4 * n_lines")),
         Rule("capitals", 2 * capitals > letters),
         Rule("stutter", 10 * stutters > 3 * F.col("n_words")),
+        Rule("links", 5 * F.regexp_count(F.col(text), F.lit("(?i)https?://")) > F.col("n_words")),
+        Rule("letterless", 2 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) < F.col("n_words")),
     ]
 
 
@@ -159,11 +191,12 @@ def judge(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -
 
     The base comes first: fewer than ten words, or over a fifth of them in repeated windows. The other rules follow in the order of
     rejections per second that a sample of those that pass the base shows; a row leaves the cascade at its first rejection.
-    ``kept`` does not depend on the order, ``rejected_by`` may. Null and empty texts fail the base; repeated rows are judged alike;
+    ``kept`` does not depend on the order, ``rejected_by`` may. Columns of ``docs`` that are named like a new one (MADE) are replaced.
+    Null and empty texts fail the base; repeated rows are judged alike;
     an empty table gives an empty one.
     """
     sample = settle(measured(sampled(docs, sample_rows), text).where(~base_failed()), "rule-measures")
-    order = ordered(estimates(sample, rules(text)))
+    order = ordered(estimates(sample, rules("__text")))
     judged = measured(docs, text).withColumn("base_failed", base_failed())
     judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
-    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("__words")
+    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("__words", "__text")

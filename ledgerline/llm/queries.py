@@ -29,7 +29,7 @@ SQL: dict[str, str] = {}
 # A deployment passes its own; pseudonyms stay linked as long as it stays the same.
 PII_KEY = b"ledgerline example key"
 
-# Fixed value: the pattern that belongs to the vocabulary; another place is a parameter of ``token_counts.Tokenizer``.
+# Fixed value: the pattern that belongs to the vocabulary; another place is a parameter of ``token_counts.Tokenizer.read``.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -152,7 +152,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR word_chars < 3 * n_words
         OR word_chars > 10 * n_words OR 10 * n_dup_lines > 4 * n_lines
         OR 2 * len(regexp_extract_all(text, '\p{Lu}')) > len(regexp_extract_all(text, '\p{L}'))
-        OR 10 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 3 * n_words) AS kept
+        OR 10 * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) > 3 * n_words
+        OR 5 * len(regexp_extract_all(text, '(?i)https?://')) > n_words OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < n_words) AS kept
 FROM measured
 """,
 )
@@ -163,7 +164,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    tokenizer = token_counts.Tokenizer(RANKS, PATTERN)
+    tokenizer = token_counts.Tokenizer.read(RANKS, PATTERN)
     return token_counts.document_counts(table(spark, folder, "documents"), scratch_path(spark, "tokens"), tokenizer)
 
 

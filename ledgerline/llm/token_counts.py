@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ledgerline.llm.shared import send
+
 SEPARATOR = 0
 # Tokens searched at once.
 BLOCK_TOKENS = 1 << 20
@@ -21,19 +23,23 @@ PIECE_CHARS = 1 << 16
 
 
 class Tokenizer:
-    """Byte-level BPE from a file of ranks, loaded once in each worker process."""
+    """Byte-level BPE over a table of ranks."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
-        self.ranks_path, self.pattern = ranks_path, pattern
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        self.ranks, self.pattern = ranks, pattern
         self.encoding = None
 
+    @classmethod
+    def read(cls, path: str, pattern: str) -> Tokenizer:
+        """From a file of ranks where the job is started; the tasks get what was read."""
+        with open(path, "rb") as lines:
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
     def ids(self, text: str) -> np.ndarray:
         if self.encoding is None:
             import tiktoken
 
-            with open(self.ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+            self.encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
         if len(text) <= PIECE_CHARS:
             return np.array(self.encoding.encode_ordinary(text), np.int64)
         return np.concatenate([np.array(self.encoding.encode_ordinary(x), np.int64) for x in pieces(text)])
@@ -52,14 +58,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
 
 
 def write_flat(docs: DataFrame, folder: str, tokenizer: Tokenizer, text: str = "text", width: int = 2) -> None:
-    """One flat file for each partition, its documents in the partition's order; a null or empty text is a separator alone."""
+    """One flat file for each partition, its documents in the partition's order; a null or empty text is a separator alone.
+
+    A vocabulary whose identifiers, moved on by one, do not all fit into ``width`` bytes is refused.
+    """
+    if max(tokenizer.ranks.values(), default=0) + 1 >= 1 << 8 * width:
+        raise ValueError(f"identifiers up to {max(tokenizer.ranks.values())} do not fit into {width} bytes")
     at = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    made = send(docs.sparkSession, Tokenizer, ranks=tokenizer.ranks, pattern=tokenizer.pattern)
     kind = f"<u{width}"
 
     def pack(batches):
         for batch in batches:
-            flat = [(shared.value.ids(t) + 1).astype(kind).tobytes() if t else b"" for t in batch.column(at).to_pylist()]
+            flat = [(made().ids(t) + 1).astype(kind).tobytes() if t else b"" for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["tokens"])
 
     packed = docs.mapInArrow(pack, "tokens binary")
@@ -132,7 +143,7 @@ def document_counts(docs: DataFrame, folder: str, tokenizer: Tokenizer, id: str
 
     The files hold no ids; the nth document of a file is the nth row of the partition that wrote it. A second pass over the same
     two columns numbers the rows; a table read from files, or any other plan that gives the same rows in the same order twice, is
-    needed for that. Null and empty texts have 0 tokens, ids may be null or repeated, and an empty table gives an empty one.
+    needed for that; where the numbers of rows differ, the query fails. Null and empty texts have 0 tokens, ids may be null or repeated, and an empty table gives an empty one.
     """
     chosen = docs.select(id, F.col(text).cast("string").alias("__text"))
 
@@ -146,4 +157,8 @@ def document_counts(docs: DataFrame, folder: str, tokenizer: Tokenizer, id: str
     write_flat(chosen, folder, tokenizer, "__text", width)
     counts = count_tokens(docs.sparkSession, folder, width)
     rows = chosen.mapInArrow(number, T.StructType([docs.schema[id], T.StructField("part", T.LongType()), T.StructField("nth", T.LongType())]))
-    return rows.join(counts.withColumn("part", part_number()), ["part", "nth"]).select(id, "n_tokens")
+    # A row without a count, or a count without a row, means that the two passes did not read the same rows.
+    both = rows.withColumn("__row", F.lit(True)).join(counts.withColumn("part", part_number()), ["part", "nth"], "full")
+    met = F.col("__row").isNotNull() & F.col("n_tokens").isNotNull()
+    lost = F.raise_error(F.lit("the table did not give the same rows twice")).cast("long")
+    return both.select(id, F.when(met, F.col("n_tokens")).otherwise(lost).alias("n_tokens"))

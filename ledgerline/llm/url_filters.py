@@ -37,10 +37,46 @@ def _attribute(tag: str, name: str) -> Column:
     return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
 
 
+# The named entities that attribute values need; ampersands come last, so that nothing is read twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def unescaped(value: Column) -> Column:
+    """The value with its entities, named as in ENTITIES or numbered, replaced by their characters."""
+    numbers = F.array_distinct(F.regexp_extract_all(value, F.lit("&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(0)))
+    digits = lambda n: F.regexp_extract(n, "([0-9A-Fa-f]+);", 1)
+    code = lambda n: F.when(n.rlike("[xX]"), F.conv(digits(n), 16, 10)).otherwise(digits(n)).cast("long")
+    # Numbers beyond the code points, and those of halves of a character, stay as they are.
+    sound = lambda n: (code(n) < 0x110000) & ~code(n).between(0xD800, 0xDFFF) & (code(n) != 38)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32")
+    out = F.aggregate(numbers, value, lambda text, n: F.when(sound(n), F.replace(text, n, char(n))).otherwise(text))
+    for name, c in ENTITIES[:-1]:
+        out = F.replace(out, F.lit(name), F.lit(c))
+    for name in ("&#38;", "&#x26;", "&#X26;", "&amp;"):
+        out = F.replace(out, F.lit(name), F.lit("&"))
+    return out
+
+
+def without_dots(url: Column) -> Column:
+    """An absolute address whose path has no ``.`` and ``..`` parts any more; ``..`` takes the part before it away, if there is one."""
+    site, rest = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+    parts = F.split(F.substr(rest, F.lit(2)), "/")
+    kept = F.aggregate(
+        parts, F.expr("cast(array() as array<string>)"),
+        lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(p == ".", done).otherwise(F.concat(done, F.array(p))),
+    )
+    # A path that ends with such a part names a folder.
+    folder = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    dotted = rest.rlike(r"/\.{1,2}(/|$)")
+    return F.when(dotted, F.concat(site, F.lit("/"), F.array_join(kept, "/"), folder, query)).otherwise(url)
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): the address of a page and the one that it names as canonical or redirects to by a refresh.
 
-    A link may be absolute, scheme-relative, host-relative or relative to the page's folder.
+    A link may be absolute, scheme-relative, host-relative or relative to the page's folder; its entities are replaced and its dot
+    parts resolved.
     """
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     tagged = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("u"), F.explode(tags).alias("tag"))
@@ -48,7 +84,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     refresh = F.regexp_extract("content", r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*['\"]?([^'\"]*)", 1)
     target = F.when(F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), F.col("href")).when(F.lower("equiv") == "refresh", refresh)
     based = _computed(
-        read, link=F.trim(target), scheme=F.regexp_extract("u", r"(?s)^(.*?:)//", 1), site=F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1),
+        read, link=F.trim(unescaped(target)), scheme=F.regexp_extract("u", r"(?s)^(.*?:)//", 1), site=F.regexp_extract("u", r"(?s)^(.*?://[^/?#]*)", 1),
         page=path(F.col("u")), folder=F.regexp_extract("u", r"(?s)^.*?://[^/?#]*([^?#]*/)", 1),
     ).where("link != '' and site != ''")
     link = F.col("link")
@@ -59,7 +95,7 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .when(link.rlike(r"^[?#]"), F.concat("site", "page", link))
         .when(~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat("site", F.when(F.col("folder") == "", "/").otherwise(F.col("folder")), link))
     )
-    return _computed(based, full=full).select(address(F.col("u")).alias("a"), address(F.col("full")).alias("b")).where("a is not null and b is not null")
+    return _computed(based, full=full).select(address(F.col("u")).alias("a"), address(without_dots(F.col("full"))).alias("b")).where("a is not null and b is not null")
 
 
 def ruled(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:

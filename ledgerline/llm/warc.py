@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -20,6 +21,9 @@ VERSION = b"WARC/1."
 PADDING = "\0"
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
 ID = "urn:page:"
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
+# Compressed bytes that are unpacked at a time.
+UNPACK_BYTES = 1 << 16
 
 
 def record(page: int | None, url: str | None, payload: bytes, first: int | None, digest: str) -> bytes:
@@ -47,12 +51,16 @@ def member(data: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class Record:
-    """Headers (names in lower case) and block of a record, and where it stood in its archive."""
+    """Headers (names in lower case) and block of a record, and where it stood in its archive.
+
+    Of a compressed record, [start, end) is its member and ``inner`` its place in the unpacked content.
+    """
 
     headers: dict[str, str]
     block: bytes
     start: int
     end: int
+    inner: int | None = None
 
     @property
     def payload(self) -> bytes:
@@ -61,11 +69,15 @@ class Record:
 
 @dataclass(frozen=True)
 class Gap:
-    """Bytes that belong to no valid record, and why the reader gave up at their start."""
+    """Bytes that belong to no valid record, and why the reader gave up at their start.
+
+    Where the member is sound but its content is not, [start, end) is the member and ``inner`` the range in the unpacked content.
+    """
 
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | str:
@@ -81,19 +93,47 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], int, int] | str:
     if data[end : end + 4] != b"\r\n\r\n":
         return "wrong length"
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(data[head.end() : end]).hexdigest() != digest:
-        return "wrong digest"
+    if kind.strip().lower() in DIGESTS:
+        found = hashlib.new(kind.strip().lower(), data[head.end() : end]).digest()
+        # Digests are written in base 32 or as hexadecimal numbers.
+        if digest.strip().lower() not in (found.hex(), base64.b32encode(found).decode().lower()):
+            return "wrong digest"
     return headers, head.end(), end
 
 
-def _unpacked(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content and end of the gzip member at ``at``; or what is wrong with it."""
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """Content of the gzip member at ``at``, its end, and what is wrong with it; of a broken one what could be unpacked, and no end."""
     unpacker = zlib.decompressobj(31)
-    try:
-        content = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error:
-        return "damaged member"
-    return (content, len(data) - len(unpacker.unused_data)) if unpacker.eof else "cut member"
+    view = memoryview(data)[at:]
+    parts = []
+    for start in range(0, len(view), UNPACK_BYTES):
+        try:
+            parts.append(unpacker.decompress(view[start : start + UNPACK_BYTES]))
+        except zlib.error:
+            return b"".join(parts), None, "damaged member"
+        if unpacker.eof:
+            end = at + min(start + UNPACK_BYTES, len(view)) - len(unpacker.unused_data)
+            return b"".join(parts), end, ""
+    return b"".join(parts), None, "cut member"
+
+
+def _inside(content: bytes, start: int, end: int) -> Iterator[Record | Gap]:
+    """The records in the content of a member that lies at [start, end), and a gap for each run of bytes between them."""
+    at, lost, reason = 0, -1, ""
+    while at < len(content):
+        got = _parse(content, at)
+        if isinstance(got, str):
+            lost, reason = (at, got) if lost < 0 else (lost, reason)
+            further = content.find(VERSION, at + 1)
+            at = len(content) if further < 0 else further
+            continue
+        if lost >= 0:
+            yield Gap(start, end, reason, (lost, at))
+            lost = -1
+        yield Record(got[0], content[got[1] : got[2]], start, end, at)
+        at = got[2] + 4
+    if lost >= 0 or not content:
+        yield Gap(start, end, reason or "no header", (max(lost, 0), len(content)))
 
 
 def _next(data: bytes, at: int) -> int:
@@ -104,25 +144,33 @@ def _next(data: bytes, at: int) -> int:
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All valid records of an archive, compressed by member or plain, and a gap for each run of bytes between them.
 
-    A record counts if its member's checksum, its length, the line breaks behind it and its block digest hold. Where one does not,
-    the search goes on at the next place that looks like a member or a version line, one byte further at least, so damage costs
-    the records that it touches and no others.
+    A record counts if its length, the line breaks behind it and its block digest (any of DIGESTS) hold. A member may hold several;
+    of a member whose stream breaks off or fails its checksum, the records unpacked up to there count too, and the rest of it is a
+    gap. Behind a failure the search goes on at the next place that looks like a member or a version line, one byte further at
+    least, so damage costs the records that it touches and no others. Every byte but padding is in a record or a gap.
     """
     at, lost, reason = 0, -1, ""
     while at < len(data):
         if data[at] == 0 and lost < 0:
             at += 1
             continue
-        got: tuple | str
+        got: list[Record | Gap] | str
         if data.startswith(GZIP, at):
-            got = _unpacked(data, at)
-            if not isinstance(got, str):
-                content, end = got
-                inner = _parse(content, 0)
-                got = inner if isinstance(inner, str) else (inner[0], content[inner[1] : inner[2]], end)
+            content, end, wrong = _unpacked(data, at)
+            if end is None:
+                # The records in front of the break; their member has no end, so it is told by its first byte alone.
+                got = [x for x in _inside(content, at, at) if isinstance(x, Record)] if HEAD.match(content) else []
+                if got and lost >= 0:
+                    yield Gap(lost, at, reason)
+                    lost = -1
+                yield from got
+                got = wrong
+            else:
+                got = list(_inside(content, at, end))
         else:
             inner = _parse(data, at)
-            got = inner if isinstance(inner, str) else (inner[0], data[inner[1] : inner[2]], inner[2] + 4)
+            end = len(data) if isinstance(inner, str) else inner[2] + 4
+            got = inner if isinstance(inner, str) else [Record(inner[0], data[inner[1] : inner[2]], at, end)]
         if isinstance(got, str):
             lost, reason = (at, got) if lost < 0 else (lost, reason)
             at = _next(data, at + 1)
@@ -130,8 +178,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if lost >= 0:
             yield Gap(lost, at, reason)
             lost = -1
-        yield Record(got[0], got[1], at, got[2])
-        at = got[2]
+        yield from got
+        at = end
     if lost >= 0:
         yield Gap(lost, len(data), reason)
 
@@ -165,14 +213,18 @@ def _number(urn: str) -> int | None:
     return int(found[1]) if found else None
 
 
-RECORDS = "path string, first long, last long, id long, kind string, refers_to long, bytes long, digest string, reason string"
+RECORDS = (
+    "path string, first long, last long, id long, kind string, refers_to long, bytes long, digest string, reason string, "
+    "inner_first long, inner_last long"
+)
 
 
 def read_archives(spark, folder: str) -> DataFrame:
     """A row for each record and each quarantined gap of the archives below ``folder``, read through Spark.
 
     Records have id, kind, refers_to, and the size and SHA-256 of the payload read (of a revisit: the digest it names). Gaps have
-    kind ``gap`` and a reason. [first, last) are the bytes in the archive. One archive is held in memory at a time.
+    kind ``gap`` and a reason. [first, last) are the bytes in the archive, and for what lies inside a compressed member ``inner_first``
+    and (of gaps) ``inner_last`` those in its content. One archive is held in memory at a time.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
 
@@ -182,14 +234,14 @@ def read_archives(spark, folder: str) -> DataFrame:
                 rows = []
                 for x in salvage(content.as_py()):
                     if isinstance(x, Gap):
-                        rows.append((path, x.start, x.end, None, "gap", None, None, None, x.reason))
+                        rows.append((path, x.start, x.end, None, "gap", None, None, None, x.reason, *(x.inner or (None, None))))
                         continue
                     kind, h = x.headers.get("warc-type", ""), x.headers
                     stored = kind != "revisit"
                     digest = hashlib.sha256(x.payload).hexdigest() if stored else h.get("warc-payload-digest", "").partition(":")[2]
                     refers = None if stored else _number(h.get("warc-refers-to", ""))
-                    rows.append((path, x.start, x.end, _number(h.get("warc-record-id", "")), kind, refers, len(x.payload) if stored else None, digest, None))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                    rows.append((path, x.start, x.end, _number(h.get("warc-record-id", "")), kind, refers, len(x.payload) if stored else None, digest, None, x.inner, None))
+                kinds = tuple(pa.string() if x.endswith("string") else pa.int64() for x in RECORDS.split(", "))
                 columns = list(zip(*rows)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in RECORDS.split(", ")])
 

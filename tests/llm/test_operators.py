@@ -526,9 +526,9 @@ def test_separator_scan(spark, tmp_path, block_tokens):
 def test_document_counts(spark, docs, none, tmp_path):
     from ledgerline.llm import queries
 
-    tokenizer = token_counts.Tokenizer(queries.RANKS, queries.PATTERN)
+    tokenizer = token_counts.Tokenizer.read(queries.RANKS, queries.PATTERN)
     got = token_counts.document_counts(docs, str(tmp_path / "t"), tokenizer).collect()
-    plain = token_counts.Tokenizer(queries.RANKS, queries.PATTERN)
+    plain = token_counts.Tokenizer.read(queries.RANKS, queries.PATTERN)
     plain.ids("")
     expected = [(r.doc_id, len(plain.encoding.encode_ordinary(r.text or ""))) for r in docs.collect()]
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
