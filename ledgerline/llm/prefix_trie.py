@@ -8,13 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ledgerline.llm.sketches import marked, screen, width_for
 from ledgerline.runtime import settle
 
-ROWS = 4
 # Cells of each row of the sketch: eight for each prefix up to this bound. Beyond it more prefixes are taken for possibly shared and
 # shuffled; the result is the same.
 MOST_CELLS = 1 << 24
-BLOCK = 1 << 16
 CHUNK_CHARS = 1 << 20
 
 
@@ -95,66 +94,18 @@ def _prefixes(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     ), convs
 
 
-def cells(k1: np.ndarray, k2: np.ndarray, width: int) -> list[np.ndarray]:
-    """The cell of each digest in each row of a sketch, rows one behind the other."""
-    a, b = k1.astype(np.uint64), k2.astype(np.uint64)
-    lanes = (a, a >> np.uint64(32), b, b >> np.uint64(32))
-    return [(lane & np.uint64(width - 1)).astype(np.int64) + i * width for i, lane in enumerate(lanes)]
-
-
-def screen(prefixes: DataFrame, width: int) -> bytes:
-    """Count-min sketch of the digests, counted up to two: a bit for each cell that two prefixes or more fell into."""
-
-    def count(batches):
-        seen = np.zeros(ROWS * width, np.uint8)
-        for batch in batches:
-            for found in cells(batch.column(0).to_numpy(), batch.column(1).to_numpy(), width):
-                place, n = np.unique(found, return_counts=True)
-                seen[place] = np.minimum(seen[place] + np.minimum(n, 2), 2)
-        size = min(BLOCK, width)
-        for start in range(0, len(seen), size):
-            block = seen[start : start + size]
-            if block.any():
-                made = [pa.array([start]), *(pa.array([np.packbits(block >= k).tobytes()]) for k in (1, 2))]
-                yield pa.RecordBatch.from_arrays(made, names=["start", "once", "twice"])
-
-    def merge(batches):
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for start, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-                new = np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8)
-                old = state.get(start)
-                state[start] = (old[0] | new[0], old[1] | new[1] | (old[0] & new[0])) if old else new
-        for start, (_, twice) in state.items():
-            yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([twice.tobytes()])], names=["start", "twice"])
-
-    # Tasks send one row for each block of cells, so what meets in a task is bounded by the sketch.
-    counted = prefixes.select("k1", "k2").mapInArrow(count, "start long, once binary, twice binary")
-    merged = counted.repartition("start").mapInArrow(merge, "start long, twice binary").toArrow()
-    bits = np.zeros(ROWS * width // 8, np.uint8)
-    for start, twice in zip(merged["start"].to_pylist(), merged["twice"].to_pylist()):
-        bits[start // 8 : start // 8 + len(twice)] = np.frombuffer(twice, np.uint8)
-    return bits.tobytes()
-
-
 def _flagged(prefixes: DataFrame, n: int) -> DataFrame:
     """Adds ``shared`` and ``parent_shared``: whether the sketch leaves open that other conversations have the prefix too."""
-    width = min(MOST_CELLS, max(1 << 12, 1 << (8 * n - 1).bit_length()))
+    width = width_for(n, MOST_CELLS)
     sent = prefixes.sparkSession.sparkContext.broadcast(screen(prefixes, width))
     names = [*prefixes.columns, "shared", "parent_shared"]
 
     def flag(batches):
         bits = np.frombuffer(sent.value, np.uint8)
 
-        def open_(a, b):
-            left = np.ones(len(a), bool)
-            for cell in cells(a, b, width):
-                left &= (bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
-            return left
-
         for batch in batches:
             k1, k2, p1, p2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("k1", "k2", "p1", "p2"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(open_(k1, k2)), pa.array(open_(p1, p2))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(marked(bits, *k, width)) for k in ((k1, k2), (p1, p2)))], names=names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prefixes.schema.fields)
     return prefixes.mapInArrow(flag, f"{kinds}, shared boolean, parent_shared boolean")

@@ -399,27 +399,82 @@ def test_suffix_index(docs, none):
     assert suffix_index.remove_repeats(none).count() == 0
 
 
+def plain_spans(docs, length=100):
+    """(doc, start) of every passage that starts earlier, documents in the order given."""
+    seen, out = set(), set()
+    for doc, text in docs:
+        data = (text or "").encode()
+        for i in range(len(data) - length + 1):
+            part = data[i : i + length]
+            if part in seen:
+                out.add((doc, i))
+            seen.add(part)
+    return out
+
+
+def spread(rows):
+    return {(r.doc, r.start + i) for r in rows for i in range(r.passages)}
+
+
+def passages_in_parts(n, seed=5):
+    """Texts that share passages in part, at many offsets, with one line that most of them hold in other surroundings."""
+    rng = random.Random(seed)
+    shared = [words(rng, 60) for _ in range(3)]
+    line = words(rng, 14)
+    out = []
+    for i in range(n):
+        a, b = rng.choice(shared), rng.choice(shared)
+        cut, end = rng.randint(0, 150), rng.randint(150, 300)
+        out.append((i, words(rng, 5) + a[cut:end] + words(rng, rng.randint(1, 40)) + line + words(rng, 4) + b[cut // 2 : end - 40]))
+    return out
+
+
 def test_suffix_runs_across_chunks(spark, monkeypatch):
     rng = random.Random(5)
     shared = "".join(rng.choice("abc") for _ in range(700))
     texts = [shared[:400] + "q" * 150, "z" + shared, "".join(rng.choice("xyz") for _ in range(900)) + shared[100:350], "a" * 500]
     monkeypatch.setattr(suffix_index, "CHUNK", 256)
-    runs = [sum(int(c) for _, _, count, *_ in suffix_index.runs([t.encode()], 100) for c in count) for t in texts]
+    runs = [sum(int(c) for *_, run in suffix_index.runs([t.encode()], 100) for c in suffix_index.unpacked(run)[1]) for t in texts]
     assert runs == [len(t) - 99 for t in texts]
 
 
-def test_levels_merge_geometrically(spark):
-    family = suffix_index.Family(spark, 4)
-    rows = spark.range(10).selectExpr("id key", "id whole")
-    sizes = []
-    for _ in range(5):
-        family.insert(family.store(rows, 1))
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("group_rows", [200_000, 4])
+def test_passages_that_agree_in_part(spark, monkeypatch, kind, group_rows):
+    """Ids of any type, and groups that come in parts."""
+    monkeypatch.setattr(suffix_index, "GROUP_ROWS", group_rows)
+    texts = passages_in_parts(60)
+    names = {i: i if kind == "long" else f"{i:03d}é" for i, _ in texts}
+    rows = suffix_index.keyed(spark.createDataFrame([(names[i], t) for i, t in texts], f"doc_id {kind}, text string").repartition(4), "doc_id", "text")
+    ranges = suffix_index.batch_ranges(rows, 3)
+    assert len(ranges) == 3 and all(5 < rows.where(r).count() < 40 for r in ranges)
+    found = suffix_index.find_repeats(rows, batches=3).collect()
+    assert spread(found) == {(names[d], s) for d, s in plain_spans(texts)}
+
+
+def test_a_stored_family_takes_new_batches(spark, tmp_path):
+    """Levels merge geometrically; each batch is told what stands in the ones before, by a family that is opened anew."""
+    texts = passages_in_parts(75, 8)
+    rng = random.Random(1)
+    rng.shuffle(texts)
+    batches = [texts[i : i + 15] for i in range(0, 75, 15)]
+    suffix_index.Family(spark, str(tmp_path / "family"))._commit()
+    done, sizes = [], []
+    for batch in batches:
+        # Inside a batch the ids decide, between batches their order.
+        done += sorted(batch)
+        family = suffix_index.Family.open(spark, str(tmp_path / "family"))
+        keyed = [suffix_index.keyed(spark.createDataFrame(x, "doc_id long, text string"), "doc_id", "text") for x in (batch, done)]
+        found = spread(family.add(*keyed).collect())
+        ids = {d for d, _ in batch}
+        assert found == {(d, s) for d, s in plain_spans(done) if d in ids}
         sizes.append([x.batches for x in family.levels])
     assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
-    assert sum(family.rows(x).count() for x in family.levels) == 50
-    plan = family.rows(family.levels[0]).join(family.rows(family.levels[1]), ["key", "whole"])
-    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().toString()
-    family.close()
+    schema = suffix_index._schema(keyed[0], *((n, suffix_index.T.LongType()) for n in ("seed", "whole", "run")), ("kind", suffix_index.T.ByteType()))
+    level = family.rows(family.levels[0], schema).collect()
+    assert len({(r.seed, r.whole) for r in level}) == len(level) > 100
+    family.drop()
+    assert not (tmp_path / "family").exists()
 
 
 def pages_fixture():

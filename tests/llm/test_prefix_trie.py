@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerline.llm import prefix_trie
+from ledgerline.llm import prefix_trie, sketches
 
 SCHEMA = "conv_id long, turn long, role string, text string, depth int, part string"
 
@@ -89,10 +89,7 @@ def test_sketch_proves_singletons(spark):
     keys[2000:2500] = keys[:500]
     df = spark.createDataFrame(pa.table({"k1": keys[:, 0], "k2": keys[:, 1]}).to_pandas()).repartition(3)
     width = 1 << 14
-    bits = np.frombuffer(prefix_trie.screen(df, width), np.uint8)
-    left = np.ones(len(keys), bool)
-    for cell in prefix_trie.cells(keys[:, 0], keys[:, 1], width):
-        left &= (bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+    left = sketches.marked(np.frombuffer(sketches.screen(df, width), np.uint8), keys[:, 0], keys[:, 1], width)
     assert left[:500].all() and left[2000:2500].all() and left[500:2000].mean() < 0.01
 
 
