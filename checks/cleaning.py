@@ -136,7 +136,16 @@ def actions(spark, d):
     return rounded(C.apply_actions(_halved(spark, d), ACTIONS)[0])
 
 
-@query("clean_actions_log")
+@query(
+    "clean_actions_log",
+    f"""WITH kept AS (SELECT value, event_type FROM {_DEDUPED}), filled AS (SELECT * FROM {_TYPED}),
+    limits AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM filled)
+    SELECT 1::BIGINT AS step, 'duplicates: ' || ((SELECT count(*) FROM events) - (SELECT count(*) FROM {_DEDUPED})) || ' repeated rows taken out' AS description
+    UNION ALL SELECT 2, 'column event_id: left out'
+    UNION ALL SELECT 3, 'column value: ' || (SELECT count(*) - count(value) FROM kept) || ' gaps closed by median'
+    UNION ALL SELECT 4, 'column event_type: ' || (SELECT count(*) - count(event_type) FROM kept) || ' rows with a gap taken out'
+    UNION ALL SELECT 5, 'column value: held within ' || printf('%.2f', a - 1.5 * (b - a)) || ' and ' || printf('%.2f', b + 1.5 * (b - a)) FROM limits""",
+)
 def actions_log(spark, d):
     return C.apply_actions(_halved(spark, d), ACTIONS)[1]
 

@@ -90,27 +90,30 @@ def cross_validation(spark, d):
     return _results(run).select("algorithm", "status", "r2", "cv_folds", "cv_scores", "cv_mean", "cv_std")
 
 
+def _explained(spark, d, algorithm):
+    # No column of the attributions depends on the folds.
+    return T.train_all(parts(spark, d), "cost", "p_partkey", only=[algorithm], cross_validate=False)
+
+
 @query("ml_importance_linear")
 def importance_linear(spark, d):
-    return T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression"]).importances["LinearRegression"]
+    return _explained(spark, d, "LinearRegression").importances["LinearRegression"]
 
 
 @query("ml_importance_trees")
 def importance_trees(spark, d):
-    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["RandomForestRegressor"])
-    return run.importances["RandomForestRegressor"]
+    return _explained(spark, d, "RandomForestRegressor").importances["RandomForestRegressor"]
 
 
 @query("ml_explanation")
 def explanation(spark, d):
-    run = T.train_all(parts(spark, d), "cost", "p_partkey", only=["LinearRegression"])
-    return run.explain("LinearRegression")
+    return _explained(spark, d, "LinearRegression").explain("LinearRegression")
 
 
 @query("ml_predict")
 def predict(spark, d):
     docs = described(spark, d)
-    run = T.train_all(docs.where("quality is not null"), "quality", "doc_id", only=["LogisticRegression"], explain_models=False)
+    run = T.train_all(docs.where("quality is not null"), "quality", "doc_id", only=["LogisticRegression"], cross_validate=False, explain_models=False)
     path = scratch_path(spark, "model")
     T.save_model(run.models["LogisticRegression"], path)
     return T.predict(T.load_model(path), docs.drop("quality"), ["lang", "n_chars", "n_words", "digit_share", "n_lines"])

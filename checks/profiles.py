@@ -216,7 +216,12 @@ def quality_duplicates_nulls(spark, d):
     return Q.duplicates(t(spark, d, "orders").select(F.expr("nullif(o_orderstatus, 'P')").alias("s"), "o_orderdate"))
 
 
-@query("quality_constant", """SELECT * FROM (VALUES (1::BIGINT, 'one'), (2, 'none')) v(ordinal, "column")""")
+@query(
+    "quality_constant",
+    """SELECT 0::BIGINT AS ordinal, 'c_name' AS "column" FROM customer HAVING count(DISTINCT c_name) <= 1
+    UNION ALL SELECT 1, 'one' FROM customer HAVING count(*) >= 0 UNION ALL SELECT 2, 'none' FROM customer HAVING count(*) >= 0
+    UNION ALL SELECT 3, 'c_acctbal' FROM customer HAVING count(DISTINCT c_acctbal) <= 1""",
+)
 def quality_constant(spark, d):
     return Q.constant_columns(
         t(spark, d, "customer").select("c_name", F.lit(1).alias("one"), F.lit(None).cast("string").alias("none"), "c_acctbal")
@@ -258,7 +263,26 @@ def quality_mostly_numeric(spark, d):
     )
 
 
-@query("quality_scan")
+_SCANNED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "gap"]
+_SCAN = f"(SELECT *, {GAPPY} AS gap FROM lineitem)"
+
+
+def scan_sql():
+    """Every check of the lines with a gappy and a constant column; keys differ too little to be nearly all different."""
+    bounds = " UNION ALL ".join(f"({outlier_sql(c, _SCAN)})" for c in _SCANNED)
+    return f"""WITH o AS ({bounds})
+    SELECT 'shape' AS "check", NULL AS "column", 'row_count' AS metric, CAST(count(*) AS DOUBLE) AS value FROM lineitem
+    UNION ALL SELECT 'shape', NULL, 'column_count', 13.0
+    UNION ALL SELECT 'shape', NULL, 'total_missing_cells', count(*) - count(gap) FROM {_SCAN}
+    UNION ALL SELECT 'missing', 'gap', 'count', count(*) - count(gap) FROM {_SCAN}
+    UNION ALL SELECT 'missing', 'gap', 'percentage', round((count(*) - count(gap)) / count(*) * 100, 2) FROM {_SCAN}
+    UNION ALL SELECT 'constant', 'one', 'constant', 1.0
+    UNION ALL SELECT 'duplicates', NULL, 'count', count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) FROM lineitem
+    UNION ALL SELECT 'outliers', "column", 'count', count FROM o UNION ALL SELECT 'outliers', "column", 'lower_bound', lower_bound FROM o
+    UNION ALL SELECT 'outliers', "column", 'upper_bound', upper_bound FROM o"""
+
+
+@query("quality_scan", scan_sql())
 def quality_scan(spark, d):
     li = t(spark, d, "lineitem").withColumn("gap", F.expr(GAPPY)).withColumn("one", F.lit("x"))
     return Q.scan(li)

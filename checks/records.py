@@ -114,6 +114,18 @@ def search_page(spark, d):
     return K.page(found, [F.desc("c_custkey")], 2, 25)
 
 
+@query(
+    "workspace_page_after",
+    "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40",
+)
+def page_after(spark, d):
+    """The third page, from the last row of the second."""
+    rows = t(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    order = [("o_orderdate", True), ("o_orderkey", False)]
+    last = K.page(rows, K.page_order(order), 2, 20).orderBy(F.col("o_orderdate"), F.desc("o_orderkey")).first()
+    return K.page_after(rows, order, last.asDict() if last else None, 20)
+
+
 @query("workspace_recent", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
 def recent(spark, d):
     return K.recent(t(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.col("o_orderkey")])
@@ -146,6 +158,41 @@ def usage_stream(spark, d):
     return U.usage_stream(spark, d, "events.parquet", "user_id", "ts", 5)
 
 
+_LOG_PARTS = 4
+
+
+def _metered(spark, d):
+    """The events in several files, one for each remainder of their number, metered file by file."""
+    out = scratch_path(spark, "log")
+    rows = t(spark, d, "events").select("event_id", "user_id", "ts")
+    for part in range(_LOG_PARTS):
+        rows.where(F.col("event_id") % _LOG_PARTS == part).coalesce(1).write.mode("append").parquet(f"{out}/log")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/log")
+    U.meter(stream, f"{out}/counts", f"{out}/checkpoint", "user_id", "ts", delay="20 days")
+    return f"{out}/counts"
+
+
+_LATE = f"""WITH ends AS (SELECT event_id % {_LOG_PARTS} AS b, max(ts) AS hi FROM events GROUP BY 1),
+    marks AS (SELECT b, max(hi) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 20 DAY AS mark FROM ends),
+    judged AS (SELECT user_id, ts, b, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late FROM events JOIN marks ON b = event_id % {_LOG_PARTS})"""
+
+
+@query(
+    "usage_stream_fates",
+    f"""{_LATE} SELECT count(*) AS rows_read, count(*) FILTER (NOT late) AS counted, count(*) FILTER (late) AS late, 0::BIGINT AS undated FROM judged""",
+)
+def usage_fates(spark, d):
+    return U.fates(spark, _metered(spark, d))
+
+
+@query(
+    "usage_stream_late_rows",
+    f"""{_LATE} SELECT user_id AS "user", CAST(ts AS DATE) AS period, count(*) AS requests, CAST(b AS BIGINT) AS batch FROM judged WHERE late GROUP BY 1, 2, 4""",
+)
+def usage_late(spark, d):
+    return U.late_rows(spark, _metered(spark, d))
+
+
 def _landed(spark, df, **options):
     path = scratch_path(spark, "landing")
     df.write.options(header=True, escape='"', **options).csv(path)
@@ -202,31 +249,33 @@ def file_profile(spark, d):
 
 @query(
     "file_admission",
-    """SELECT v AS extension, a AS accepted, r AS reason, n FROM (VALUES ('csv', true, NULL, 4::BIGINT), ('parquet', false, 'no reader for .parquet', 2),
-    ('xlsx', false, 'named xlsx, but does not begin like one', 1)) AS x(v, a, r, n) WHERE (SELECT count(*) FROM supplier) > 0""",
+    """SELECT 'csv' AS extension, true AS accepted, CAST(NULL AS VARCHAR) AS reason, count(DISTINCT s_nationkey) AS n FROM supplier
+    UNION ALL SELECT 'csv', false, 'nothing in it', count(DISTINCT s_suppkey % 7) FROM supplier
+    UNION ALL SELECT 'parquet', false, 'no reader for .parquet', count(DISTINCT s_suppkey % 5) FROM supplier
+    UNION ALL SELECT 'txt', false, 'no reader for .txt', count(DISTINCT s_suppkey % 3) FROM supplier""",
 )
 def admission(spark, d):
-    """A landing folder with files of three names, two of which are refused."""
+    """A landing folder with a file for each nation or remainder; only those that are named and filled as tables pass."""
     rows, path = t(spark, d, "supplier"), scratch_path(spark, "landing")
-    rows.repartition(4).write.option("header", True).csv(f"{path}/csv")
-    rows.coalesce(2).repartition(2).write.option("compression", "none").parquet(f"{path}/parquet")
-    book = rows.select("s_name").coalesce(1).write.text
-    book(f"{path}/book")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
-    for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/book")):
-        if f.getPath().getName().startswith("part-"):
-            fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(f"{path}/book/part.xlsx"))
+
+    def land(df, key, form, **options):
+        df.repartition(key).write.partitionBy(key).options(**options).format(form).save(f"{path}/{key}")
+
+    land(rows, "s_nationkey", "csv", header=True)
+    land(rows.selectExpr("' ' AS blank", "s_suppkey % 7 AS empty"), "empty", "csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, quote="")
+    land(rows.withColumn("fifth", F.col("s_suppkey") % 5), "fifth", "parquet", compression="none")
+    land(rows.selectExpr("s_name", "s_suppkey % 3 AS third"), "third", "text")
     return R.admit(spark, path).groupBy("extension", "accepted", "reason").agg(F.count("*").alias("n"))
 
 
 @query(
     "file_stale",
-    """SELECT h AS hours, CASE WHEN h < 0 THEN 4 ELSE 0 END::BIGINT AS stale FROM (VALUES (-1), (24)) AS x(h) WHERE (SELECT count(*) FROM supplier) > 0""",
+    """SELECT -1 AS hours, count(DISTINCT s_nationkey) AS stale FROM supplier UNION ALL SELECT 24, 0 FROM region WHERE r_regionkey = 0""",
 )
 def stale(spark, d):
-    """The same fresh files against a limit that all of them exceed and one that none does."""
-    path = _landed(spark, t(spark, d, "supplier").repartition(4))
+    """The same fresh files, one for each nation, against a limit that all of them exceed and one that none does."""
+    path = scratch_path(spark, "landing")
+    t(spark, d, "supplier").repartition("s_nationkey").write.partitionBy("s_nationkey").csv(path)
     found = [R.stale_files(spark, path, hours=h).agg(F.lit(h).alias("hours"), F.count("*").alias("stale")) for h in (-1, 24)]
     return found[0].union(found[1])
 

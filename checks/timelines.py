@@ -36,13 +36,14 @@ for _f in LABELS:
 
 @query(
     "series_by_key_with_gaps",
-    """WITH r AS (SELECT event_type AS k, last_day(CAST(ts AS DATE)) AS x, CAST(ts AS DATE) AS p, value AS v FROM events WHERE value > 90 OR event_type = 'view'),
+    """WITH r AS (SELECT event_type AS k, last_day(CAST(ts AS DATE)) AS x, CAST(ts AS DATE) AS p, CASE WHEN value > 90 OR event_type = 'view' THEN value END AS v FROM events),
     g AS (SELECT k, p, sum(v) AS v FROM r GROUP BY 1, 2), b AS (SELECT k, min(p) AS lo, max(p) AS hi FROM g GROUP BY 1),
     s AS (SELECT k, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS p FROM b)
     SELECT s.k AS event_type, s.p AS period, round(coalesce(g.v, 0), 4) AS value FROM s LEFT JOIN g ON s.k = g.k AND s.p = g.p""",
 )
 def series_by_key(spark, d):
-    e = t(spark, d, "events").where("value > 90 or event_type = 'view'")
+    # Events of other kinds count with their larger values only, so their days have gaps.
+    e = t(spark, d, "events").withColumn("value", F.expr("CASE WHEN value > 90 OR event_type = 'view' THEN value END"))
     return S.resample(e, "ts", "value", "D", keys=["event_type"], zero_gaps=True).withColumn("value", F.round("value", 4))
 
 
@@ -163,3 +164,24 @@ def half_change(spark, d):
 def half_change_tied(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_trunc("year", F.col("o_orderdate").cast("timestamp")).alias("y"))
     return S.half_change(o, "y", "o_totalprice", "o_orderkey")
+
+
+_SHORT = "CASE WHEN event_type = 'error' AND ts > (SELECT min(ts) + INTERVAL 1 DAY FROM events) THEN NULL ELSE value END"
+
+
+@query(
+    "forecast_summary_by_key",
+    f"""WITH r AS (SELECT event_type AS k, CAST(ts AS DATE) AS p, {_SHORT} AS v FROM events),
+    g AS (SELECT k, p, sum(v) AS v FROM r WHERE v IS NOT NULL GROUP BY 1, 2), b AS (SELECT k, min(p) AS lo, max(p) AS hi FROM g GROUP BY 1),
+    s AS (SELECT b.k, CAST(d AS DATE) AS p, CAST(d AS DATE) - lo AS i FROM b, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS x(d)),
+    y AS (SELECT s.k, s.i, coalesce(g.v, 0) AS v FROM s LEFT JOIN g ON g.k = s.k AND g.p = s.p),
+    f AS (SELECT k, count(*) AS n, regr_slope(v, i) AS slope, avg(v) AS mean FROM y GROUP BY k),
+    every AS (SELECT DISTINCT k FROM r WHERE k IS NOT NULL)
+    SELECT k AS event_type, coalesce(n, 0) AS n, CASE WHEN n >= 4 THEN round(slope, 6) END AS slope,
+    CASE WHEN n >= 4 THEN NULL ELSE coalesce(n, 0) || ' periods, a forecast needs 4' END AS problem, 'Daily' AS freq_label FROM every LEFT JOIN f USING (k)""",
+)
+def summary(spark, d):
+    first = t(spark, d, "events").agg(F.min("ts") + F.expr("INTERVAL 1 DAY")).scalar()
+    short = (F.col("event_type") == "error") & (F.col("ts") > first)
+    e = t(spark, d, "events").withColumn("value", F.when(~short, F.col("value")))
+    return S.forecast_summary(e, "ts", "value", "D", keys=["event_type"]).select("event_type", "n", "slope", "problem", "freq_label")

@@ -18,9 +18,9 @@ TOP_UNIQUE = 20
 
 def check_aggregation(df: DataFrame, column: str, agg: str) -> None:
     if agg not in AGGREGATIONS:
-        raise PlanError(f"Unsupported aggregation: {agg!r}")
+        raise PlanError(f"{agg!r} is no aggregate; there are {', '.join(AGGREGATIONS)}")
     if agg != "count" and not V.is_numeric(V.type_of(df, column)):
-        raise PlanError(f"Aggregation {agg!r} needs a numeric column, '{column}' is not.")
+        raise PlanError(f"{column!r} holds no numbers to take the {agg} of")
 
 
 def _measure(df: DataFrame, column: str, agg: str) -> Column:
@@ -128,13 +128,15 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
 
 def describe_categorical(df: DataFrame, column: str, k: int = TOP_DESCRIBE) -> DataFrame:
     """The top values of one column, each row carrying the column's count and distinct count."""
-    return top_values(df, [column], k).select(
+    found = top_values(df, [column], k).select(
         "column", F.col("total").alias("count"), "unique_count", "rank", "value", F.col("count").alias("value_count")
     )
+    return found.orderBy("rank")
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:
-    return top_values(df, [column], TOP_UNIQUE).select("unique_count", "rank", "value", "count")
+    """The most frequent values of one column by rank, each row carrying the column's distinct count."""
+    return top_values(df, [column], TOP_UNIQUE).select("unique_count", "rank", "value", "count").orderBy("rank")
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions import ranks, values as V
-from ledgerline.functions.stats import pair_corr
 from ledgerline.operators.aggregates import TOP_DESCRIBE, TOP_EDA, top_values
 from ledgerline.operators.roles import inline_agg, role_lists
 
 MAX_CONTEXT_COLUMNS = 40
-PAIRS_PER_PASS = 200
+# Rows looked at for a column's first known value, and the share of the sum of squares below which a spread is rounding.
+ORIGIN_ROWS = 1000
+NO_SPREAD = 1e-13
 NUMERIC_METRICS = ("count", "mean", "median", "mode", "std", "min", "max", "q1", "q3")
 
 
@@ -143,54 +146,74 @@ def describe_all(df: DataFrame) -> DataFrame:
     return out
 
 
-def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(ordinal_a, ordinal_b, column_a, column_b, correlation) for each pair a < b, pairwise complete.
+def cross_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(i, j, n, si, sj, qi, qj, p) for each pair i <= j: count, sums, squares and products over the rows where both have a number.
 
-    Constant columns give 0. Wide tables are read in several passes of bounded width.
+    One pass, whatever the number of columns: each task multiplies its blocks of rows with their masks and gives one row for each
+    pair, which are added up. Values are taken relative to the first known one of each column, so that sums of squares stay exact for
+    constant columns and lose little for those far from zero. Infinite values count as missing.
     """
+    numbers = df.select(*[V.number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    known = numbers.limit(ORIGIN_ROWS).agg(*[F.first(c, ignorenulls=True).alias(c) for c in numbers.columns]).first()
+    origin = np.nan_to_num(np.array([0.0 if v is None else v for v in known]), nan=0.0, posinf=0.0, neginf=0.0)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            mask = np.isfinite(x)
+            x = np.where(mask, x - origin, 0.0)
+            m = mask.astype(float)
+            part = np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            total = part if total is None else total + part
+        if total is None:
+            return
+        i, j = np.triu_indices(len(origin))
+        n, s, q, p = total
+        made = (i.astype(np.int64), j.astype(np.int64), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in made], names=["i", "j", "n", "si", "sj", "qi", "qj", "p"])
+
+    parts = numbers.mapInArrow(run, "i long, j long, n double, si double, sj double, qi double, qj double, p double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+
+
+def _all_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(ordinal_a, ordinal_b, column_a, column_b, correlation) for each pair a <= b of columns, pairwise complete."""
+    n = F.col("n")
+    spread = [F.col(f"q{k}") - F.try_divide(F.col(f"s{k}") * F.col(f"s{k}"), n) for k in "ij"]
+    # What is left of a constant column after rounding is no spread.
+    varied = [v > F.lit(NO_SPREAD) * F.col(f"q{k}") for v, k in zip(spread, "ij")]
+    r = F.when(varied[0] & varied[1], F.try_divide(F.col("p") - F.try_divide(F.col("si") * F.col("sj"), n), F.sqrt(spread[0]) * F.sqrt(spread[1])))
+    label = F.array(*[F.lit(c) for c in columns])
+    # A table without rows has no sums: every pair is there all the same.
+    k = len(columns)
+    pairs = df.sparkSession.range(k * k).select(F.expr(f"id div {k}").alias("i"), F.expr(f"id % {k}").alias("j")).where("i <= j")
+    found = pairs.join(cross_products(df, columns), ["i", "j"], "left")
+    return found.select(
+        F.col("i").alias("ordinal_a"), F.col("j").alias("ordinal_b"),
+        F.get(label, F.col("i").cast("int")).alias("column_a"), F.get(label, F.col("j").cast("int")).alias("column_b"),
+        F.when(r.isNull(), 0.0).otherwise(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), 4)).alias("correlation"),
+    )
+
+
+def pair_correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(ordinal_a, ordinal_b, column_a, column_b, correlation) for each pair a < b, pairwise complete; constant columns give 0."""
     columns = list(columns or role_lists(df)["numeric"])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        rows = [
-            F.struct(
-                F.lit(i).cast("long").alias("ordinal_a"),
-                F.lit(j).cast("long").alias("ordinal_b"),
-                F.lit(columns[i]).alias("column_a"),
-                F.lit(columns[j]).alias("column_b"),
-                pair_corr(V.number(df, columns[i]), V.number(df, columns[j])).alias("r"),
-            )
-            for i, j in pairs[start : start + PAIRS_PER_PASS]
-        ]
-        parts.append(inline_agg(df, rows))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("correlation", F.coalesce(F.round("r", 4), F.lit(0.0))).drop("r")
+    if len(columns) < 2:
+        empty = "ordinal_a long, ordinal_b long, column_a string, column_b string, correlation double"
+        return df.sparkSession.createDataFrame([], empty)
+    return _all_pairs(df, columns).where("ordinal_a < ordinal_b")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_a, column_b, correlation) for every ordered pair, the diagonal included."""
+    """(column_a, column_b, correlation) for every ordered pair, the diagonal included (0 for a constant column)."""
     columns = list(columns or role_lists(df)["numeric"])
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double")
-    pairs = pair_correlations(df, columns)
-    both = F.array(
-        F.struct(F.col("column_a").alias("a"), F.col("column_b").alias("b")),
-        F.struct(F.col("column_b").alias("a"), F.col("column_a").alias("b")),
-    )
-    off = pairs.select(F.explode(both).alias("p"), "correlation").select(
-        F.col("p.a").alias("column_a"), F.col("p.b").alias("column_b"), "correlation"
-    )
-    own = [
-        F.struct(
-            F.lit(c).alias("column_a"),
-            F.lit(c).alias("column_b"),
-            F.when(F.min(V.number(df, c)) < F.max(V.number(df, c)), 1.0).otherwise(0.0).alias("correlation"),
-        )
-        for c in columns
-    ]
-    return off.unionByName(inline_agg(df, own))
+    once = F.array(F.struct("column_a", "column_b"))
+    both = F.array(F.struct("column_a", "column_b"), F.struct(F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b")))
+    sides = F.when(F.col("ordinal_a") == F.col("ordinal_b"), once).otherwise(both)
+    return _all_pairs(df, columns).select(F.explode(sides).alias("p"), "correlation").select("p.*", "correlation")
 
 
 def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None, least: float = 0.3) -> DataFrame:

@@ -113,18 +113,17 @@ def high_cardinality(df: DataFrame) -> DataFrame:
     names = [
         f.name for f in df.schema.fields if V.is_scalar(f.dataType) and not V.is_numeric(f.dataType)
     ]
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.countDistinct(V.present(df, c)).alias("u"), F.count(F.lit(1)).alias("n"))
-        for c in names
-    ]
-    if not rows:
+    if not names:
         return df.sparkSession.createDataFrame([], "column string, ratio double")
+    # Values are counted as (column, value) pairs, once: no row is copied for each column's own distinct count.
+    pairs = [F.struct(F.lit(i).alias("code"), V.text(df, c).alias("value")) for i, c in enumerate(names)]
+    different = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).groupBy("code", "value").agg(F.count(F.lit(1)).alias("c"))
+    found = different.groupBy("code").agg(F.count(F.lit(1)).alias("u"))
+    rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        inline_agg(df, rows)
-        .where(F.col("n") >= HIGH_CARDINALITY_ROWS)
-        .select("column", F.round(F.col("u") / F.col("n"), 4).alias("ratio"), (F.col("u") >= HIGH_CARDINALITY_RATIO * F.col("n")).alias("hit"))
-        .where("hit")
-        .drop("hit")
+        found.withColumn("n", rows)
+        .where((F.col("n") >= HIGH_CARDINALITY_ROWS) & (F.col("u") >= HIGH_CARDINALITY_RATIO * F.col("n")))
+        .select(F.get(F.array(*[F.lit(c) for c in names]), F.col("code")).alias("column"), F.round(F.col("u") / F.col("n"), 4).alias("ratio"))
     )
 
 
@@ -181,6 +180,7 @@ def mostly_numeric_text(df: DataFrame) -> DataFrame:
 def scan(df: DataFrame) -> DataFrame:
     """(check, column, metric, value): every quality check in one long table."""
     numeric = role_lists(df)["numeric"]
+    texts = [c for c in df.columns if V.is_text(V.type_of(df, c))]
 
     def long(part: DataFrame, check: str, metrics: Sequence[str]) -> DataFrame:
         column = F.col("column") if "column" in part.columns else F.lit(None).cast("string")
@@ -189,18 +189,39 @@ def scan(df: DataFrame) -> DataFrame:
         )
         return part.select(F.lit(check).alias("check"), column.alias("column"), F.inline(entries))
 
-    shape = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.lit(len(df.columns)).alias("column_count"),
-        missing_cells(df).alias("total_missing_cells"),
+    # Shape, gaps, constant columns and numbers in texts come from one pass: a row of totals, one entry for each column.
+    n = F.count(F.lit(1))
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            (n - F.count(V.present(df, c))).alias("gaps"),
+            (F.lit(False) if isinstance(V.type_of(df, c), T.MapType) else F.coalesce(F.min(V.present(df, c)) == F.max(V.present(df, c)), F.lit(True))).alias("same"),
+            (F.avg(F.when(V.ref(c).isNotNull(), F.when(V.number(df, c).isNotNull(), 1.0).otherwise(0.0))) if c in texts else F.lit(None).cast("double")).alias("rate"),
+        )
+        for c in df.columns
+    ]
+    once = df.agg(n.alias("n"), F.array(*facts).alias("facts"))
+    gaps = F.aggregate("facts", F.lit(0).cast("long"), lambda total, f: total + f.gaps)
+    entry = lambda check, column, metric, value: F.struct(
+        F.lit(check).alias("check"), column.alias("column"), F.lit(metric).alias("metric"), value.cast("double").alias("value")
+    )
+    none = F.lit(None).cast("string")
+    shape = F.array(
+        entry("shape", none, "row_count", F.col("n")),
+        entry("shape", none, "column_count", F.lit(len(df.columns))),
+        entry("shape", none, "total_missing_cells", gaps),
     )
+    keep = lambda check, metric, value, where: F.transform(F.filter("facts", where), lambda f: entry(check, f.column, metric, value(f)))
+    per_column = [
+        keep("missing", "count", lambda f: f.gaps, lambda f: f.gaps > 0),
+        keep("missing", "percentage", lambda f: F.round(f.gaps / F.col("n") * 100, 2), lambda f: f.gaps > 0),
+        keep("constant", "constant", lambda f: F.lit(1), lambda f: f.same),
+        keep("dtype", "looks_numeric_percentage", lambda f: F.round(f.rate * 100, 2), lambda f: (f.rate >= 0.5) & (f.rate < 1.0)),
+    ]
     parts = [
-        long(shape, "shape", ["row_count", "column_count", "total_missing_cells"]),
-        long(missing(df), "missing", ["count", "percentage"]),
+        once.select(F.inline(F.concat(shape, *per_column))),
         long(duplicates(df), "duplicates", ["count"]),
-        long(constant_columns(df).withColumn("constant", F.lit(1)), "constant", ["constant"]),
         long(high_cardinality(df), "high_cardinality", ["ratio"]),
-        long(mostly_numeric_text(df), "dtype", ["looks_numeric_percentage"]),
     ]
     if numeric:
         parts.append(long(outliers(df, numeric), "outliers", ["count", "lower_bound", "upper_bound"]))
@@ -221,7 +242,7 @@ def logical_bytes(df: DataFrame) -> Column:
 def profile(df: DataFrame, exact_duplicates: bool = True) -> DataFrame:
     """One row: shape, missing cells, duplicates, logical bytes, and the columns of each role."""
     if not df.columns:
-        raise IngestError("The file has no columns.")
+        raise IngestError("there is no column to profile")
     roles = role_lists(df)
     base = df.agg(
         F.count(F.lit(1)).alias("row_count"),

@@ -53,6 +53,33 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def page_order(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    """Sort columns for (column, whether it descends); missing values come first going up and last going down."""
+    return [V.ref(c).desc_nulls_last() if down else V.ref(c).asc_nulls_first() for c, down in order]
+
+
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], last: dict | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the row ``last`` (its values of the order's columns), or the first ones without it.
+
+    ``order`` must end in a unique column. What is before the key is filtered out where it is read, and each task keeps
+    ``size`` rows, so a page far down costs what the first one does; a listing goes on from the last row it has shown.
+    """
+    if last is not None:
+        after, equal = F.lit(False), F.lit(True)
+        for c, down in order:
+            value, mark = V.ref(c), F.lit(last[c])
+            if last[c] is None:
+                beyond = F.lit(False) if down else value.isNotNull()
+            elif down:
+                beyond = (value < mark) | value.isNull()
+            else:
+                beyond = value > mark
+            after = after | (equal & beyond)
+            equal = equal & value.eqNullSafe(mark)
+        df = df.where(after)
+    return df.orderBy(*page_order(order)).limit(size)
+
+
 def listing(df: DataFrame, order: Sequence[Column], number: int, size: int) -> DataFrame:
     """One page of a listing with the number of all its rows in ``total``."""
     count = df.agg(F.count(F.lit(1)).alias("n")).scalar()

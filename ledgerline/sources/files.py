@@ -8,9 +8,12 @@ from ledgerline.errors import IngestError
 from ledgerline.functions import values as V
 from ledgerline.operators.quality import missing_cells
 from ledgerline.operators.roles import inline_agg
+from ledgerline.sources.heads import FileHeads
 
 PREVIEW_ROWS = 15
 STALE_HOURS = 24
+# With so many broken files the folder is read whole, instead of by two lists of names.
+MANY_FILES = 10_000
 
 # Accepted extensions and the first bytes of the binary kinds.
 EXTENSIONS = ("csv", "xlsx", "xls")
@@ -21,28 +24,47 @@ TRUE_TEXTS = ["True", "TRUE", "true"]
 FALSE_TEXTS = ["False", "FALSE", "false"]
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any quoted field holds a line break: its first physical line then has an odd number of quotes.
+def files_with_breaks(spark: SparkSession, path: str) -> DataFrame:
+    """(file): the files in which a quoted field holds a line break: a physical line there has an odd number of quotes.
 
-    One cheap pass over splits; files without such fields can be read in parallel pieces.
+    One cheap pass over splits.
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return lines.where(quotes % 2 == 1).select("file").distinct()
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether any quoted field of any file holds a line break."""
+    return not files_with_breaks(spark, path).isEmpty()
 
 
 def read_text_table(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
-    """A delimited file or folder with a header, every column as text, missing tokens as null."""
+    """A delimited file or folder with a header, every column as text, missing tokens as null.
+
+    Files in which a quoted field holds a line break are read whole, one by one; the others are read in splits, whatever else is in
+    the folder. ``multiline`` states for all files which of both they are.
+    """
+
+    def read(paths, whole: bool) -> DataFrame:
+        return spark.read.option("header", True).option("multiLine", whole).option("escape", '"').option("inferSchema", False).csv(paths)
+
     if multiline is None:
-        multiline = spans_lines(spark, path)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .csv(path)
-    )
+        # The names of these files reach the driver, as a reader's list of paths has to.
+        broken = {r["file"] for r in files_with_breaks(spark, path).collect()}
+        if broken:
+            every = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("file"))
+            sound = sorted(r["file"] for r in every.where(~F.col("file").isin(sorted(broken))).collect()) if len(broken) < MANY_FILES else None
+            if sound:
+                raw = read(sound, False).unionByName(read(sorted(broken), True), allowMissingColumns=True)
+            else:
+                raw = read(path, True)
+        else:
+            raw = read(path, False)
+    else:
+        raw = read(path, multiline)
     if not raw.columns:
-        raise IngestError("The file has no columns.")
+        raise IngestError("there is no column to read")
     return with_missing(raw)
 
 
@@ -113,7 +135,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
 def preview(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     """(record): the first rows as JSON texts, dates in ISO form."""
     if not df.columns:
-        raise IngestError("The file has no columns.")
+        raise IngestError("there is no column to show")
     cells = [
         V.iso(V.timestamp(df, f.name)).alias(f.name) if V.is_temporal(f.dataType) else V.ref(f.name)
         for f in df.schema.fields
@@ -147,50 +169,45 @@ def profile_file(spark: SparkSession, path: str, exact_duplicates: bool = True)
     return quick.withColumn("duplicate_rows_count", duplicates(df).scalar()).withColumn("duplicate_detection_skipped", F.lit(False))
 
 
-def list_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """(path, modificationTime, length[, content]) of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files if content else files.drop("content")
+def list_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, modificationTime, length, head, blank) of every file below a folder, of any size; see ``FileHeads``."""
+    spark.dataSource.register(FileHeads)
+    reader = spark.read.format(FileHeads.name())
+    if max_bytes is not None:
+        reader = reader.option("maxBytes", str(max_bytes))
+    return reader.load(path)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """One row (bytes): stored size of a file or folder."""
-    return list_files(spark, path).agg(F.sum("length").alias("bytes"))
+    """One row (bytes): stored size of a file or folder, from the listing alone."""
+    return list_files(spark, path, -1).agg(F.sum("length").alias("bytes"))
 
 
 def admit(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, extension, accepted, reason) for every file of a landing folder, by name, size and content.
+    """(path, extension, accepted, reason) for every file of a landing folder, by name, size and first bytes.
 
-    Any size is admitted unless ``max_bytes`` says otherwise; the size test reaches the file listing, so the content of oversized
-    files is never read.
+    Any size is admitted unless ``max_bytes`` says otherwise. Of a file no more is read than its first bytes and the white space in
+    front of the rest; of one that is too large, nothing.
     """
-    max_bytes = (1 << 63) - 1 if max_bytes is None else max_bytes
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("extension")
-    oversized = list_files(spark, path).where(F.col("length") > max_bytes).select(
-        "path", extension, F.lit(False).alias("accepted"), F.lit("larger than the limit").alias("reason")
-    )
-    files = list_files(spark, path, content=True).where(F.col("length") <= max_bytes).select(
-        "path",
-        extension,
-        F.hex(F.substring("content", 1, 8)).alias("head"),
-        (~F.decode("content", "ISO-8859-1").rlike(r"\S")).alias("blank"),
-    )
     extension = F.col("extension")
+    begins = lambda kind: F.startswith(F.hex("head"), F.lit(SIGNATURES[kind]))
+    reason = F.when(F.col("length") > max_bytes, "larger than the limit") if max_bytes is not None else F.when(F.lit(False), "")
     reason = (
-        F.when(~extension.isin(*EXTENSIONS), F.concat(F.lit("no reader for ."), extension))
-        .when((extension == "xlsx") & ~F.startswith("head", F.lit(SIGNATURES["xlsx"])), "named xlsx, but does not begin like one")
-        .when((extension == "xls") & ~F.startswith("head", F.lit(SIGNATURES["xls"])), "named xls, but does not begin like one")
-        .when((extension == "csv") & F.col("head").rlike("^(..)*00"), "named csv, but holds zero bytes")
-        .when((extension == "csv") & F.col("blank"), "nothing in it")
+        reason.when(~extension.isin(*EXTENSIONS), F.concat(F.lit("no reader for ."), extension))
+        .when(F.col("blank"), "nothing in it")
+        .when((extension == "xlsx") & ~begins("xlsx"), "named xlsx, but does not begin like one")
+        .when((extension == "xls") & ~begins("xls"), "named xls, but does not begin like one")
+        .when((extension == "csv") & F.hex("head").rlike("^(..)*00"), "named csv, but holds zero bytes")
     )
-    return files.select("path", "extension", reason.isNull().alias("accepted"), reason.alias("reason")).union(oversized)
+    files = list_files(spark, path, max_bytes).withColumn("extension", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    return files.select("path", "extension", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def stale_files(spark: SparkSession, path: str, hours: float = STALE_HOURS) -> DataFrame:
     """(owner, path, modificationTime) of files in per-owner folders older than the limit; nothing is deleted."""
     cutoff = F.current_timestamp() - F.make_dt_interval(secs=F.lit(hours * 3600))
     return (
-        list_files(spark, path)
+        list_files(spark, path, -1)
         .where(F.col("modificationTime") < cutoff)
         .select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("owner"), "path", "modificationTime")
     )

@@ -94,7 +94,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     rows = files.select("path", "content").mapInPandas(_read_books, "path string, row long, cells array<string>")
     header = rows.where("row = 0").orderBy("path").limit(1).first()
     if header is None or not header["cells"]:
-        raise IngestError("The file has no columns.")
+        raise IngestError("the first sheet has no heading")
     names = [c or f"Unnamed: {i}" for i, c in enumerate(header["cells"])]
     text = with_missing(
         rows.where("row > 0").select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])

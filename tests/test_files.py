@@ -44,6 +44,15 @@ def test_line_breaks_are_found(spark, tmp_path, quoted):
     assert df.count() == 2 and df.where("a = 1").first()["b"] == ("two\nlines" if quoted else "two")
 
 
+def test_one_broken_file_leaves_the_others_split(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.csv").write_text('a,b\n1,"two\nlines"\n')
+    (tmp_path / "t" / "b.csv").write_text('a,b\n2,plain\n3,NA\n')
+    assert [os.path.basename(r["file"]) for r in S.files_with_breaks(spark, str(tmp_path / "t")).collect()] == ["a.csv"]
+    rows = {r["a"]: r["b"] for r in S.read_csv(spark, str(tmp_path / "t")).collect()}
+    assert rows == {1: "two\nlines", 2: "plain", 3: None}
+
+
 def test_admission(spark, tmp_path):
     good = {"a.csv": b"x,y\n1,2\n", "b.XLSX": b"PK\x03\x04rest", "c.xls": bytes.fromhex("D0CF11E0A1B11AE1") + b"rest"}
     bad = {"d.csv": b"\x00\x01binary", "e.xlsx": b"not a zip", "f.xls": b"PK\x03\x04", "g.exe": b"MZ", "h.csv": b"  \n ", "noext": b"x"}
@@ -51,11 +60,19 @@ def test_admission(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     (tmp_path / "empty.csv").write_bytes(b"")
     got = {os.path.basename(r["path"]): r for r in S.admit(spark, str(tmp_path)).collect()}
-    # Zero-length files are not listed by the file source, hence never accepted.
-    assert "empty.csv" not in got
+    assert not got["empty.csv"]["accepted"] and got["empty.csv"]["reason"] == "nothing in it"
     assert all(got[n]["accepted"] for n in good), got
     assert not any(got[n]["accepted"] for n in bad), got
     assert "zero bytes" in got["d.csv"]["reason"] and ".exe" in got["g.exe"]["reason"] and "nothing" in got["h.csv"]["reason"]
+    # Three gigabytes without a block on the disk: a verdict without reading them.
+    with open(tmp_path / "huge.csv", "wb") as huge:
+        huge.write(b"name,number\n")
+        huge.truncate(3 << 30)
+    start = time.time()
+    big = {os.path.basename(r["path"]): r for r in S.admit(spark, str(tmp_path)).collect()}["huge.csv"]
+    assert big["accepted"] and time.time() - start < 20
+    assert {os.path.basename(r["path"]): r["length"] for r in S.list_files(spark, str(tmp_path)).collect()}["huge.csv"] == 3 << 30
+    os.remove(tmp_path / "huge.csv")
     capped = {os.path.basename(r["path"]): r for r in S.admit(spark, str(tmp_path), max_bytes=7).collect()}
     assert len(capped) == len(got) and "larger" in capped["a.csv"]["reason"] and ".exe" in capped["g.exe"]["reason"]
 
@@ -127,9 +144,33 @@ def test_stream_over_several_batches_counts_once(spark, tmp_path):
     stream = (
         spark.readStream.schema(spark.read.parquet(str(log)).schema).option("maxFilesPerTrigger", 1).parquet(str(log))
     )
-    counts = U.daily_counts(stream, "user_id", "ts", counted=~F.col("cache_hit"), delay="3 days")
-    U.meter(counts, str(tmp_path / "out"), str(tmp_path / "check"))
-    got = sorted(tuple(r) for r in U.latest_counts(spark, str(tmp_path / "out"), 20).collect())
+    U.meter(stream, str(tmp_path / "out"), str(tmp_path / "check"), "user_id", "ts", counted=~F.col("cache_hit"), delay="3 days")
+    got = sorted(tuple(r) for r in U.metered_counts(spark, str(tmp_path / "out"), 20).collect())
     batch = spark.read.parquet(str(log)).where("not cache_hit").groupBy("user_id", F.col("ts").cast("date").alias("d")).count()
     assert got == sorted((r["user_id"], r["d"], r["count"], r["count"] >= 20) for r in batch.collect())
     assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 3
+    assert U.fates(spark, str(tmp_path / "out")).first().asDict() == {"rows_read": 225, "counted": 225, "late": 0, "undated": 0}
+
+
+def test_late_rows_are_counted_apart(spark, tmp_path):
+    """A file at a time; the second one brings rows for a day that is closed, one without a time, and some for an open day."""
+    log = str(tmp_path / "log")
+    for rows in ([(1, "2024-03-10 08:00:00"), (2, "2024-03-01 09:00:00")], [(1, "2024-03-01 23:59:59"), (1, "2024-03-08 10:00:00"), (2, None)], [(1, "2024-03-10 09:00:00")]):
+        df = spark.createDataFrame(rows, "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(log)
+        time.sleep(1.1)
+
+    def stream():
+        return spark.readStream.schema("user_id int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(log)
+
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "check")
+    U.meter(stream(), out, checkpoint, "user_id", "ts", delay="2 days")
+    assert U.fates(spark, out).first().asDict() == {"rows_read": 6, "counted": 4, "late": 1, "undated": 1}
+    assert [(r["user"], str(r["period"]), r["requests"], r["batch"]) for r in U.late_rows(spark, out).collect()] == [(1, "2024-03-01", 1, 1)]
+    # Started again, it goes on where it was.
+    spark.createDataFrame([(3, "2024-03-01 00:00:00"), (3, "2024-03-11 00:00:00")], "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(log)
+    U.meter(stream(), out, checkpoint, "user_id", "ts", delay="2 days")
+    assert U.fates(spark, out).first().asDict() == {"rows_read": 8, "counted": 5, "late": 2, "undated": 1}
+    assert {(r["user"], str(r["period"])): r["requests"] for r in U.metered_counts(spark, out, 9).collect()} == {
+        (1, "2024-03-10"): 2, (2, "2024-03-01"): 1, (1, "2024-03-08"): 1, (3, "2024-03-11"): 1,
+    }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.errors import ChartError, CleaningError
 from ledgerline.operators import charts as G, clean as C, describe as D, quality as Q, roles as R
+from tests.conftest import FOLDER, plan_text
 
 
 @pytest.fixture
@@ -18,26 +19,27 @@ def small(spark):
         ("rye", 51, "hill", dt.datetime(2021, 6, 9)), ("oat", 17, "quay", dt.datetime(2021, 6, 13)), ("spelt", 6, "quay", dt.datetime(2021, 6, 13)),
         ("rye", 29, "mill", dt.datetime(2021, 6, 11)),
     ]
-    return spark.createDataFrame(rows, "category string, amount long, region string, signup_date timestamp_ntz")
+    return spark.createDataFrame(rows, "loaf string, sold long, shop string, day timestamp_ntz")
 
 
 @pytest.fixture
 def messy(spark):
+    # Weighed catches: net, kilograms (one written wrong), skipper (often not noted), harbour. One entry was made twice.
     rows = [
-        (1, "a", 10, None, 5), (2, "b", 11, "x", 5), (3, "a", 12, None, 5), (4, "c", 11, "y", 5),
-        (5, "a", 10, "z", 5), (6, "b", 1000, None, 5), (1, "a", 10, None, 5),
+        ("drift", 42.5, "Ode", "Vik"), ("trap", 40.0, None, "Vik"), ("drift", 45.0, "Per", "Vik"), ("trap", 4400.0, None, "Vik"),
+        ("line", 41.5, "Ode", "Vik"), ("trap", 40.0, None, "Vik"), ("line", 43.0, None, "Vik"), ("drift", 44.5, None, "Vik"),
     ]
-    return spark.createDataFrame(rows, "id long, category string, score long, notes string, constant long")
+    return spark.createDataFrame(rows, "net string, kilos double, skipper string, harbour string")
 
 
 def test_numeric_summary(small):
     row = D.numeric_summary(small).first()
-    assert (row["column"], row["count"], row["min"], row["max"], row["mean"]) == ("amount", 7, 3.0, 51.0, 21.1429)
+    assert (row["column"], row["count"], row["min"], row["max"], row["mean"]) == ("sold", 7, 3.0, 51.0, 21.1429)
 
 
 def test_categorical_and_datetime_summaries(small):
     top = {(r["column"], r["rank"]): r for r in D.categorical_summary(small).collect()}
-    assert top["category", 1]["value"] == "rye" and top["category", 1]["count"] == 4 and top["category", 1]["unique_count"] == 3
+    assert top["loaf", 1]["value"] == "rye" and top["loaf", 1]["count"] == 4 and top["loaf", 1]["unique_count"] == 3
     dates = D.datetime_summary(small).first()
     assert dates["range_days"] == 11 and dates["min"] == "2021-06-02T00:00:00"
 
@@ -68,6 +70,28 @@ def test_correlation_of_constant_is_zero_in_the_matrix(spark):
     assert got["x", "c"] == 0.0 and got["c", "c"] == 0.0 and got["x", "x"] == 1.0
 
 
+def test_correlations_are_pairwise_complete(spark):
+    """Against pandas, with gaps, a far level, a constant column and one without values, over several tasks."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (500, 4)) @ rng.normal(0, 1, (4, 4))
+    frame = pd.DataFrame(x + 1e6, columns=list("abcd")).mask(rng.random((500, 4)) < 0.2)
+    frame["e"], frame["f"] = 7.0, np.nan
+    want = frame.corr().fillna(0.0)
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), ", ".join(f"{c} double" for c in frame)).repartition(4)
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in D.correlation_matrix(df, list(frame)).collect()}
+    assert len(got) == 36 and all(abs(got[a, b] - want.loc[a, b]) < 1e-3 for a in frame for b in frame if a != b)
+    assert [got[c, c] for c in "abcdef"] == [1.0] * 4 + [0.0] * 2
+    assert len(D.pair_correlations(df.limit(0), list(frame)).collect()) == 15
+
+
+def test_one_scan_for_a_hundred_columns(spark):
+    wide = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select(*[F.col("l_quantity").alias(f"c{i}") for i in range(100)])
+    assert plan_text(D.pair_correlations(wide, wide.columns)).count("Batched: true") == 1
+
+
 def test_roles(spark):
     df = spark.createDataFrame(
         [(1, "2024-01-05", "x", True, [1]), (2, "01/31/2024", "y", False, [2]), (3, "Mar 3, 2024", "z", True, None)],
@@ -87,10 +111,27 @@ def test_date_threshold(spark):
 def test_quality_scan(spark, messy):
     got = {(r["check"], r["column"], r["metric"]): r["value"] for r in Q.scan(messy).collect()}
     assert got["duplicates", None, "count"] == 1
-    assert got["missing", "notes", "count"] == 4
-    assert got["constant", "constant", "constant"] == 1
-    assert got["outliers", "score", "count"] >= 1
-    assert ("missing", "id", "count") not in got
+    assert (got["missing", "skipper", "count"], got["missing", "skipper", "percentage"]) == (5, 62.5)
+    assert got["constant", "harbour", "constant"] == 1 and ("constant", "net", "constant") not in got
+    assert got["outliers", "kilos", "count"] == 1
+    assert ("missing", "net", "count") not in got
+    assert [got["shape", None, m] for m in ("row_count", "column_count", "total_missing_cells")] == [8, 4, 5]
+
+
+def test_quality_scan_reads_few_times(spark):
+    df = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    assert plan_text(Q.scan(df.select("l_returnflag", "l_linestatus"))).count("Batched: true") <= 5
+
+
+def test_rows_taken_out_are_counted_while_they_are_written(spark, messy):
+    """No job but those that write and those that find limits."""
+    group = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "cleaning")
+    _, log = C.apply_actions(messy, [{"type": "remove_duplicates"}, {"type": "drop_missing", "column": "skipper"}, {"type": "drop_missing"}])
+    jobs = len(group.getJobIdsForGroup("counted"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["description"].split(": ")[1].split()[0] for r in log.orderBy("step").collect()] == ["1", "4", "0"]
+    assert jobs <= 4
 
 
 def test_duplicate_positions_with_a_dominant_row(spark):
@@ -135,16 +176,16 @@ def test_convert(spark):
 
 
 def test_action_list(spark, messy):
-    actions = C.plan_actions(True, ["constant"], {"notes": "mode"}, {"id": "string"}, {"score": "clip"})
+    actions = C.plan_actions(True, ["harbour"], {"skipper": "mode"}, {"net": "category"}, {"kilos": "clip"})
     assert [a["type"] for a in actions] == ["remove_duplicates", "drop_column", "fill_missing", "convert_type", "handle_outliers"]
     out, log = C.apply_actions(messy, actions)
     lines = [r["description"] for r in log.orderBy("step").collect()]
     assert lines[0] == "duplicates: 1 repeated rows taken out"
-    assert lines[1] == "column constant: left out"
-    assert lines[2] == "column notes: 3 gaps closed by mode"
-    assert lines[4].startswith("column score: held within ")
-    assert out.count() == 6 and "constant" not in out.columns and out.where("notes is null").count() == 0
-    assert messy.count() == 7 and "constant" in messy.columns
+    assert lines[1] == "column harbour: left out"
+    assert lines[2] == "column skipper: 4 gaps closed by mode"
+    assert lines[4].startswith("column kilos: held within ")
+    assert out.count() == 7 and "harbour" not in out.columns and out.where("skipper = 'Ode'").count() == 6
+    assert messy.count() == 8 and "harbour" in messy.columns
 
 
 def test_statistics_follow_the_current_table(spark):
@@ -152,15 +193,15 @@ def test_statistics_follow_the_current_table(spark):
     actions = [{"type": "drop_missing", "column": "s"}, {"type": "fill_missing", "column": "x", "strategy": "mean"}]
     out, log = C.apply_actions(df, actions)
     assert sorted(r["x"] for r in out.collect()) == [1.0, 2.0, 3.0]
-    assert log.orderBy("step").first()["description"] == "gaps in column 's': 1 rows taken out"
+    assert log.orderBy("step").first()["description"] == "column s: 1 rows with a gap taken out"
 
 
 @pytest.mark.parametrize(
     "action",
     [
-        {"type": "eval"}, {"type": "drop_column", "column": "nope"}, {"type": "fill_missing", "column": "score", "strategy": "guess"},
-        {"type": "handle_outliers", "column": "category"}, {"type": "handle_outliers", "column": "score", "method": "hide"},
-        {"type": "convert_type", "column": "score", "target_type": "blob"}, {"type": "fill_missing", "column": "category", "strategy": "mean"},
+        {"type": "eval"}, {"type": "drop_column", "column": "nope"}, {"type": "fill_missing", "column": "kilos", "strategy": "guess"},
+        {"type": "handle_outliers", "column": "net"}, {"type": "handle_outliers", "column": "kilos", "method": "hide"},
+        {"type": "convert_type", "column": "kilos", "target_type": "blob"}, {"type": "fill_missing", "column": "net", "strategy": "mean"},
     ],
 )
 def test_bad_actions(messy, action):
@@ -184,21 +225,21 @@ def test_histogram_counts_every_row(spark):
 
 
 def test_chart_kinds(small):
-    bar = G.build(small, {"chart_type": "bar", "x": "category", "y": "amount"}).collect()
+    bar = G.build(small, {"chart_type": "bar", "x": "loaf", "y": "sold"}).collect()
     assert [(r["x"], r["value"]) for r in bar] == [("rye", 122.0), ("oat", 20.0), ("spelt", 6.0)]
-    quay = [{"column": "region", "operator": "equals", "value": "quay"}]
-    assert G.build(small, {"chart_type": "pie", "x": "category", "filters": quay}).collect()[0]["value"] == 2.0
-    pairs = {(r["x"], r["series"]): r["value"] for r in G.build(small, {"chart_type": "bar", "x": "category", "y": "amount", "group_by": "region"}).collect()}
+    quay = [{"column": "shop", "operator": "equals", "value": "quay"}]
+    assert G.build(small, {"chart_type": "pie", "x": "loaf", "filters": quay}).collect()[0]["value"] == 2.0
+    pairs = {(r["x"], r["series"]): r["value"] for r in G.build(small, {"chart_type": "bar", "x": "loaf", "y": "sold", "group_by": "shop"}).collect()}
     assert pairs["spelt", "hill"] == 0.0 and pairs["rye", "quay"] == 42.0
-    assert G.build(small, {"chart_type": "scatter", "x": "amount", "y": "amount"}).count() == 7
+    assert G.build(small, {"chart_type": "scatter", "x": "sold", "y": "sold"}).count() == 7
 
 
 @pytest.mark.parametrize(
     "spec",
     [
-        {"chart_type": "radar", "x": "category"}, {"chart_type": "bar", "x": "nope"}, {"chart_type": "bar", "x": "category", "y": "amount", "aggregation": "product"},
-        {"chart_type": "scatter", "x": "amount"}, {"chart_type": "bar", "x": "category", "group_by": "region"},
-        {"chart_type": "bar", "x": "category", "filters": [{"column": "nope", "operator": "equals", "value": 1}]},
+        {"chart_type": "radar", "x": "loaf"}, {"chart_type": "bar", "x": "nope"}, {"chart_type": "bar", "x": "loaf", "y": "sold", "aggregation": "product"},
+        {"chart_type": "scatter", "x": "sold"}, {"chart_type": "bar", "x": "loaf", "group_by": "shop"},
+        {"chart_type": "bar", "x": "loaf", "filters": [{"column": "nope", "operator": "equals", "value": 1}]},
     ],
 )
 def test_bad_chart_specs(small, spec):
@@ -209,7 +250,7 @@ def test_bad_chart_specs(small, spec):
 def test_suggestions(small):
     got = [(r["chart_type"], r["x"], r["y"]) for r in G.suggest(small).orderBy("rank").collect()]
     assert got == [
-        ("histogram", "amount", None), ("bar", "category", None), ("bar", "region", None), ("line", "signup_date", "amount"),
+        ("histogram", "sold", None), ("bar", "loaf", None), ("bar", "shop", None), ("line", "day", "sold"),
     ]
 
 
@@ -228,9 +269,9 @@ def test_a_bad_later_action_starts_no_job(spark, messy):
     tracker = spark.sparkContext.statusTracker()
     bad = [
         [{"type": "remove_duplicates"}, {"type": "fill_missing", "column": "nope", "strategy": "zero"}],
-        [{"type": "drop_column", "column": "notes"}, {"type": "drop_missing", "column": "notes"}],
-        [{"type": "convert_type", "column": "score", "target_type": "string"}, {"type": "handle_outliers", "column": "score"}],
-        [{"type": "remove_duplicates"}, {"type": "fill_missing", "column": "score", "strategy": "constant", "value": "many"}],
+        [{"type": "drop_column", "column": "skipper"}, {"type": "drop_missing", "column": "skipper"}],
+        [{"type": "convert_type", "column": "kilos", "target_type": "string"}, {"type": "handle_outliers", "column": "kilos"}],
+        [{"type": "remove_duplicates"}, {"type": "fill_missing", "column": "kilos", "strategy": "constant", "value": "many"}],
     ]
     for i, actions in enumerate(bad):
         spark.sparkContext.setJobGroup(f"bad{i}", "checks")
