@@ -120,7 +120,18 @@ def scatter(spark, d):
     return G.build(t(spark, d, "part"), {"chart_type": "scatter", "x": "p_size", "y": "p_retailprice"})
 
 
-@query("chart_suggestions")
+SUGGESTED = """WITH d AS (SELECT count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p FROM orders),
+    fit AS (SELECT 1 AS o, 'histogram' AS chart_type, 'o_orderkey' AS x, CAST(NULL AS VARCHAR) AS y, 'How o_orderkey is spread' AS title, 'a number: where its values lie' AS reason
+    UNION ALL SELECT 2, 'histogram', 'o_custkey', NULL, 'How o_custkey is spread', 'a number: where its values lie'
+    UNION ALL SELECT 3, 'histogram', 'o_totalprice', NULL, 'How o_totalprice is spread', 'a number: where its values lie'
+    UNION ALL SELECT 4, 'bar', 'o_orderstatus', NULL, 'Rows for each o_orderstatus', 'few enough values to stand side by side' FROM d WHERE s BETWEEN 1 AND 15
+    UNION ALL SELECT 5, 'bar', 'o_orderpriority', NULL, 'Rows for each o_orderpriority', 'few enough values to stand side by side' FROM d WHERE p BETWEEN 1 AND 15
+    UNION ALL SELECT 6, 'line', 'o_orderdate', 'o_orderkey', 'o_orderkey through o_orderdate', 'a number along a date: how it moves'
+    UNION ALL SELECT 7, 'scatter', 'o_orderkey', 'o_custkey', 'o_orderkey against o_custkey', 'two numbers: whether they go together')
+    SELECT row_number() OVER (ORDER BY o) AS rank, chart_type, x, y, title, reason FROM fit"""
+
+
+@query("chart_suggestions", SUGGESTED)
 def suggestions(spark, d):
     return G.suggest(t(spark, d, "orders"))
 
@@ -156,7 +167,17 @@ def saved_rerun(spark, d):
     return G.run_saved(t(spark, d, "orders"), saved, "config", "r_regionkey").withColumn("value", F.round("value", 2))
 
 
-@query("chart_suggestions_run")
+def _bins_sql(ord, column):
+    bins = HISTOGRAM.format(v="v", t=f"(SELECT CAST({column} AS DOUBLE) AS v FROM part)")
+    return f"SELECT {ord}::BIGINT AS ord, 'histogram' AS chart_type, label, CAST(NULL AS VARCHAR) AS series, CAST(count AS DOUBLE) AS value FROM ({bins})"
+
+
+@query(
+    "chart_suggestions_run",
+    f"""{_bins_sql(0, "p_size")} UNION ALL {_bins_sql(1, "p_retailprice")}
+    UNION ALL SELECT 2, 'bar', p_brand, NULL, n FROM (SELECT p_brand, count(*) AS n, count(*) OVER () AS brands FROM part GROUP BY 1) WHERE brands <= 15
+    UNION ALL SELECT CASE WHEN (SELECT count(DISTINCT p_brand) FROM part) <= 15 THEN 3 ELSE 2 END, 'scatter', CAST(CAST(p_size AS DOUBLE) AS VARCHAR), NULL, p_retailprice FROM part""",
+)
 def suggestions_run(spark, d):
     rows = t(spark, d, "part").select("p_brand", "p_size", "p_retailprice")
     found = [r.asDict() for r in G.suggest(rows).orderBy("rank").collect()]

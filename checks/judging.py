@@ -1,7 +1,9 @@
 """Anomalies, model metrics, insight facts, recommendations and the report."""
 
+from checks.drawing import HISTOGRAM
+from checks.profiles import ORDER_BYTES, dates_sql, numeric_sql, outlier_sql, top_sql
 from checks.registry import query, table as t
-from ledgerline.operators import anomaly as N, insight as I, metrics as M
+from ledgerline.operators import anomaly as N, describe as D, insight as I, metrics as M
 from ledgerline.operators.forest import score_forest
 from pyspark.sql import functions as F
 
@@ -237,7 +239,7 @@ def _outlier_counts():
     UNION ALL SELECT 2, 'bottom_performer', 'Lowest total value by event_type', NULL, NULL, g, round(v, 4), NULL, NULL, NULL FROM (SELECT * FROM g ORDER BY v, g DESC LIMIT 1)
     UNION ALL SELECT 3, 'trend', 'value: later half of the dates against the earlier', NULL, NULL, NULL, NULL, round(a, 4), round(b, 4), round((b - a) / abs(a) * 100, 2) FROM h
     UNION ALL SELECT 4, 'correlation', NULL, a, b, NULL, r, NULL, NULL, NULL FROM (SELECT * FROM c WHERE abs(r) >= 0.3 ORDER BY abs(r) DESC, o LIMIT 1)
-    UNION ALL SELECT 5, 'anomaly', 'Outliers detected in ' || c, c, NULL, NULL, n, NULL, NULL, NULL FROM (SELECT * FROM x ORDER BY n DESC, o LIMIT 1)""",
+    UNION ALL SELECT 5, 'anomaly', 'values far from the others in ' || c, c, NULL, NULL, n, NULL, NULL, NULL FROM (SELECT * FROM x ORDER BY n DESC, o LIMIT 1)""",
 )
 def insight_facts(spark, d):
     return I.facts(fact_table(spark, d), "event_id")
@@ -274,7 +276,57 @@ def recommendations(spark, d):
     return I.recommendations(messy)
 
 
-@query("report_rows")
+def _plain(value):
+    return f"regexp_replace(regexp_replace(printf('%.4f', {value}), '0+$', ''), '\\.$', '.0')"
+
+
+def report_sql():
+    """The report of the orders, section by section. No row of them repeats another, has a gap or the same value throughout."""
+    numbers, texts = ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]
+    pairs = [(a, b) for i, a in enumerate(numbers) for b in numbers[i + 1 :]]
+    parts = []
+
+    def add(ord, section, metric, value, source, where="true"):
+        parts.append(f"""SELECT {ord}::BIGINT AS ord, {section} AS section, {metric} AS metric, CAST({value} AS VARCHAR) AS value FROM {source} WHERE {where}""")
+
+    overview = {"dataset_name": "'orders'", "row_count": "n", "column_count": "6", "missing_values_count": "0", "duplicate_rows_count": "0", "logical_bytes": "b"}
+    for metric, value in overview.items():
+        add(1, "'Overview'", f"'{metric}'", value, "t")
+    for ord, metric, value in ((2, "total_missing_cells", "0"), (2, "duplicate_rows", "0"), (3, "constant_columns", "'none'")):
+        add(ord, "'Data Quality'", f"'{metric}'", value, "t")
+    add(4, "'Data Quality'", "'columns_with_outliers'", "(SELECT count(*) FROM x)", "t")
+    add(5, """'EDA: ' || "column" """, "'count'", "count", "e")
+    for m in D.NUMERIC_METRICS[1:]:
+        add(5, """'EDA: ' || "column" """, f"'{m}'", _plain(f'"{m}"'), "e")
+    for m, v in (("count", "total"), ("unique_count", "unique_count"), ("mode", "value"), ("mode_count", "count")):
+        add(5, """'EDA: ' || "column" """, f"'{m}'", v, "c")
+    for m in ("count", "min", "max", "range_days"):
+        add(5, """'EDA: ' || "column" """, f"'{m}'", f'"{m}"', "d")
+    add(6, "'Correlation: ' || a", "b", _plain("r"), "p")
+    add(7, "'Chart: Totals'", "o_orderstatus", _plain("round(v, 4)"), "(SELECT o_orderstatus, sum(o_totalprice) AS v FROM orders GROUP BY 1)")
+    add(7, "'Chart: Prices'", "label", "count || '.0'", f"({HISTOGRAM.format(v='o_totalprice', t='orders')})")
+    for kind, end in (("top_performer", "Highest"), ("bottom_performer", "Lowest")):
+        add(9, "'Insights'", f"'{kind}'", f"'{end} total o_orderkey by o_orderstatus'", "t", "(SELECT count(DISTINCT o_orderstatus) FROM orders) >= 2")
+    moved = "'o_orderkey: later half of the dates against the earlier'"
+    add(9, "'Insights'", "'trend'", moved, "h")
+    add(9, "'Insights'", "'correlation'", "a || ' / ' || b", "(SELECT * FROM p WHERE abs(r) >= 0.3 ORDER BY abs(r) DESC, o LIMIT 1)")
+    add(9, "'Insights'", "'anomaly'", "'values far from the others in ' || c", "far")
+    advice = f"""(SELECT 4 AS o, c || ': ' || n || ' values lie far outside; look at their rows before relying on it.' AS line FROM far
+      UNION ALL SELECT 6, {moved} || ': ' || CASE WHEN change > 0 THEN 'up' ELSE 'down' END || ' by ' || change || '%, ' ||
+        CASE WHEN change > 0 THEN 'worth building on' ELSE 'worth an explanation' END || '.' FROM h
+      UNION ALL SELECT 7, 'Nothing in this table asks for attention.' FROM t WHERE NOT EXISTS (SELECT * FROM far) AND NOT EXISTS (SELECT * FROM h))"""
+    add(10, "'Recommendations'", "'recommendation_' || row_number() OVER (ORDER BY o)", "line", advice)
+    far = " UNION ALL ".join(f"""SELECT {i} AS o, "column" AS c, count AS n FROM ({outlier_sql(c, "orders")})""" for i, c in enumerate(numbers))
+    return f"""WITH t AS (SELECT count(*) AS n, CAST({ORDER_BYTES} AS BIGINT) AS b FROM orders), x AS ({far}), far AS (SELECT * FROM x ORDER BY n DESC, o LIMIT 1),
+    e AS ({" UNION ALL ".join(numeric_sql(c, "orders") for c in numbers)}), c AS ({top_sql(texts, "orders", 1)}), d AS ({dates_sql("o_orderdate", "orders")}),
+    p AS ({" UNION ALL ".join(f"SELECT {i} AS o, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) AS r FROM orders" for i, (a, b) in enumerate(pairs))}),
+    k AS (SELECT CAST(o_orderkey AS DOUBLE) AS v, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS n FROM orders),
+    h AS (SELECT * FROM (SELECT round((b - a) / abs(a) * 100, 2) AS change FROM (SELECT sum(v) FILTER (rn <= n // 2) AS a, sum(v) FILTER (rn > n // 2) AS b FROM k)
+      WHERE a <> 0))
+    {" UNION ALL ".join(parts)}"""
+
+
+@query("report_rows", report_sql())
 def report_rows(spark, d):
     o = t(spark, d, "orders")
     charts = [

@@ -98,17 +98,33 @@ def eda_categorical(spark, d):
     return D.categorical_summary(t(spark, d, "part"), ["p_name", "p_brand", "p_type"])
 
 
-@query(
-    "eda_datetime",
-    """SELECT 'ts' AS "column", count(ts) AS count, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(min(ts)) % 1000000 = 0 THEN '' ELSE strftime(min(ts), '.%f') END AS min,
-    strftime(max(ts), '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(max(ts)) % 1000000 = 0 THEN '' ELSE strftime(max(ts), '.%f') END AS max,
-    (epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000 AS range_days FROM events""",
-)
+def dates_sql(column, source):
+    def iso(end):
+        stamp = f"{end}({column})"
+        return f"strftime({stamp}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({stamp}) % 1000000 = 0 THEN '' ELSE strftime({stamp}, '.%f') END"
+
+    return f"""SELECT '{column}' AS "column", count({column}) AS count, {iso("min")} AS min, {iso("max")} AS max,
+    (epoch_us(max({column})) - epoch_us(min({column}))) // 86400000000 AS range_days FROM {source}"""
+
+
+@query("eda_datetime", dates_sql("ts", "events"))
 def eda_datetime(spark, d):
     return D.datetime_summary(t(spark, d, "events"), ["ts"])
 
 
-@query("eda_all_columns")
+def all_columns_sql(source, numbers, texts, dates):
+    """Every metric of every column as a row: numbers in ``number``, texts in ``label``."""
+    row = """SELECT "column", '{role}' AS role, {metric} AS metric, CAST({number} AS DOUBLE) AS number, CAST({label} AS VARCHAR) AS label FROM {part}"""
+    rows = [row.format(role="numeric", metric=f"'{m}'", number=f'"{m}"', label="NULL", part="n") for m in D.NUMERIC_METRICS]
+    rows += [row.format(role="categorical", metric="'top_' || rank", number="count", label="value", part="c")]
+    rows += [row.format(role="categorical", metric=f"'{m}'", number=v, label="NULL", part="c WHERE rank = 1") for m, v in (("count", "total"), ("unique_count", "unique_count"))]
+    rows += [row.format(role="datetime", metric=f"'{m}'", number=f'"{m}"', label="NULL", part="d") for m in ("count", "range_days")]
+    rows += [row.format(role="datetime", metric=f"'{m}'", number="NULL", label=f'"{m}"', part="d") for m in ("min", "max")]
+    return f"""WITH n AS ({" UNION ALL ".join(numeric_sql(c, source) for c in numbers)}), c AS ({top_sql(texts, source, 10)}),
+    d AS ({" UNION ALL ".join(dates_sql(c, source) for c in dates)}) {" UNION ALL ".join(rows)}"""
+
+
+@query("eda_all_columns", all_columns_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]))
 def eda_all(spark, d):
     return D.describe_all(t(spark, d, "orders"))
 

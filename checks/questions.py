@@ -318,7 +318,31 @@ def distinct_count(spark, d):
     return A.distinct_count(t(spark, d, "lineitem"), "l_partkey")
 
 
-@query("plan_grounding")
+def _context_sql():
+    """The column overview of the orders as rows of JSON text, absent entries left out."""
+    number = """SELECT {i} AS ordinal, '{{"ordinal":{i},"column":"{c}","role":"numeric","dtype":"{t}","min":"' || CAST(round(min({c})::DOUBLE, 4) AS VARCHAR)
+      || '","max":"' || CAST(round(max({c})::DOUBLE, 4) AS VARCHAR) || '","mean":' || round(avg({c}), 4) || '}}' AS entry FROM orders"""
+    text = """SELECT {i}, '{{"ordinal":{i},"column":"{c}","role":"categorical","dtype":"string","unique_count":' || max(u) || ',"top_values":"'
+      || string_agg({c}, ', ' ORDER BY n DESC, {c}) || '"}}' FROM (SELECT {c}, count(*) AS n, count(*) OVER () AS u FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)"""
+    date = """SELECT 4, '{{"ordinal":4,"column":"o_orderdate","role":"datetime","dtype":"timestamp_ntz","min":"' || strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S')
+      || '","max":"' || strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%S') || '"}}' FROM orders"""
+    rows = [number.format(i=i, c=c, t=k) for i, c, k in ((0, "o_orderkey", "bigint"), (1, "o_custkey", "bigint"), (3, "o_totalprice", "double"))]
+    rows += [text.format(i=i, c=c) for i, c in ((2, "o_orderstatus"), (5, "o_orderpriority"))] + [date.format()]
+    return " UNION ALL ".join(rows)
+
+
+def _java(v):
+    """A positive double as Java writes it: with an exponent from ten million on."""
+    digits = f"rtrim(replace(CAST({v} AS VARCHAR), '.', ''), '0')"
+    return f"""CASE WHEN {v} < 1e7 THEN CAST({v} AS VARCHAR) ELSE {digits}[1] || '.' || coalesce(nullif({digits}[2:], ''), '0') || 'E' || CAST(floor(log10({v})) AS INTEGER) END"""
+
+
+@query(
+    "plan_grounding",
+    f"""SELECT (SELECT '[' || string_agg(entry, ',' ORDER BY ordinal) || ']' FROM ({_context_sql()})) AS context,
+    (SELECT '[' || string_agg('{{"group":"' || g || '","value":' || {_java('v')} || '}}', ',' ORDER BY v DESC, g) || ']' FROM
+      (SELECT o_orderstatus AS g, round(sum(o_totalprice), 4) AS v FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) AS result""",
+)
 def plan_grounding(spark, d):
     plan = {"operation": "top_n", "column": "o_totalprice", "group_by": "o_orderstatus", "n": 3}
     return grounding(t(spark, d, "orders"), plan)

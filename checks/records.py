@@ -4,6 +4,7 @@ from checks.registry import query, table as t
 from ledgerline.operators import workspace as K
 from ledgerline.runtime import scratch_path
 from ledgerline.sources import files as R
+from ledgerline.sources.sinks import report_to_csv, report_to_json
 from ledgerline.streaming import usage as U
 from pyspark.sql import functions as F
 
@@ -221,7 +222,11 @@ def csv_lines(spark, d):
     return R.read_csv(spark, path).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
 
-@query("file_preview")
+@query(
+    "file_preview",
+    """SELECT CAST(json_object('o_orderkey', o_orderkey, 'o_custkey', o_custkey, 'o_orderstatus', o_orderstatus, 'o_totalprice', o_totalprice,
+    'o_orderdate', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'o_orderpriority', o_orderpriority) AS VARCHAR) AS record FROM orders ORDER BY o_orderkey LIMIT 15""",
+)
 def preview(spark, d):
     return R.preview(t(spark, d, "orders").orderBy("o_orderkey"))
 
@@ -280,6 +285,31 @@ def stale(spark, d):
     return found[0].union(found[1])
 
 
+_ENTRIES = "SELECT 'Status ' || o_orderstatus AS {}, o_orderpriority AS {}, CAST(count(*) AS VARCHAR) AS {} FROM orders GROUP BY o_orderstatus, o_orderpriority"
+
+
+def _entries(spark, d):
+    """A report's long form: an entry for each status and priority."""
+    counts = t(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").cast("string").alias("value"))
+    return counts.select(
+        F.ascii("o_orderstatus").cast("long").alias("ord"), F.concat(F.lit("Status "), "o_orderstatus").alias("section"), F.col("o_orderpriority").alias("metric"), "value"
+    )
+
+
+@query("report_csv", _ENTRIES.format("Section", "Metric", "Value"))
+def report_csv(spark, d):
+    path = scratch_path(spark, "report")
+    report_to_csv(_entries(spark, d), path)
+    return spark.read.csv(path, header=True, escape='"')
+
+
+@query("report_json", _ENTRIES.format("section", "metric", "value"))
+def report_json(spark, d):
+    path = scratch_path(spark, "report")
+    report_to_json(_entries(spark, d), path)
+    return spark.read.json(path)
+
+
 @query("file_stored_bytes")
 def stored_bytes(spark, d):
     return R.stored_bytes(spark, _landed(spark, t(spark, d, "supplier")))

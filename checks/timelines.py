@@ -83,7 +83,8 @@ for _f in ("D", "ME"):
     query(f"series_trend_direction_{_f.lower()}", direction_sql(_f))(lambda spark, d, f=_f: S.trend_direction(prepared(spark, d, f)))
 
 
-def season_sql(freq, period):
+def season_parts(freq, period):
+    """Common table expressions up to o(i, p, v, ph, off), the distance from the trend, and c(ph, sea), the season."""
     k = period // 2
     if period % 2:
         trend = f"avg(v) OVER (ORDER BY i ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
@@ -91,12 +92,15 @@ def season_sql(freq, period):
         trend = f"""(sum(v) OVER (ORDER BY i ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)
           - (lag(v, {k}) OVER (ORDER BY i) + lead(v, {k}) OVER (ORDER BY i)) / 2) / {period}"""
     return f"""WITH {series_sql(freq)},
-    a AS (SELECT i, v, n, CASE WHEN i >= {k} AND i <= n - 1 - {k} THEN {trend} END AS t FROM s),
+    a AS (SELECT i, p, v, n, CASE WHEN i >= {k} AND i <= n - 1 - {k} THEN {trend} END AS t FROM s),
     h AS (SELECT regr_slope(t, i) AS hs, regr_intercept(t, i) AS hi FROM a WHERE t IS NOT NULL AND i < least({k} + {period}, n - 1 - {k})),
     z AS (SELECT regr_slope(t, i) AS ts, regr_intercept(t, i) AS ti FROM a WHERE t IS NOT NULL AND i < n - 1 - {k} AND i >= greatest({k}, n - 1 - {k} - {period})),
-    o AS (SELECT i, i % {period} AS ph, v - CASE WHEN t IS NOT NULL THEN t WHEN i < {k} THEN hs * i + hi ELSE ts * i + ti END AS off FROM a, h, z),
-    m AS (SELECT ph, avg(off) AS m FROM o GROUP BY 1), c AS (SELECT ph, m - (SELECT avg(m) FROM m) AS sea FROM m),
-    w AS (SELECT var_pop(sea) AS vs, var_pop(off - sea) AS vr, count(*) AS n FROM o JOIN c USING (ph))
+    o AS (SELECT i, p, v, i % {period} AS ph, v - CASE WHEN t IS NOT NULL THEN t WHEN i < {k} THEN hs * i + hi ELSE ts * i + ti END AS off FROM a, h, z),
+    m AS (SELECT ph, avg(off) AS m FROM o GROUP BY 1), c AS (SELECT ph, m - (SELECT avg(m) FROM m) AS sea FROM m)"""
+
+
+def season_sql(freq, period):
+    return f"""{season_parts(freq, period)}, w AS (SELECT var_pop(sea) AS vs, var_pop(off - sea) AS vr, count(*) AS n FROM o JOIN c USING (ph))
     SELECT n, {period}::BIGINT AS season_length, CASE WHEN n >= greatest(8, 2 * {period}) THEN round(vs / (vs + vr), 4) END AS strength,
     n >= greatest(8, 2 * {period}) AND vs / (vs + vr) >= 0.3 AS detected FROM w"""
 
@@ -105,9 +109,14 @@ for _f, _p in (("D", 7), ("ME", 12), ("QE", 4)):
     query(f"series_seasonality_{_f.lower()}", season_sql(_f, _p))(lambda spark, d, f=_f: S.seasonality(prepared(spark, d, f), f))
 
 
-@query("series_decompose_daily")
+@query(
+    "series_decompose_daily",
+    f"""{season_parts("D", 7)} SELECT i, p AS period, round(v, 4) AS value, round(v - off, 4) AS trend, round(sea, 4) AS seasonal,
+    round(off - sea, 4) AS resid FROM o JOIN c USING (ph)""",
+)
 def decompose(spark, d):
-    return S.decompose(prepared(spark, d, "D"), 7)
+    parts = S.decompose(prepared(spark, d, "D"), 7)
+    return parts.select("i", "period", *[F.round(c, 4).alias(c) for c in ("value", "trend", "seasonal", "resid")])
 
 
 def line_sql(freq, ahead, horizon):
@@ -129,7 +138,22 @@ for _f, _ahead in {
     )
 
 
-@query("forecast_methods_by_key")
+@query(
+    "forecast_methods_by_key",
+    f"""WITH g AS (SELECT event_type AS k, CAST(ts AS DATE) AS p, sum(value) AS v FROM events GROUP BY 1, 2), b AS (SELECT k, min(p) AS lo, max(p) AS hi FROM g GROUP BY 1),
+    e AS (SELECT k, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS p FROM b),
+    s AS (SELECT e.k, coalesce(g.v, 0) AS v, row_number() OVER (PARTITION BY e.k ORDER BY e.p) - 1 AS i, count(*) OVER (PARTITION BY e.k) AS n
+      FROM e LEFT JOIN g ON e.k = g.k AND e.p = g.p),
+    a AS (SELECT k, i, v, n, CASE WHEN i >= 3 AND i <= n - 4 THEN avg(v) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) END AS t FROM s),
+    h AS (SELECT k, regr_slope(t, i) AS hs, regr_intercept(t, i) AS hi FROM a WHERE t IS NOT NULL AND i < least(10, n - 4) GROUP BY k),
+    z AS (SELECT k, regr_slope(t, i) AS ts, regr_intercept(t, i) AS ti FROM a WHERE t IS NOT NULL AND i < n - 4 AND i >= greatest(3, n - 11) GROUP BY k),
+    o AS (SELECT k, i % 7 AS ph, v - CASE WHEN t IS NOT NULL THEN t WHEN i < 3 THEN hs * i + hi ELSE ts * i + ti END AS off FROM a LEFT JOIN h USING (k) LEFT JOIN z USING (k)),
+    m AS (SELECT k, ph, avg(off) AS m FROM o GROUP BY 1, 2), c AS (SELECT k, ph, m - avg(m) OVER (PARTITION BY k) AS sea FROM m),
+    w AS (SELECT k, var_pop(sea) AS vs, var_pop(off - sea) AS vr, count(*) AS n FROM o JOIN c USING (k, ph) GROUP BY k),
+    j AS (SELECT *, n >= 14 AND vs / (vs + vr) >= 0.3 AS detected FROM w WHERE n >= {S.MIN_POINTS})
+    SELECT k AS event_type, n, 7::BIGINT AS season_length, CASE WHEN n >= 14 THEN round(vs / (vs + vr), 4) END AS strength, detected,
+    CASE WHEN detected THEN 'holt_winters_seasonal' WHEN n >= {S.MIN_POINTS_HOLT} THEN 'holt_linear_trend' ELSE 'linear_regression_fallback' END AS method FROM j""",
+)
 def methods(spark, d):
     series = S.prepare(t(spark, d, "events"), "ts", "value", "D", keys=["event_type"])
     return S.method_per_series(series, "D", ["event_type"])

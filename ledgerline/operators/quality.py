@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ledgerline.errors import IngestError
 from ledgerline.functions import ranks, values as V
@@ -82,12 +82,18 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_positions(df: DataFrame, row_id: str, k: int = SAMPLE_POSITIONS) -> DataFrame:
-    """The first ``k`` row ids that repeat an earlier row; the id itself is not compared."""
-    sets = repeated_rows(df, row_id).select("row", "first")
-    rows = _suspects(df.select(F.struct(*_row_values(df, [row_id])).alias("row"), V.ref(row_id).alias("row_id")))
+    """The first ``k`` row ids that repeat an earlier row; the id itself is not compared.
+
+    A row that k copies with smaller ids come before cannot be among them, so the first k + 1 ids of each set of copies are enough.
+    Tasks apply that limit before the shuffle: a row repeated any number of times costs k + 1 rows from each task.
+    """
+    rows = df.select(F.struct(*_row_values(df, [row_id])).alias("row"), V.ref(row_id).alias("row_id")).withColumn("__h", F.xxhash64("row"))
+    copies = W.partitionBy("__h", "row").orderBy("row_id")
     return (
-        rows.join(sets, rows["row"].eqNullSafe(sets["row"]))
-        .where(F.col("row_id") > F.col("first"))
+        rows.where(F.col("row_id").isNotNull())
+        .withColumn("nth", F.dense_rank().over(copies))
+        .where(F.col("nth") <= k + 1)
+        .where("nth > 1")
         .select("row_id")
         .orderBy("row_id")
         .limit(k)

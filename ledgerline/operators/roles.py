@@ -12,6 +12,8 @@ from ledgerline.functions import values as V
 DATE_SHARE = 0.85
 MAX_FEATURE_CATEGORIES = 30
 MAX_CLASSES = 20
+# Bits of the set of hashes that tells columns of many values from those worth counting.
+HASH_SLOTS = 32768
 
 
 def inline_agg(df: DataFrame, rows: Sequence) -> DataFrame:
@@ -85,20 +87,47 @@ def dtype_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column string, spark_type string")
 
 
+def few_values(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, int]:
+    """Distinct present values of each column: exact up to ``limit``, some larger number beyond it.
+
+    A first pass marks the hashes of every column's values in a set of bits, which no row is copied or shuffled for. Marks can only
+    fall short, when two values share one, so the columns that stay within the limit are counted as (column, value) pairs.
+    """
+    if not columns:
+        return {}
+    marks = [
+        F.struct(
+            F.lit(i).alias("code"),
+            F.bitmap_count(
+                F.bitmap_construct_agg(
+                    F.when(V.present(df, c).isNotNull(), F.bitmap_bit_position(F.pmod(F.xxhash64(V.present(df, c)), F.lit(HASH_SLOTS)) + 1))
+                )
+            ).alias("n"),
+        )
+        for i, c in enumerate(columns)
+    ]
+    # One row per column comes back, here and below.
+    found = {columns[r["code"]]: r["n"] for r in inline_agg(df, marks).collect()}
+    near = [c for c in columns if found[c] <= limit]
+    if near:
+        pairs = [F.struct(F.lit(i).alias("code"), V.text(df, c).alias("value")) for i, c in enumerate(near)]
+        different = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()).groupBy("code", "value").agg(F.count(F.lit(1)).alias("c"))
+        found.update({near[r["code"]]: r["u"] for r in different.groupBy("code").agg(F.count(F.lit(1)).alias("u")).collect()})
+    return found
+
+
 def feature_roles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(ordinal, column, role): numeric, categorical (few distinct values) or dropped."""
     other = [c for c in columns if not V.is_numeric(V.type_of(df, c)) and V.is_scalar(V.type_of(df, c))]
-    rows = []
-    for i, c in enumerate(columns):
+    counts = few_values(df, other, MAX_FEATURE_CATEGORIES)
+
+    def role(c: str) -> str:
         if V.is_numeric(V.type_of(df, c)):
-            role = F.lit("numeric")
-        elif c not in other:
-            role = F.lit("dropped")
-        else:
-            few = F.countDistinct(V.present(df, c)) <= MAX_FEATURE_CATEGORIES
-            role = F.when(few, "categorical").otherwise("dropped")
-        rows.append(F.struct(F.lit(i).cast("long").alias("ordinal"), F.lit(c).alias("column"), role.alias("role")))
-    return inline_agg(df, rows)
+            return "numeric"
+        return "categorical" if c in counts and counts[c] <= MAX_FEATURE_CATEGORIES else "dropped"
+
+    rows = [(i, c, role(c)) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "ordinal long, column string, role string")
 
 
 def split_features(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:

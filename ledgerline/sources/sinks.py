@@ -14,6 +14,5 @@ def report_to_csv(report: DataFrame, path: str) -> None:
 
 
 def report_to_json(report: DataFrame, path: str) -> None:
-    """One JSON object per section with its metrics in a list; a section has one entry per metric or per category of a chart."""
-    sections = report.groupBy("ord", "section").agg(F.collect_list(F.struct("metric", "value")).alias("metrics"))
-    sections.orderBy("ord", "section").select("section", "metrics").write.mode("errorifexists").json(path)
+    """JSON lines {section, metric, value} in the order of the report; no section is gathered, whatever its number of entries."""
+    report.orderBy("ord", "section").select("section", "metric", "value").write.mode("errorifexists").json(path)

@@ -177,7 +177,7 @@ def test_report_and_its_files(spark, tmp_path):
     assert text.startswith("Section,Metric,Value\n") and "Overview,dataset_name,sales" in text
     report_to_json(report, str(tmp_path / "json"))
     sections = [json.loads(line) for f in Path(tmp_path / "json").glob("*.json") for line in f.read_text().splitlines()]
-    assert sections[0]["section"] == "Overview"
+    assert sections[0] == {"section": "Overview", "metric": "dataset_name", "value": "sales"} and len(sections) == report.count()
 
 
 def test_pages_are_disjoint(spark):

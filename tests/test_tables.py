@@ -1,6 +1,7 @@
 """Profile, quality, cleaning and charts on small frames."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -141,6 +142,39 @@ def test_duplicate_positions_with_a_dominant_row(spark):
     assert sorted(r["row_id"] for r in Q.duplicate_positions(df, "id").collect()) == list(range(1, 21))
 
 
+def test_duplicate_positions_by_brute_force(spark):
+    """Several sets of copies, gaps that equal each other, ids that repeat and ids that are missing."""
+    pick = random.Random(5)
+    rows = [(pick.choice([None, *range(90)]), pick.choice([None, "a", "b"]), pick.choice([None, 1.5, 2.5])) for _ in range(400)]
+    rows += [(i, "a", 1.5) for i in range(200, 3000)]
+    df = spark.createDataFrame(rows, "id long, s string, x double").repartition(7)
+    firsts = {}
+    for i, *row in rows:
+        if i is not None:
+            firsts[tuple(row)] = min(i, firsts.get(tuple(row), i))
+    wanted = sorted(i for i, *row in rows if i is not None and i > firsts[tuple(row)])
+    for k in (1, 20, 150):
+        assert [r["row_id"] for r in Q.duplicate_positions(df, "id", k).collect()] == wanted[:k]
+    assert Q.duplicate_positions(df.limit(0), "id").collect() == []
+
+
+def test_copies_are_limited_before_the_shuffle(spark):
+    df = spark.range(1000).selectExpr("id", "id % 2 AS v")
+    assert "WindowGroupLimit" in plan_text(Q.duplicate_positions(df, "id"))
+
+
+def test_few_values_are_counted_exactly(spark):
+    df = spark.range(3000).selectExpr(
+        "CAST(id % 7 AS STRING) AS seven", "CAST(id AS STRING) AS many", "CAST(NULL AS STRING) AS none", "id % 2 = 0 AS flag",
+        "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 31 AS STRING) END AS gappy",
+    )
+    found = R.few_values(df, df.columns, 30)
+    assert (found["seven"], found["none"], found["flag"]) == (7, 0, 2) and found["many"] > 30 and found["gappy"] == 31
+    assert R.few_values(df, [], 30) == {} and R.few_values(df.limit(0), ["seven"], 30) == {"seven": 0}
+    roles = [r["role"] for r in R.feature_roles(df, df.columns).orderBy("ordinal").collect()]
+    assert roles == ["categorical", "dropped", "categorical", "categorical", "dropped"]
+
+
 def test_mostly_numeric_text(spark):
     df = spark.createDataFrame([("1",), ("2",), ("3.5",), ("4",), ("N/A",)], "amount string")
     assert Q.mostly_numeric_text(df).first()["looks_numeric_percentage"] == 80.0
