@@ -95,6 +95,15 @@ def test_one_failure_does_not_stop_the_others(scores, monkeypatch):
     assert run.best().first()["algorithm"] == "LogisticRegression"
 
 
+def test_the_cause_of_a_failed_fit_is_raised(spark, monkeypatch):
+    def broken():
+        raise RuntimeError("cannot fit")
+
+    monkeypatch.setattr(T, "algorithms", lambda *a: {"LogisticRegression": broken})
+    with pytest.raises(TrainingError, match="LogisticRegression has no result: RuntimeError: cannot fit"):
+        learning.predict(spark, FOLDER)
+
+
 def test_status_is_read_while_the_run_goes_on(spark, scores, tmp_path, monkeypatch):
     from ledgerline.ml import status
 
