@@ -2,6 +2,7 @@ import inspect
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from checks import learning
 from ledgerline.errors import TrainingError
@@ -104,6 +105,14 @@ def test_the_cause_of_a_failed_fit_is_raised(spark, monkeypatch):
         learning.predict(spark, FOLDER)
 
 
+def test_rows_of_one_partition_are_dealt_out(spark):
+    df = spark.range(90).selectExpr("id", "CAST(id % 5 AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS label").coalesce(1)
+    made = T._prepare(df, df, ["x"], [], ["id", "features", "label"], 3)
+    for side in (made.fit, made.held):
+        assert side.select(F.input_file_name()).distinct().count() == 3
+        assert sorted(r["id"] for r in side.collect()) == list(range(90))
+
+
 def test_status_is_read_while_the_run_goes_on(spark, scores, tmp_path, monkeypatch):
     from ledgerline.ml import status
 
