@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ledgerline.llm.shared import send
 
 SEPARATOR = 0
+# Bytes of texts that are packed at once, of one batch of rows that Spark gives.
+PACKED_BYTES = 1 << 20
 # Tokens searched at once.
 BLOCK_TOKENS = 1 << 20
 # Characters given to the tokenizer at once; a longer text is cut before a space or line break, where its pattern cuts as well.
@@ -70,8 +72,12 @@ def write_flat(docs: DataFrame, folder: str, tokenizer: Tokenizer, text: str = "
 
     def pack(batches):
         for batch in batches:
-            flat = [(made().ids(t) + 1).astype(kind).tobytes() if t else b"" for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["tokens"])
+            # In small parts, so that a task holds few texts and tokens beside the batch itself.
+            rows = max(1, len(batch) * PACKED_BYTES // max(1, batch.nbytes))
+            for start in range(0, len(batch), rows):
+                texts = batch.column(at).slice(start, rows).to_pylist()
+                flat = [(made().ids(t) + 1).astype(kind).tobytes() if t else b"" for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(flat, pa.binary())], names=["tokens"])
 
     packed = docs.mapInArrow(pack, "tokens binary")
     # The sink writes the bytes of a string as they are, and the separator behind each row.
