@@ -28,6 +28,8 @@ from ledgerline.runtime import scratch_path, settle
 
 LENGTH = 100
 SEED_BYTES = 24
+# Batches that a corpus is cut into: the least number that makes levels of one, two and four batches and merges them all.
+BATCHES = 4
 # Bytes that are hashed at once: many short texts together, or a part of a long one. Places within them take 20 bits.
 CHUNK = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +40,16 @@ RUN_BITS = np.uint64((1 << 64) - (1 << 20))
 GROUP_ROWS = 200_000
 # Cells of each row of the sketch of documents that have something to remove or to compare; see ``sketches``.
 MOST_CELLS = 1 << 24
+# Bytes of rows with texts that a task works on at a time, of one batch that Spark gives.
+PART_BYTES = 1 << 22
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of about PART_BYTES."""
+    for batch in batches:
+        rows = max(1, len(batch) * PART_BYTES // max(1, batch.nbytes))
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -205,7 +217,7 @@ def suffix_array(docs: DataFrame, length: int) -> DataFrame:
     schema = _schema(docs, *longs, ("state", T.ByteType()), ("deal", T.LongType()))
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             made = list(runs(raw_texts(batch.column(3)), length))
             if not made:
                 continue
@@ -440,7 +452,7 @@ def compare_blocks(blocks: DataFrame, corpus: DataFrame, length: int) -> DataFra
     schema = _schema(corpus, *longs, ("new", T.BooleanType()), ("bytes", T.BinaryType()))
 
     def fetch(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             owner, key, run, new, parts = [], [], [], [], []
             for i, (data, found) in enumerate(zip(raw_texts(batch.column(3)), batch.column(4))):
                 k, r, n = (found.values.field(x) for x in ("key", "run", "new"))
@@ -519,16 +531,17 @@ def batch_ranges(docs: DataFrame, batches: int) -> list[Column]:
     return ranges
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, batches: int = 2) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """(late, doc, tie, start, passages): every passage of keyed documents that also starts earlier, in runs.
 
-    Documents come in ``batches`` of about equal numbers in the order of their ids; each is merged with the family that the ones
-    before it have made, which is removed in the end. What has to be compared by passages is compared once, for all batches.
+    Documents come in ``batches`` of about equal numbers in the order of their ids; each, the last one too, is merged with the
+    family that the ones before it have made and becomes a level of it, levels of equal size becoming one. The family goes when the
+    process ends. What has to be compared by passages is compared once, for all batches.
     """
     spark = docs.sparkSession
     family = Family(spark, scratch_path(spark, "suffixes"), length)
     ranges = batch_ranges(docs, batches)
-    found = [family.scan(docs.where(inside), keep=i + 1 < len(ranges)) for i, inside in enumerate(ranges)]
+    found = [family.scan(docs.where(inside)) for inside in ranges]
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -556,7 +569,7 @@ def strip(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int, in
 RESULT = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.BinaryType())]
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept holds the bytes that are left.
 
     Every byte goes that lies in a passage of ``length`` bytes which also starts earlier: in a document with a smaller id, or further
@@ -576,7 +589,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             made = []
             for data, runs_ in zip(raw_texts(batch.column(1)), batch.column(2).to_pylist()):
                 kept, removed, count = strip(data, [(r["start"], r["start"] + r["passages"] + length - 1) for r in runs_ or []])

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -452,6 +453,26 @@ def test_passages_that_agree_in_part(spark, monkeypatch, kind, group_rows):
     assert spread(found) == {(names[d], s) for d, s in plain_spans(texts)}
 
 
+def test_batches_of_a_corpus_become_one_level(spark, monkeypatch):
+    """Every batch is kept, the last one too, and levels of equal size become one of twice the size."""
+    sizes, real = [], suffix_index.Family.scan
+
+    def scan(family, *args, **more):
+        found = real(family, *args, **more)
+        sizes.append([x.batches for x in family.levels])
+        return found
+
+    monkeypatch.setattr(suffix_index.Family, "scan", scan)
+    texts = passages_in_parts(40)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.n_removed for r in suffix_index.remove_repeats(docs).collect()}
+    assert sizes == [[1], [2], [2, 1], [4]]
+    covered = {}
+    for d, s in plain_spans(texts):
+        covered.setdefault(d, set()).update(range(s, s + 100))
+    assert got == {d: len(covered.get(d, ())) for d, _ in texts}
+
+
 def test_a_stored_family_takes_new_batches(spark, tmp_path):
     """Levels merge geometrically; each batch is told what stands in the ones before, by a family that is opened anew."""
     texts = passages_in_parts(75, 8)
@@ -578,6 +599,25 @@ def test_separator_scan(spark, tmp_path, block_tokens):
     assert sorted(by_file["c.bin"]) == [(0, 200, True), (1, 7, False)] and "b.bin" not in by_file
 
 
+def test_tokens_are_packed_in_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "PACKED_BYTES", 1000)
+    asked = []
+
+    class Docs:
+        columns, sparkSession = ["text"], spark
+
+        def mapInArrow(self, run, schema):
+            asked.append(run)
+            raise InterruptedError
+
+    with pytest.raises(InterruptedError):
+        token_counts.write_flat(Docs(), "nowhere", token_counts.Tokenizer({bytes([i]): i for i in range(256)}, r"\S+|\s+"))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab " * 20, None, "", "c"] * 50)], names=["text"])
+    parts = list(asked[0](iter([batch])))
+    assert len(parts) > 2 and sum(map(len, parts)) == 200
+    assert [len(x) // 2 for p in parts for x in p.column(0).to_pylist()] == [60, 0, 0, 1] * 50
+
+
 def test_document_counts(spark, docs, none, tmp_path):
     from ledgerline.llm import queries
 
