@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerline.llm.sketches import member_test
 from ledgerline.llm.words import raw_texts
-from ledgerline.runtime import scratch_path, settle
+from ledgerline.runtime import scratch_path, settle, spent_shuffles_removed
 
 LENGTH = 100
 SEED_BYTES = 24
@@ -208,13 +208,12 @@ def _changes(table: pa.Table | pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def suffix_array(docs: DataFrame, length: int) -> DataFrame:
-    """(late, doc, tie, seed, whole, run, state, deal) of all chosen suffixes of keyed documents.
+    """(late, doc, tie, seed, whole, run, state) of all chosen suffixes of keyed documents.
 
-    Of equal runs in the rows that a task holds at a time only the first is compared with others; the rest is KNOWN already and is
-    dealt out by chance, so a passage that very many documents share comes together as few rows.
+    Of equal runs in the rows that a task holds at a time only the first is compared with others; the rest is KNOWN already.
     """
     longs = [(n, T.LongType()) for n in ("seed", "whole", "run")]
-    schema = _schema(docs, *longs, ("state", T.ByteType()), ("deal", T.LongType()))
+    schema = _schema(docs, *longs, ("state", T.ByteType()))
 
     def run(batches):
         for batch in _parts(batches):
@@ -233,9 +232,8 @@ def suffix_array(docs: DataFrame, length: int) -> DataFrame:
             again = (rank[owner] == rank[owner[lead]]) & (run_ == run_[lead]) & ~first
             owner, seed, whole, run_, first = (x[~again] for x in (owner, seed, whole, run_, first))
             state = np.where(first, NEW, KNOWN).astype(np.int8)
-            deal = np.where(first, seed, _mixed(np.arange(len(seed), dtype=np.uint64) + whole.view(np.uint64)).view(np.int64))
             places = [batch.column(i).take(pa.array(owner)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*places, *map(pa.array, (seed, whole, run_, state, deal))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*places, *map(pa.array, (seed, whole, run_, state))], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -268,7 +266,8 @@ def _taken(table: pa.Table, at: np.ndarray, **columns: np.ndarray) -> list[pa.Ar
 def merge_scan(rows: DataFrame, length: int, keep: bool, buckets: int) -> DataFrame:
     """(late, doc, tie, seed, whole, run, kind) from the runs of a batch and of the levels.
 
-    The rows are dealt out by the suffixes' beginnings and merged in their order, stored runs before new ones, then by place. A run
+    The rows are dealt out by the suffixes' beginnings (those KNOWN by chance, so a passage that very many documents share comes
+    together as few rows) and merged in their order, stored runs before new ones, then by place. A run
     whose beginning and bytes have been met before is REPEATED. Where a new run and another one begin alike but differ, those of
     their blocks whose cores agree are given as BLOCK, with a hash that stands for beginning, block and core in place of ``seed``.
     ``keep``: the rows of the new level are given as well.
@@ -276,7 +275,8 @@ def merge_scan(rows: DataFrame, length: int, keep: bool, buckets: int) -> DataFr
     step = _block(length)
     schema = _schema(rows, *((n, T.LongType()) for n in ("seed", "whole", "run")), ("kind", T.ByteType()))
     order = ["seed", "whole", "state", *PLACE, "run"]
-    dealt = rows.repartition(buckets, "deal").sortWithinPartitions(*order).drop("deal")
+    deal = F.when(F.col("state") == KNOWN, F.xxhash64("doc", "run")).otherwise(F.col("seed"))
+    dealt = rows.repartition(buckets, deal).sortWithinPartitions(*order)
 
     def scanned(table: pa.Table, more: bool, before: tuple | None):
         seed, whole, run, state = (table.column(n).to_numpy() for n in ("seed", "whole", "run", "state"))
@@ -400,10 +400,11 @@ class Family:
         stored = _schema(batch, *((n, T.LongType()) for n in ("seed", "whole", "run")), ("kind", T.ByteType()))
         for level in self.levels:
             state = F.lit(MERGES if level in joined else STAYS).cast("byte")
-            rows = rows.unionByName(self.rows(level, stored).drop("kind").withColumns({"state": state, "deal": F.col("seed")}))
+            rows = rows.unionByName(self.rows(level, stored).drop("kind").withColumn("state", state))
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
         path = f"{self.path}/{uuid.uuid4().hex}"
-        merge_scan(rows, self.length, keep, buckets).write.partitionBy("kind").parquet(path)
+        with spent_shuffles_removed(self.spark):
+            merge_scan(rows, self.length, keep, buckets).write.partitionBy("kind").parquet(path)
         if keep:
             self.levels = [x for x in self.levels if x not in joined] + [Level(path, size)]
             self._commit()
@@ -423,6 +424,13 @@ class Family:
         compared = compare_blocks(blocks, corpus, self.length).join(new.drop("new"), PLACE, "left_semi")
         return repeated_runs(found).unionByName(compared)
 
+    def finish(self) -> None:
+        """Removes the levels of a corpus that is complete; what the scans have found stays and can be read on."""
+        for level in self.levels:
+            self._remove(f"{level.path}/kind={ROW}")
+        self.levels = []
+        self._commit()
+
     def drop(self) -> None:
         """Removes the family with all its files."""
         self._remove(self.path)
@@ -535,18 +543,20 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
     """(late, doc, tie, start, passages): every passage of keyed documents that also starts earlier, in runs.
 
     Documents come in ``batches`` of about equal numbers in the order of their ids; each, the last one too, is merged with the
-    family that the ones before it have made and becomes a level of it, levels of equal size becoming one. The family goes when the
-    process ends. What has to be compared by passages is compared once, for all batches.
+    family that the ones before it have made and becomes a level of it, levels of equal size becoming one. The last level goes when
+    all batches are scanned, so that it does not lie beside the texts that are compared. What has to be compared by passages is compared once, for all batches.
     """
     spark = docs.sparkSession
     family = Family(spark, scratch_path(spark, "suffixes"), length)
     ranges = batch_ranges(docs, batches)
     found = [family.scan(docs.where(inside)) for inside in ranges]
+    family.finish()
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    compared = compare_blocks(every.where(F.col("kind") == BLOCK), docs, length)
-    return settle(repeated_runs(every).unionByName(compared), "repeated")
+    with spent_shuffles_removed(spark):
+        compared = compare_blocks(every.where(F.col("kind") == BLOCK), docs, length)
+        return settle(repeated_runs(every).unionByName(compared), "repeated")
 
 
 def strip(data: bytes, stretches: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -581,7 +591,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     """
     rows = keyed(docs, id, text)
     found = find_repeats(rows, length, batches)
-    spans = settle(found.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "passages")).alias("runs")), "removed")
+    with spent_shuffles_removed(docs.sparkSession):
+        spans = settle(found.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "passages")).alias("runs")), "removed")
     has_spans = member_test(spans, PLACE, spans.count(), MOST_CELLS)
     shown = F.when(~F.col("late"), F.col("doc")).alias(id)
     none = F.lit(None).cast(spans.schema["runs"].dataType).alias("runs")

@@ -473,6 +473,31 @@ def test_batches_of_a_corpus_become_one_level(spark, monkeypatch):
     assert got == {d: len(covered.get(d, ())) for d, _ in texts}
 
 
+def test_shuffles_of_the_scans_do_not_pile_up(spark, monkeypatch):
+    """What the scans and comparisons have shuffled is gone when they end, and the session's setting is as before; no level is left."""
+    from pathlib import Path
+
+    from ledgerline.runtime import SHUFFLE_CLEANUP
+
+    places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f.name for p in places for f in Path(p).rglob("shuffle_*.data")}
+    rows = suffix_index.keyed(spark.createDataFrame(passages_in_parts(40), "doc_id long, text string").repartition(3), "doc_id", "text")
+    with suffix_index.spent_shuffles_removed(spark):
+        assert spark.range(9).repartition(2, "id").count() == 9
+    before = files()
+    spark.range(9).repartition(2, "id").write.format("noop").mode("overwrite").save()
+    assert files() - before, "without the setting a shuffle lies there for a while"
+    before = files()
+    finish, families = suffix_index.Family.finish, []
+    monkeypatch.setattr(suffix_index.Family, "finish", lambda family: (families.append([family, *family.levels]), finish(family)))
+    found = suffix_index.find_repeats(rows)
+    assert not files() - before
+    (family, level), = families
+    assert level.batches == 4 and not family.levels and not (Path(level.path.removeprefix("file:")) / f"kind={suffix_index.ROW}").exists()
+    assert found.count() > 0
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
 def test_a_stored_family_takes_new_batches(spark, tmp_path):
     """Levels merge geometrically; each batch is told what stands in the ones before, by a family that is opened anew."""
     texts = passages_in_parts(75, 8)
