@@ -254,3 +254,84 @@ def test_split_is_exact_per_class_with_a_dominant_class(spark):
 def test_split_keeps_a_lone_row_for_training(spark):
     df = spark.createDataFrame([(1, "lone"), (2, "b"), (3, "b"), (4, "b")], "id long, y string")
     assert [r["is_test"] for r in hold_out(df, "id", "y").where("y = 'lone'").collect()] == [False]
+
+
+@pytest.mark.parametrize("task", ["regression", "classification"])
+def test_forests_are_grown_by_the_tasks(spark, scores, salaries, tmp_path, task):
+    """As good as Spark's trainer on the rows left out, with the same nodes after saving; larger tables go to the trainer."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+
+    from ledgerline.ml import forests
+
+    if task == "regression":
+        df, numeric, texts, y, name = salaries, ["experience", "age"], ["department"], "salary", "RandomForestRegressor"
+        judge = RegressionEvaluator(metricName="r2")
+    else:
+        df, numeric, texts, y, name = scores, ["score", "age"], ["segment"], "target", "RandomForestClassifier"
+        judge = MulticlassClassificationEvaluator(metricName="accuracy")
+    stages, _ = T.fit_features(df, numeric, texts)
+    rows = T.settle(stages.transform(df).select("id", "features", F.col(y).cast("double").alias("label")), "rows")
+    fit, held = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    forest = algorithms(task, 2, Sizes(trees=100))[name]()
+    model, theirs = forest.fit(fit), forest.trainer.fit(fit)
+    assert isinstance(model, forests.ForestModel) and model.nodes.select("tree").distinct().count() == 100
+    ours, trainers = judge.evaluate(model.transform(held)), judge.evaluate(theirs.transform(held))
+    assert ours > 0.8 and abs(ours - trainers) < 0.08
+    assert np.allclose(model.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=0.1)
+    model.write().save(str(tmp_path / "forest"))
+    again = forests.ForestModel.load(str(tmp_path / "forest"))
+    one, two = (m.transform(held).orderBy("id").select("id", "prediction").collect() for m in (model, again))
+    assert one == two and len(one) == 30
+
+
+def test_large_tables_and_bad_labels_go_to_the_trainer(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerline.ml import forests
+
+    rows = [(Vectors.dense([float(i)]), float(i % 2)) for i in range(20)]
+    forest = algorithms("regression", sizes=SMALL)["RandomForestRegressor"]()
+    with pytest.raises(Exception, match="NaN"):
+        forest.fit(spark.createDataFrame([*rows, (Vectors.dense([1.0]), float("nan"))], ["features", "label"]))
+    monkeypatch.setattr(forests, "MOST_CELLS", 19)
+    assert not isinstance(forest.fit(spark.createDataFrame(rows, ["features", "label"])), forests.ForestModel)
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_grown_splits_are_the_best(classes):
+    """With all slots to choose from, every node has the gain that trying every bound on its rows finds, or none is left."""
+    from ledgerline.ml import forests
+
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.normal(size=200), rng.integers(0, 2, 200), rng.integers(0, 5, 200) - 2.0], axis=1)
+    y = rng.integers(0, 3, 200) if classes else rng.normal(size=200) + x[:, 0]
+    bounds = [forests.bin_bounds(*np.unique(x[:, 0], return_counts=True), 8), np.array([0.5]), np.array([-1.5, -0.5, 0.5, 1.5])]
+    assert len(bounds[0]) <= 7
+    grower = forests.Grower(bounds, classes, 4, 3, 7)
+    at, slots = np.nonzero(x)
+    sizes = np.bincount(at, minlength=200)
+    made = grower.grow(0, sizes, grower.codes(slots, x[at, slots]), y, np.array([120, 80]))
+    weight = np.concatenate([np.random.default_rng([7, 0, 1, i]).poisson(1.0, n) for i, n in enumerate((120, 80))])
+
+    def spread(on):
+        if not weight[on].sum():
+            return 0.0
+        if classes:
+            n = np.bincount(y[on], weight[on], classes)
+            return n.sum() - (n**2).sum() / n.sum()
+        return (weight[on] * (y[on] - np.average(y[on], weights=weight[on])) ** 2).sum()
+
+    seen, todo = 0, [(0, weight > 0)]
+    while todo:
+        node, on = todo.pop()
+        seen += 1
+        assert made["cover"][node] == weight[on].sum()
+        mean = np.bincount(y[on], weight[on], classes) / weight[on].sum() if classes else [np.average(y[on], weights=weight[on])]
+        assert np.allclose(made["value"][node], mean)
+        if made["below"][node] >= 0:
+            best = max(spread(on) - spread(on & (x[:, s] <= t)) - spread(on & (x[:, s] > t)) for s in range(3) for t in bounds[s])
+            low = x[:, made["feature"][node]] <= made["threshold"][node]
+            assert made["gain"][node] == pytest.approx(best) and best > 0
+            assert spread(on) - spread(on & low) - spread(on & ~low) == pytest.approx(best)
+            todo += [(made["below"][node], on & low), (made["above"][node], on & ~low)]
+    assert seen == len(made["below"]) > 10
