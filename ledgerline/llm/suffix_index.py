@@ -24,14 +24,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerline.llm.sketches import member_test
 from ledgerline.llm.words import raw_texts
-from ledgerline.runtime import scratch_path, settle, spent_shuffles_removed
+from ledgerline.runtime import scratch_path, settle, small_batches, spent_shuffles_removed
 
 LENGTH = 100
 SEED_BYTES = 24
 # Batches that a corpus is cut into: the least number that makes levels of one, two and four batches and merges them all.
 BATCHES = 4
 # Bytes that are hashed at once: many short texts together, or a part of a long one. Places within them take 20 bits.
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 CODES = np.random.default_rng(99).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -42,12 +42,14 @@ GROUP_ROWS = 200_000
 MOST_CELLS = 1 << 24
 # Bytes of rows with texts that a task works on at a time, of one batch that Spark gives.
 PART_BYTES = 1 << 22
+# Bytes of blocks whose passages are hashed at a time; an array of hashes is eight times as large.
+BLOCK_BYTES = 1 << 18
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of batches in parts of about PART_BYTES."""
     for batch in batches:
-        rows = max(1, len(batch) * PART_BYTES // max(1, batch.nbytes))
+        rows = max(1, -(-len(batch) // max(1, round(batch.nbytes / PART_BYTES))))
         for start in range(0, len(batch), rows):
             yield batch.slice(start, rows)
 
@@ -403,7 +405,7 @@ class Family:
             rows = rows.unionByName(self.rows(level, stored).drop("kind").withColumn("state", state))
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
         path = f"{self.path}/{uuid.uuid4().hex}"
-        with spent_shuffles_removed(self.spark):
+        with spent_shuffles_removed(self.spark), small_batches(self.spark, PART_BYTES):
             merge_scan(rows, self.length, keep, buckets).write.partitionBy("kind").parquet(path)
         if keep:
             self.levels = [x for x in self.levels if x not in joined] + [Level(path, size)]
@@ -443,6 +445,20 @@ def repeated_runs(found: DataFrame) -> DataFrame:
     return found.where(F.col("kind") == REPEATED).select(*PLACE, F.shiftright("run", START).alias("start"), passages.alias("passages"))
 
 
+def passage_hashes(blocks: pa.ChunkedArray, count: np.ndarray, length: int) -> np.ndarray:
+    """The hashes of the first ``count`` passages of each block, one behind the other; some blocks are hashed at a time."""
+    size = count + length - 1
+    upto = np.cumsum(size)
+    cuts = np.flatnonzero(np.diff(upto // BLOCK_BYTES, prepend=0))
+    out = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(count)]):
+        if a < b:
+            data = np.frombuffer(b"".join(blocks.slice(a, b - a).to_pylist()), np.uint8)
+            first = np.repeat(upto[a:b] - size[a:b] - (upto[a] - size[a]) - (np.cumsum(count[a:b]) - count[a:b]), count[a:b])
+            out.append(Hashes(data).windows(length)[first + np.arange(len(first))])
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
 def compare_blocks(blocks: DataFrame, corpus: DataFrame, length: int) -> DataFrame:
     """(late, doc, tie, start, passages): the passages of blocks that stand in an earlier block with the same key.
 
@@ -485,11 +501,9 @@ def compare_blocks(blocks: DataFrame, corpus: DataFrame, length: int) -> DataFra
             # A block that stands twice in the table of blocks, or in a document that does, is one.
             once = np.ones(len(run), bool)
             once[1:] = _changes(table, ["key", *PLACE, "run"])[1:]
-            size = count + length - 1
-            data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
             row = np.repeat(np.arange(len(run)), count)
             step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            window = Hashes(data).windows(length)[np.repeat(np.cumsum(size) - size, count) + step].view(np.int64)
+            window = passage_hashes(table.column("bytes"), count, length)
             parted = np.full(len(run), False)
             if more or in_parts == key[0]:
                 parted = key == (key[-1] if more else key[0])
@@ -554,7 +568,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    with spent_shuffles_removed(spark):
+    with spent_shuffles_removed(spark), small_batches(spark, PART_BYTES):
         compared = compare_blocks(every.where(F.col("kind") == BLOCK), docs, length)
         return settle(repeated_runs(every).unionByName(compared), "repeated")
 
@@ -587,7 +601,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     an id come after all others; rows with one id but different texts are ordered by a hash of the text; rows that agree in both
     are judged alike; ids may be of any type that has an order; an empty table gives an empty one. Texts end at 2 GB, as Spark's do.
 
-    Only documents that have something to remove are dealt out to meet it; the others are finished where they are read.
+    Only documents that have something to remove are dealt out to meet it; the others are finished where they are read, without a
+    worker that would hold their texts once more.
     """
     rows = keyed(docs, id, text)
     found = find_repeats(rows, length, batches)
@@ -595,7 +610,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         spans = settle(found.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "passages")).alias("runs")), "removed")
     has_spans = member_test(spans, PLACE, spans.count(), MOST_CELLS)
     shown = F.when(~F.col("late"), F.col("doc")).alias(id)
-    none = F.lit(None).cast(spans.schema["runs"].dataType).alias("runs")
     schema = T.StructType([T.StructField(id, docs.schema[id].dataType)] + [T.StructField(n, k) for n, k in RESULT])
     arrow = to_arrow_schema(schema)
 
@@ -611,5 +625,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
 
     flagged = rows.withColumn("__met", has_spans())
     met = flagged.where("__met").join(spans, PLACE, "left").select(shown, "text", "runs")
-    rest = flagged.where("NOT __met").select(shown, "text", none)
-    return met.mapInArrow(run, schema).unionByName(rest.mapInArrow(run, schema))
+    whole, zero = F.col("text").cast("binary"), F.lit(0).cast("long")
+    made = [F.octet_length("text").cast("long"), zero, zero, F.sha2(whole, 256), whole]
+    rest = flagged.where("NOT __met").select(shown, *[c.alias(n) for c, (n, _) in zip(made, RESULT)])
+    return met.mapInArrow(run, schema).unionByName(rest)

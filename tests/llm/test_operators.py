@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -11,6 +12,7 @@ import xxhash
 from ledgerline.llm import decontamination, language_id, mixing, pii, quality_rules, simhash, suffix_index, token_counts, url_filters, warc
 from ledgerline.llm.components import components
 from ledgerline.llm.words import pieces, shingles
+from tests.conftest import plan_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, words int"
 
@@ -453,6 +455,42 @@ def test_passages_that_agree_in_part(spark, monkeypatch, kind, group_rows):
     assert spread(found) == {(names[d], s) for d, s in plain_spans(texts)}
 
 
+def test_passages_of_blocks_are_hashed_some_at_a_time(monkeypatch):
+    """As if hashed one by one, whatever the number of blocks."""
+    rng = np.random.default_rng(3)
+    count = rng.integers(1, 27, 400)
+    blocks = [rng.integers(97, 100, c + 99, dtype=np.uint8).tobytes() for c in count]
+    single = np.concatenate([suffix_index.Hashes(np.frombuffer(b, np.uint8)).windows(100) for b in blocks]).view(np.int64)
+    hashed, real = [], suffix_index.Hashes
+    monkeypatch.setattr(suffix_index, "Hashes", lambda data: hashed.append(len(data)) or real(data))
+    monkeypatch.setattr(suffix_index, "BLOCK_BYTES", 5000)
+    got = suffix_index.passage_hashes(pa.chunked_array([blocks[:150], blocks[150:]], pa.binary()), count, 100)
+    assert (got == single).all() and max(hashed) < 5200
+    assert not len(suffix_index.passage_hashes(pa.chunked_array([], pa.binary()), np.zeros(0, int), 100))
+
+
+def test_texts_come_to_the_tasks_in_small_batches(spark, monkeypatch):
+    """A scan gives Python batches of bounded bytes; documents without repeats are finished without Python. The setting goes afterwards."""
+    before, sizes = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+    real = suffix_index.merge_scan
+
+    def scan(rows, *args):
+        sizes.append(rows.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return real(rows, *args)
+
+    monkeypatch.setattr(suffix_index, "merge_scan", scan)
+    docs = spark.createDataFrame([(1, "ab" * 80), (2, "x"), (3, None), (4, "ab" * 60 + "é")], "doc_id long, text string")
+    out = suffix_index.remove_repeats(docs)
+    assert sizes == [str(suffix_index.PART_BYTES)] * suffix_index.BATCHES
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert plan_text(out).count(") MapInArrow\n") == 1
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in out.collect()}
+    left = {1: b"ab", 2: b"x", 3: b"", 4: "é".encode()}
+    assert {i: g[4] for i, g in got.items()} == left
+    assert all(g[3] == hashlib.sha256(left[i]).hexdigest() for i, g in got.items())
+    assert got[2][:3] == (1, 0, 0) and got[3][:3] == (0, 0, 0) and got[4][:3] == (122, 120, 1)
+
+
 def test_batches_of_a_corpus_become_one_level(spark, monkeypatch):
     """Every batch is kept, the last one too, and levels of equal size become one of twice the size."""
     sizes, real = [], suffix_index.Family.scan
