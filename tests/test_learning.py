@@ -335,3 +335,60 @@ def test_grown_splits_are_the_best(classes):
             assert spread(on) - spread(on & low) - spread(on & ~low) == pytest.approx(best)
             todo += [(made["below"][node], on & low), (made["above"][node], on & ~low)]
     assert seen == len(made["below"]) > 10
+
+
+@pytest.mark.parametrize("tasks", [1, 4])
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_boosted_trees_are_the_trainers(spark, monkeypatch, tmp_path, classes, tasks):
+    """Predictions, margins and importances are those of Spark's trainer but for ties, from one task or several, and after saving."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerline.ml import boosting, forests
+
+    rng = np.random.default_rng(classes)
+    x = np.stack([rng.normal(size=500), rng.integers(0, 2, 500), rng.integers(0, 6, 500) - 2.0, rng.uniform(5, 9, 500), np.full(500, 4.0)], axis=1)
+    y = 3 * x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=500) + 1000
+    if classes:
+        y = np.digitize(y, np.quantile(y, np.arange(1, classes) / classes))
+    rows = [(i, Vectors.dense(a), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["id", "features", "label"]).repartition(4).cache()
+    monkeypatch.setattr(forests, "BLOCK_ROWS", 40)
+    if tasks > 1:
+        monkeypatch.setattr(boosting, "TASK_VALUES", 100)
+    settled = []
+    monkeypatch.setattr(boosting, "settle", lambda t, label: settled.append(t) or T.settle(t, label))
+    profile, task = ("DeepBoosting", "GradientBoosting")[tasks > 1], ("Classifier" if classes else "Regressor")
+    fit = algorithms("classification" if classes else "regression", classes, Sizes(rounds=6))[profile + task]()
+    model, theirs = fit.fit(df), fit.whole.fit(df)
+    assert isinstance(model, boosting.BoostedModel) and settled[-1].rdd.getNumPartitions() == tasks
+    shown = "prediction" if not classes else "rawPrediction"
+
+    def told(m):
+        out = m.transform(df).orderBy("id")
+        return np.array([r[0] for r in out.select("prediction" if not classes else vector_to_array(shown)).collect()]), [r[0] for r in out.select("prediction").collect()]
+
+    (ours, best), (trainers, theirs_best) = told(model), told(theirs)
+    # Deep nodes have few rows, which several splits may part equally well; rounding tells which of them is taken.
+    tied = tasks == 1 and classes > 0
+    assert np.allclose(ours, trainers, atol=0.05 if tied else 1e-8) and np.mean(np.abs(ours - trainers)) < (0.002 if tied else 1e-7)
+    assert np.allclose(best, theirs_best)
+    weights = [m.featureImportances.toArray() for m in getattr(theirs, "models", [theirs])]
+    assert np.allclose(model.featureImportances.toArray(), np.mean(weights, axis=0), atol=1e-8 if tasks > 1 else 0.03)
+    if classes == 2:
+        chances = [[[c for c in r[0]] for r in m.transform(df).orderBy("id").select("probability").collect()] for m in (model, theirs)]
+        assert np.allclose(*chances, atol=0.05 if tied else 1e-8)
+    model.write().save(str(tmp_path / "boosted"))
+    assert (told(boosting.BoostedModel.load(str(tmp_path / "boosted")))[0] == ours).all()
+
+
+def test_very_large_tables_are_boosted_by_the_trainer(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerline.ml import boosting
+
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 2)) for i in range(20)], ["features", "label"])
+    fit = algorithms("regression", sizes=SMALL)["GradientBoostingRegressor"]()
+    assert isinstance(fit.fit(df), boosting.BoostedModel)
+    monkeypatch.setattr(boosting, "MOST_TASK_VALUES", 5)
+    assert not isinstance(fit.fit(df), boosting.BoostedModel)
