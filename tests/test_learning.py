@@ -105,6 +105,23 @@ def test_the_cause_of_a_failed_fit_is_raised(spark, monkeypatch):
         learning.predict(spark, FOLDER)
 
 
+@pytest.mark.parametrize("name", ["LogisticRegression", "RandomForestClassifier"])
+def test_models_are_applied_in_a_session_that_has_observed_a_query(spark, scores, monkeypatch, name):
+    """Cleaning observes its steps; the forest is the trainer's, as for large tables."""
+    from pyspark.sql import Observation
+
+    from ledgerline.ml import forests
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    monkeypatch.setattr(forests, "MOST_CELLS", 1)
+    run = T.train_all(scores, "target", "id", only=[name], sizes=SMALL, explain_models=False)
+    row = run.results.first()
+    assert (row["status"], row["error"], row["cv_folds"]) == ("completed", None, 5)
+    assert run.model(name).transform(scores).where("prediction = target").count() > 60
+
+
 def test_rows_of_one_partition_are_dealt_out(spark):
     df = spark.range(90).selectExpr("id", "CAST(id % 5 AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS label").coalesce(1)
     made = T._prepare(df, df, ["x"], [], ["id", "features", "label"], 3)
