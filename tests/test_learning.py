@@ -409,3 +409,32 @@ def test_very_large_tables_are_boosted_by_the_trainer(spark, monkeypatch):
     assert isinstance(fit.fit(df), boosting.BoostedModel)
     monkeypatch.setattr(boosting, "MOST_TASK_VALUES", 5)
     assert not isinstance(fit.fit(df), boosting.BoostedModel)
+
+
+def test_a_million_values_are_boosted_in_one_task(spark, monkeypatch):
+    """Tasks of one fit wait a second for each other at every level; small models are applied without a shuffle."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ledgerline.ml import boosting
+    from tests.conftest import plan_text
+
+    rows = spark.range(600_000).selectExpr("CAST(id % 7 AS DOUBLE) a", "CAST(id % 5 - 9 AS DOUBLE) b", "CAST(id % 3 + 1 AS DOUBLE) c")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows).withColumn("label", F.expr("10 * a + b"))
+    settled = []
+    monkeypatch.setattr(boosting, "settle", lambda t, label: settled.append(t) or T.settle(t, label))
+    model = algorithms("regression", sizes=Sizes(rounds=2))["DeepBoostingRegressor"]().fit(df)
+    assert isinstance(model, boosting.BoostedModel) and settled[-1].rdd.getNumPartitions() == 1
+    out = model.transform(df.limit(50))
+    assert np.allclose([r["prediction"] for r in out.collect()], [r["label"] for r in out.collect()])
+    assert "Exchange" not in plan_text(model.transform(df.drop("label")))
+
+
+@pytest.mark.parametrize("sizes", [[2, 0, 3, 1, 3], [0, 0], [1, 1, 1], []])
+def test_codes_by_place_are_those_of_the_rows(sizes):
+    from ledgerline.ml.boosting import _columns
+
+    sizes = np.array(sizes, int)
+    code = np.arange(sizes.sum())
+    order, columns = _columns(sizes, code)
+    rows = [code[a : a + n].tolist() for a, n in zip(np.cumsum(sizes) - sizes, sizes)]
+    assert [[c[i] for c in columns if i < len(c)] for i in range(len(order))] == [rows[o] for o in order]
