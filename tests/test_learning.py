@@ -431,10 +431,35 @@ def test_a_million_values_are_boosted_in_one_task(spark, monkeypatch):
 
 @pytest.mark.parametrize("sizes", [[2, 0, 3, 1, 3], [0, 0], [1, 1, 1], []])
 def test_codes_by_place_are_those_of_the_rows(sizes):
-    from ledgerline.ml.boosting import _columns
+    from ledgerline.ml.forests import columns_of
 
     sizes = np.array(sizes, int)
     code = np.arange(sizes.sum())
-    order, columns = _columns(sizes, code)
+    order, columns = columns_of(sizes, code)
     rows = [code[a : a + n].tolist() for a, n in zip(np.cumsum(sizes) - sizes, sizes)]
     assert [[c[i] for c in columns if i < len(c)] for i in range(len(order))] == [rows[o] for o in order]
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_rows_are_sent_to_the_trees_as_codes(spark, monkeypatch, classes):
+    """The blocks that every group of trees gets have two bytes a listed value; read again, they are the rows' codes."""
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerline.ml import forests
+
+    rows = [(Vectors.dense([i % 9 - 4.0, float(i % 2), 0.0]), float(i % 2)) for i in range(50)]
+    df = spark.createDataFrame(rows, ["features", "label"]).coalesce(1)
+    seen = []
+    monkeypatch.setattr(forests, "settle", lambda t, label: seen.append((label, t)) or T.settle(t, label))
+    forest = algorithms("classification" if classes else "regression", classes, SMALL)["RandomForestClassifier" if classes else "RandomForestRegressor"]()
+    model = forest.fit(df)
+    assert isinstance(model, forests.ForestModel)
+    packed = dict(seen)["packed"]
+    assert packed.columns == ["block", "sizes", "codes", "ys"]
+    grower = forests.Grower([np.arange(-3.5, 4), np.array([0.5]), np.array([0.5])], classes, 5, 2, 1)
+    block = packed.toArrow().to_batches()
+    sizes, code, y, blocks = forests.read_packed(block, grower)
+    x = np.array([r[0].toArray() for r in rows])
+    at, slots = np.nonzero(x)
+    assert code.dtype == np.uint16 and blocks.tolist() == [50]
+    assert (code == grower.codes(slots, x[at, slots])).all() and (sizes == np.bincount(at, minlength=50)).all() and (y == [r[1] for r in rows]).all()
