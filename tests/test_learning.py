@@ -463,3 +463,34 @@ def test_rows_are_sent_to_the_trees_as_codes(spark, monkeypatch, classes):
     at, slots = np.nonzero(x)
     assert code.dtype == np.uint16 and blocks.tolist() == [50]
     assert (code == grower.codes(slots, x[at, slots])).all() and (sizes == np.bincount(at, minlength=50)).all() and (y == [r[1] for r in rows]).all()
+
+
+def test_attributions_are_computed_once(spark, salaries):
+    """The number of outputs comes from the kept values, not from a second run of the trees."""
+    from ledgerline.ml.trees import tree_shapley
+    from tests.conftest import plan_text
+
+    run = T.train_all(salaries, "salary", "id", ["experience", "age"], only=["RandomForestRegressor"], sizes=SMALL, cross_validate=False, explain_models=False)
+    stages = run.model("RandomForestRegressor").stages
+    rows = salaries
+    for stage in stages[:-1]:
+        rows = stage.transform(rows)
+    told = tree_shapley(stages[-1], rows, ["experience", "age"])
+    assert "MapInArrow" not in plan_text(told)
+    found = {r["feature"]: r["importance"] for r in told.collect()}
+    assert found["experience"] > found["age"] > 0
+
+
+@pytest.mark.parametrize("name", ["RandomForestRegressor", "RandomForestClassifier"])
+def test_forests_of_six_million_rows_stay_off_the_driver(spark, monkeypatch, name):
+    """6,000,000 rows of 200 slots and 24,000,000 listed values; Spark's trainer holds all nodes in the driver."""
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerline.ml import forests
+
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 2)) for i in range(20)], ["features", "label"])
+    classes = 2 if "Classifier" in name else 0
+    monkeypatch.setattr(forests, "measures", lambda t: (6_000_000, 200, 24_000_000, 0))
+    monkeypatch.setattr(forests, "bounds_of", lambda *a: [np.array([9.5])] + [np.array([0.5])] * 199)
+    model = algorithms("classification" if classes else "regression", classes, SMALL)[name]().fit(df)
+    assert isinstance(model, forests.ForestModel) and model.nodes.select("tree").distinct().count() == 5
